@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sitegauge.functions.text import let
+
 # --- fixed values: networks that are not public ------------------------------
 BLOCKED_NETWORKS = (
     "0.0.0.0/8",
@@ -42,8 +44,43 @@ _MAPPED = "0" * 20 + "ffff"
 
 
 def _quad_hex(quad: Column) -> Column:
-    octets = F.split(quad, r"\.")
-    return F.concat(*[F.lpad(F.hex(octets[i].try_cast("bigint")), 2, "0") for i in range(4)])
+    return let(
+        F.split(quad, r"\."),
+        lambda o: F.concat(*[F.lpad(F.hex(o[i].try_cast("bigint")), 2, "0") for i in range(4)]),
+    )
+
+
+def _v6_hex(text: Column) -> Column:
+    """Hex digits of IPv6 text without a zone and without a dotted tail; NULL when malformed."""
+
+    def assemble(halves: Column) -> Column:
+        def groups(i: int) -> Column:
+            return F.filter(F.split(F.coalesce(F.get(halves, F.lit(i)), F.lit("")), ":"), lambda g: g != "")
+
+        def join(sides: Column) -> Column:
+            left, right = sides["l"], sides["r"]
+            digits = [F.array_join(F.transform(s, lambda g: F.lpad(g, 4, "0")), "") for s in (left, right)]
+            count = F.size(left) + F.size(right)
+            # `::` stands for at least one group; without it there must be all eight.
+            fits = F.when(F.size(halves) == 2, count <= 7).otherwise(count == 8)
+            return F.when(fits, F.concat(digits[0], F.repeat(F.lit("0000"), 8 - count), digits[1]))
+
+        return let(F.struct(groups(0).alias("l"), groups(1).alias("r")), join)
+
+    return F.when(text.rlike(_IPV6), let(F.split(text, "::"), assemble))
+
+
+def _dotted_tail_to_groups(text: Column) -> Column:
+    """Rewrite the `a.b.c.d` at the end of an IPv6 address as two ordinary groups."""
+    return let(
+        _quad_hex(F.regexp_extract(text, rf"({_QUAD})\z", 1)),
+        lambda digits: F.concat(
+            F.regexp_replace(text, rf"{_QUAD}\z", ""),
+            F.lower(F.substring(digits, 1, 4)),
+            F.lit(":"),
+            F.lower(F.substring(digits, 5, 4)),
+        ),
+    )
 
 
 def ip_bytes(ip: Column) -> Column:
@@ -51,38 +88,15 @@ def ip_bytes(ip: Column) -> Column:
 
     Octets with a leading zero are refused; an IPv6 zone (`%eth0`) is dropped.
     """
-    text = F.lower(F.regexp_replace(ip, r"(?<=:[^%]{0,45})%[^%]+\z", ""))
-    tail = F.regexp_extract(text, rf":({_QUAD})\z", 1)
-    tail_hex = _quad_hex(tail)
-    # A trailing dotted quad becomes two ordinary groups.
-    v6 = F.when(
-        tail != "",
-        F.concat(
-            F.regexp_replace(text, rf"{_QUAD}\z", ""),
-            F.substring(tail_hex, 1, 4),
-            F.lit(":"),
-            F.substring(tail_hex, 5, 4),
-        ),
-    ).otherwise(text)
-    v6 = F.lower(v6)
-    halves = F.split(v6, "::")
-
-    def groups(half: Column) -> Column:
-        return F.filter(F.split(half, ":"), lambda g: g != "")
-
-    left, right = groups(halves[0]), groups(F.try_element_at(halves, F.lit(2)))
-    right = F.coalesce(right, F.array().cast("array<string>"))
-    count = F.size(left) + F.size(right)
-    squeezed = v6.contains("::")
-    fits = F.when(squeezed, count <= 7).otherwise(count == 8)
-
-    def digits(half: Column) -> Column:
-        return F.array_join(F.transform(half, lambda g: F.lpad(g, 4, "0")), "")
-
-    v6_hex = F.concat(digits(left), F.repeat(F.lit("0000"), 8 - count), digits(right))
-    return F.when(
-        text.rlike(IPV4), F.unhex(F.concat(F.lit(_MAPPED), _quad_hex(text)))
-    ).when(v6.rlike(_IPV6) & fits, F.unhex(v6_hex))
+
+    def parse(text: Column) -> Column:
+        plain = F.when(text.rlike(rf":{_QUAD}\z"), _dotted_tail_to_groups(text)).otherwise(text)
+        return (
+            F.when(text.rlike(IPV4), F.unhex(F.concat(F.lit(_MAPPED), _quad_hex(text))))
+            .when(text.contains(":"), F.unhex(let(plain, _v6_hex)))
+        )
+
+    return let(F.lower(F.regexp_replace(ip, r"\A([^%]*:[^%]*)%[^%]+\z", "$1")), parse)
 
 
 def network_bounds(cidr: str) -> tuple[bytes, bytes]:

@@ -7,6 +7,8 @@ classes are spelled out.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ WORD_END = r"(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])"
 SPACE = r"(?U:[\s\x1c-\x1f])"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of `value` computed once: keeps a long expression from being copied wherever it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD + "+"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sitegauge.functions.ip import ip_bytes
+from sitegauge.functions.text import let
 
 _SCHEME = r"\A([A-Za-z][A-Za-z0-9+.\-]*):"
 _NETLOC = r"\A(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
@@ -38,16 +39,25 @@ def origin(url: Column) -> Column:
 def authority_malformed(authority: Column) -> Column:
     """Unbalanced brackets, or brackets around something that is no IPv6 address."""
     opened, closed = authority.contains("["), authority.contains("]")
-    inner = F.regexp_extract(authority, r"\[([^\]]*)\]", 1)
-    literal = F.coalesce(inner.contains(":") & ip_bytes(inner).isNotNull(), F.lit(False))
-    future = inner.rlike(r"\Av[0-9a-fA-F]+\..+\z")
-    return F.when(~opened & ~closed, False).when(opened != closed, True).otherwise(~(literal | future))
+    bad_literal = let(
+        F.regexp_extract(authority, r"\[([^\]]*)\]", 1),
+        lambda inner: ~(
+            (inner.contains(":") & ip_bytes(inner).isNotNull()) | inner.rlike(r"\Av[0-9a-fA-F]+\..+\z")
+        ),
+    )
+    return F.when(~opened & ~closed, False).when(opened != closed, True).otherwise(bad_literal)
 
 
 def hostname(authority: Column) -> Column:
     """Lower-case host without user info, port or brackets; NULL when empty."""
-    server = F.regexp_extract(authority, r"([^@]*)\z", 1)
-    host = F.when(
-        server.contains("["), F.regexp_extract(server, r"\[([^\]]*)", 1)
-    ).otherwise(F.regexp_extract(server, r"\A([^:]*)", 1))
-    return F.nullif(F.lower(host), F.lit(""))
+    return let(
+        F.regexp_extract(authority, r"([^@]*)\z", 1),
+        lambda server: F.nullif(
+            F.lower(
+                F.when(server.contains("["), F.regexp_extract(server, r"\[([^\]]*)", 1)).otherwise(
+                    F.regexp_extract(server, r"\A([^:]*)", 1)
+                )
+            ),
+            F.lit(""),
+        ),
+    )

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 # Rows of one key a single task should have to take.
 TASK_ROWS = 2_000_000
+# Parts the rows without a key are spread over.
+KEYLESS_PARTS = 4096
 
 
 def is_small(df: DataFrame, key: str, rows: int = BROADCAST_ROWS) -> bool:
@@ -45,8 +47,13 @@ def left_join_lookup(
         task_rows *= 2
         hot = counts.where((F.col("n") > task_rows) & F.col(key).isNotNull())
     hot = F.broadcast(hot.select(key, F.ceil(F.col("n") / task_rows).cast("int").alias("_parts")))
+    spray = F.xxhash64(salt_by)
     cut_left = left.join(hot, key, "left").withColumn(
-        "_part", F.coalesce(F.pmod(F.xxhash64(salt_by), F.col("_parts")).cast("int"), F.lit(0))
+        "_part",
+        # Rows without a key match nothing: spread them instead of piling them up.
+        F.when(F.col(key).isNull(), F.pmod(spray, F.lit(KEYLESS_PARTS)).cast("int")).otherwise(
+            F.coalesce(F.pmod(spray, F.col("_parts")).cast("int"), F.lit(0))
+        ),
     )
     cut_right = right.join(hot, key, "left").withColumn(
         "_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))

@@ -1,0 +1,256 @@
+"""Audit inputs derived from the given tables.
+
+The raw pages show few signals, so blocks that depend on `page_id` alone are
+added to each of them; site files, request logs, crawl frontiers and DNS answers
+are derived from pages and events the same way. Every derivation is a plain SQL
+expression over its row (or one aggregation), in text that reads the same in
+Spark SQL and in other SQL engines, so checks can rebuild the very same input.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sitegauge.sources.pages import as_instant
+
+# --- pages ------------------------------------------------------------------------
+
+_TWENTY = "This short opening says what the page is about and gives the reader one plain answer in twenty words"
+
+HEAD = """
+    CASE WHEN page_id % 2 = 0 THEN '<link rel="canonical" href="' || url || '">'
+         WHEN page_id % 10 = 1 THEN '<link rel="canonical"><link rel="canonical" href="' || url || '">' ELSE '' END
+ || CASE WHEN page_id % 9 = 3 THEN '<meta name="viewport" content="">'
+         WHEN page_id % 3 <> 0 THEN '<meta name="viewport" content="width=device-width">' ELSE '' END
+ || repeat('<meta property="og:title" content="t">', CAST(page_id % 5 AS INT))
+ || CASE page_id % 7
+      WHEN 1 THEN '<script type="application/ld+json">{"@type":"Article","author":{"@type":"Person","name":"Jane Smith"},"dateModified":"2025-03-0' || CAST(page_id % 9 + 1 AS VARCHAR(1)) || '"}</script>'
+      WHEN 2 THEN '<script type="application/ld+json">{"@graph":[{"@type":"WebPage"},{"@type":["FAQPage","BlogPosting"]}]}</script>'
+      WHEN 3 THEN '<script type="application/ld+json">[{"@type":"HowTo"},3]</script>'
+      WHEN 4 THEN '<script type="application/ld+json">{"@type":"Article",</script>'
+      WHEN 5 THEN '<script type="application/ld+json">{"@type":"BreadcrumbList","author":""}</script>'
+      WHEN 6 THEN '<script type="application/ld+json">{"@type":"NewsArticle"}</script><script type="application/ld+json">{"@type":"FAQPage"}</script>'
+      ELSE '' END
+ || CASE page_id % 11
+      WHEN 3 THEN '<meta name="author" content="Jane Smith">'
+      WHEN 4 THEN '<meta property="article:author" content="https://example.com/jane">'
+      WHEN 5 THEN '<meta name="author" content=" ">' ELSE '' END
+"""
+
+INTRO = f"""
+    CASE page_id % 4
+      WHEN 1 THEN CASE WHEN page_id % 8 = 1 THEN '<p>' || replace('{_TWENTY}', 'plain', '<b>plain</b>') || '.</p>'
+                       ELSE '<p>{_TWENTY}.</p>' END
+      WHEN 2 THEN '<p>{_TWENTY}</p>'
+      WHEN 3 THEN '<p>Only five words stand here.</p>' ELSE '' END
+ || CASE page_id % 6 WHEN 2 THEN '<p>TL;DR: it depends.</p>' WHEN 3 THEN '<p>It is, in short, a matter of taste.</p>' ELSE '' END
+"""
+
+BODY = """
+    repeat('<h2>What does it cost?</h2>', CAST(least(page_id % 4, page_id % 6) AS INT))
+ || repeat('<h2>Further remarks</h2>', CAST(page_id % 6 - least(page_id % 4, page_id % 6) AS INT))
+ || CASE WHEN page_id % 12 = 7 THEN '<div role="heading" aria-level="2">More</div>' ELSE '' END
+ || CASE WHEN page_id % 16 = 9 THEN '<h1>Second headline</h1>' ELSE '' END
+ || repeat('<ul><li>entry</li><li>other entry</li></ul>', CAST(page_id % 7 AS INT))
+ || CASE WHEN page_id % 3 = 0 THEN '<table><tr><td>cell</td></tr></table>' ELSE '' END
+ || CASE WHEN page_id % 4 = 0 THEN '<dl><dt>term</dt><dd>meaning</dd></dl>' ELSE '' END
+ || CASE page_id % 5 WHEN 1 THEN '<blockquote>quoted words</blockquote>' WHEN 2 THEN '<cite>Some source</cite>' ELSE '' END
+ || repeat('<a href="/i/n">inner</a> ', CAST(page_id % 9 AS INT))
+ || repeat('<a href="https://other.example/n">outer</a> ', CAST(page_id % 6 AS INT))
+ || CASE WHEN page_id % 4 >= 1 THEN '<a href="https://www.nasa.gov/x">agency</a> ' ELSE '' END
+ || CASE WHEN page_id % 4 >= 2 THEN '<a href="http://cs.example.edu">school</a> ' ELSE '' END
+ || CASE WHEN page_id % 4 >= 3 THEN '<a href="https://en.wikipedia.org/wiki/A">entry</a> ' ELSE '' END
+ || CASE WHEN page_id % 8 = 0 THEN '<a href="//cdn.example/x">cdn</a> <a href="#frag">jump</a> ' ELSE '' END
+ || CASE page_id % 9
+      WHEN 1 THEN '<p class="byline">By Jane Smith</p>'
+      WHEN 2 THEN '<a rel="author" href="/authors/1">Read More</a>'
+      WHEN 3 THEN '<p>By A. K. Rowling</p>'
+      WHEN 4 THEN '<p>By Jane Smith' || chr(39) || 's estimate, it will rain.</p>'
+      WHEN 5 THEN '<div class="authority-links">Backed By Public Data Sources</div>'
+      WHEN 6 THEN '<header><p>By Jane Smith</p></header>'
+      WHEN 7 THEN '<span class="author-name">Maria Rodriguez</span>' ELSE '' END
+ || CASE page_id % 5 WHEN 3 THEN '<p>Updated March of that year.</p>' WHEN 4 THEN '<p>It was so in 2019 already.</p>' ELSE '' END
+ || '<p>Filler' || repeat(' word', CAST(800 * (page_id % 5) AS INT)) || '</p>'
+"""
+
+TITLE_YEAR = "CASE page_id % 10 WHEN 4 THEN ' 2025' WHEN 5 THEN ' 2019' ELSE '' END"
+
+DECORATED_HTML = (
+    f"replace(replace(replace(html, '</head>', {HEAD} || '</head>'),"
+    f" '</h1>', {TITLE_YEAR} || '</h1>' || {INTRO}), '</article>', {BODY} || '</article>')"
+)
+LAST_MODIFIED = "CASE WHEN page_id % 3 = 1 THEN 'Tue, 04 Mar 2025 10:00:00 GMT' END"
+# Fetch status of the crawl: one page in three failed in one way or another.
+STATUS = (
+    "CASE page_id % 21 WHEN 1 THEN 404 WHEN 4 THEN 401 WHEN 7 THEN 403 WHEN 10 THEN 429 WHEN 13 THEN 500"
+    " WHEN 16 THEN 503 WHEN 19 THEN 418 ELSE 200 END"
+)
+
+
+def decorated_pages(pages: DataFrame) -> DataFrame:
+    return pages.select(
+        "page_id",
+        "url",
+        F.expr(DECORATED_HTML).alias("html"),
+        F.expr(f"map('Last-Modified', {LAST_MODIFIED})").alias("headers"),
+    )
+
+
+def crawled_pages(pages: DataFrame) -> DataFrame:
+    """Decorated pages of a crawl in which some fetches failed."""
+    return decorated_pages(pages).withColumns(
+        {"status": F.expr(STATUS), "reason": F.expr("CASE WHEN page_id % 21 = 19 THEN 'Teapot' END")}
+    )
+
+
+# --- site files ----------------------------------------------------------------------
+
+# Origin of a page and the number that decides what its site serves.
+ORIGIN = "regexp_extract(url, '^([a-z]+://[^/]*)', 1)"
+SITE_NO = "min(page_id)"
+
+_NL = "chr(10)"
+ROBOTS_BODY = f"""CASE site_no % 6
+    WHEN 1 THEN 'User-agent: GPTBot' || {_NL} || 'Disallow: /' || {_NL}
+    WHEN 2 THEN 'User-agent: GPTBot' || {_NL} || 'Disallow: /' || {_NL} || {_NL} || 'User-agent: CCBot' || {_NL} || 'Crawl-delay: 5' || {_NL}
+             || 'Disallow: / # all' || {_NL} || {_NL} || 'user-agent:ClaudeBot ' || {_NL} || 'disallow:/'
+    WHEN 3 THEN 'User-agent: PerplexityBot' || chr(13) || {_NL} || 'Allow: /a' || chr(13) || {_NL} || 'Disallow: /' || chr(13) || {_NL}
+    WHEN 4 THEN 'User-agent: *' || {_NL} || 'Disallow: /' || {_NL}
+    ELSE 'User-agent: Bytespider' || {_NL} || 'Disallow: /private' || {_NL} END"""
+ROBOTS_STATUS = "CASE site_no % 6 WHEN 0 THEN CASE WHEN site_no % 12 = 0 THEN 404 END ELSE 200 END"
+_GUIDE = "'# Guide' || chr(10) || 'This site describes itself here, in plain words, for machine readers.'"
+LLMS_BODY = f"""CASE site_no % 12
+    WHEN 2 THEN '# Twenty characters.' WHEN 3 THEN '<!doctype html><html><body>The home page of the site again</body></html>'
+    WHEN 4 THEN '﻿ <html><body>The home page of the site again, padded</body></html>' ELSE {_GUIDE} END"""
+LLMS_STATUS = "CASE site_no % 12 WHEN 0 THEN NULL WHEN 1 THEN 404 ELSE 200 END"
+LLMS_TYPE = "CASE site_no % 12 WHEN 5 THEN 'application/octet-stream' WHEN 6 THEN NULL ELSE 'Text/Plain; charset=utf-8' END"
+LLMS_HOPS = "CASE WHEN site_no % 5 < 2 THEN 1 ELSE 0 END"
+PROBE_STATUS = (
+    "CASE site_no % 8 WHEN 0 THEN NULL WHEN 1 THEN 404 WHEN 2 THEN 410 WHEN 3 THEN 302 WHEN 4 THEN 503"
+    " WHEN 7 THEN CASE WHEN site_no % 16 = 7 THEN 101 ELSE 301 END ELSE 200 END"
+)
+PROBE_TYPE = "CASE site_no % 8 WHEN 5 THEN 'text/html' ELSE 'text/plain' END"
+PROBE_BODY = "CASE site_no % 8 WHEN 5 THEN '<html></html>' WHEN 6 THEN 'welcome to all paths' ELSE '' END"
+
+SITE_FILE_KINDS = {
+    # kind: status, content type, body, redirect hops
+    "robots": (ROBOTS_STATUS, "'text/plain'", ROBOTS_BODY, "0"),
+    "llms": (LLMS_STATUS, LLMS_TYPE, LLMS_BODY, LLMS_HOPS),
+    "probe": (PROBE_STATUS, PROBE_TYPE, PROBE_BODY, "0"),
+}
+
+
+def sites(pages: DataFrame) -> DataFrame:
+    return pages.groupBy(F.expr(ORIGIN).alias("origin")).agg(F.expr(SITE_NO).alias("site_no"))
+
+
+def site_files(pages: DataFrame) -> DataFrame:
+    """One row per origin and file kind the crawl got an answer for."""
+    files = [
+        F.struct(
+            F.lit(kind).alias("kind"),
+            F.expr(status).cast("int").alias("status"),
+            F.expr(ctype).alias("content_type"),
+            F.expr(body).alias("body"),
+            F.expr(hops).cast("int").alias("redirect_hops"),
+        )
+        for kind, (status, ctype, body, hops) in SITE_FILE_KINDS.items()
+    ]
+    rows = sites(pages).select("origin", F.explode(F.array(*files)).alias("f")).select("origin", "f.*")
+    return rows.where(F.col("status").isNotNull())
+
+
+# --- request log ------------------------------------------------------------------------
+
+_CLIENT = "'10.0.' || CAST((user_id - user_id % 256) / 256 % 256 AS INT) || '.' || CAST(user_id % 256 AS INT)"
+FORWARDED_FOR = f"""CASE WHEN event_id % 19 = 0 THEN NULL
+    WHEN event_id % 17 = 0 THEN 'garbage,1.2.3.4'
+    WHEN event_id % 23 = 0 THEN {_CLIENT} || ':5678'
+    WHEN event_id % 29 = 0 THEN ' 2001:db8::' || CAST(user_id % 9 AS INT) || ' , 10.9.9.9'
+    WHEN event_id % 31 = 0 THEN '10.0.01.7'
+    ELSE {_CLIENT} || ', 172.16.0.1' END"""
+REAL_IP = f"CASE WHEN event_id % 17 = 0 THEN {_CLIENT} WHEN event_id % 31 = 0 THEN 'not-an-ip' END"
+PATH = """CASE event_id % 7 WHEN 0 THEN '/api/score' WHEN 1 THEN '/api/score?url=' WHEN 2 THEN '/api/score?lang=en'
+    WHEN 3 THEN '/api/score?lang=en&url=https%3A%2F%2Fexample.com%2Fa%20b&url=second'
+    ELSE '/api/score?url=example.com/' || event_type || '+' || CAST(event_id % 100 AS INT) || '#top' END"""
+# What the counter store answered, for logs of a limiter that asked one.
+STORE_STATUS = (
+    "CASE event_id % 13 WHEN 0 THEN NULL WHEN 1 THEN 401 WHEN 2 THEN 404 WHEN 3 THEN 429 WHEN 4 THEN 403"
+    " WHEN 5 THEN 500 WHEN 6 THEN 503 ELSE 200 END"
+)
+STORE_PARSED = "event_id % 5 <> 0"
+STORE_CONFIGURED = "event_id % 11 <> 0"
+
+
+def request_log(events: DataFrame) -> DataFrame:
+    headers = F.map_filter(
+        F.create_map(
+            F.lit("X-Forwarded-For"), F.expr(FORWARDED_FOR), F.lit("x-real-ip"), F.expr(REAL_IP)
+        ),
+        lambda _, v: v.isNotNull(),
+    )
+    return as_instant(events, "ts").select(
+        F.col("event_id").alias("request_id"), "ts", headers.alias("headers"), F.expr(PATH).alias("path")
+    )
+
+
+def store_log(events: DataFrame) -> DataFrame:
+    return events.select(
+        F.col("event_id").alias("request_id"),
+        F.expr(STORE_CONFIGURED).alias("configured"),
+        F.expr(STORE_STATUS).alias("store_status"),
+        F.expr(STORE_PARSED).alias("parsed"),
+    )
+
+
+# --- crawl frontier ---------------------------------------------------------------------
+
+# A spread-out 32-bit number per event, and address texts made of it.
+ADDRESS = "event_id % 1000003 * 2654435761 % 4294967296"
+
+
+def quad(number: str) -> str:
+    """Dotted quad of a 32-bit number."""
+    octets = [f"CAST((({number}) - ({number}) % {1 << s}) / {1 << s} % 256 AS INT)" for s in (24, 16, 8)]
+    return " || '.' || ".join(octets + [f"CAST(({number}) % 256 AS INT)"])
+
+
+_HOST = "'h' || CAST(user_id AS INT) || '.example.net'"
+FRONTIER_URL = f"""CASE event_id % 16
+    WHEN 0 THEN 'http://' || {quad(ADDRESS)} || '/x'
+    WHEN 1 THEN 'https://[::ffff:' || {quad(ADDRESS)} || ']:8443/'
+    WHEN 2 THEN 'http://[fd00::' || CAST(event_id % 10 AS INT) || ']/'
+    WHEN 3 THEN 'http://[2606:4700::' || CAST(event_id % 10 AS INT) || ':1]/'
+    WHEN 4 THEN CASE event_id % 3 WHEN 0 THEN 'ftp://example.com/' WHEN 1 THEN 'javascript:alert(1)' ELSE '//example.com/x' END
+    WHEN 5 THEN CASE event_id % 4 WHEN 0 THEN 'http://LocalHost./a' WHEN 1 THEN 'http://metadata/' WHEN 2 THEN 'http://printer.local/' ELSE 'http://user@nas.home:80/' END
+    WHEN 6 THEN 'http://10.' || CAST(event_id % 256 AS INT) || '.0.1:8080/'
+    WHEN 7 THEN CASE event_id % 3 WHEN 0 THEN 'http://[fe80::1/' WHEN 1 THEN 'https:///no-host' ELSE 'http://unresolved.example/' END
+    ELSE 'https://' || {_HOST} || '/' || event_type END"""
+# Answers of a host's k-th DNS record; every fourth client's host has none.
+DNS_ANSWERS = "user_id % 4"
+DNS_ADDRESS = "(user_id * 4 + k) % 1000003 * 2654435761 % 4294967296"
+DNS_IP = f"CASE WHEN user_id % 37 = 5 AND k = 0 THEN 'bad-answer' ELSE {quad(DNS_ADDRESS)} END"
+
+
+def frontier(events: DataFrame) -> DataFrame:
+    return events.select(F.col("event_id").alias("frontier_id"), F.expr(FRONTIER_URL).alias("url"))
+
+
+def dns(events: DataFrame) -> DataFrame:
+    hosts = events.select("user_id").distinct()
+    answers = hosts.select(
+        "user_id", F.explode(F.expr(f"filter(array(0, 1, 2), i -> i < {DNS_ANSWERS})")).alias("k")
+    )
+    return answers.select(F.expr(_HOST).alias("host"), F.expr(DNS_IP).alias("ip"))
+
+
+# Redirect chains: five events in a row form one fetch.
+FETCH_ID = "CAST((event_id - event_id % 5) / 5 AS BIGINT)"
+HOP_NO = "CAST(event_id % 5 AS INT)"
+
+
+def hops(events: DataFrame) -> DataFrame:
+    return events.select(
+        F.expr(FETCH_ID).alias("fetch_id"), F.expr(HOP_NO).alias("hop_no"), F.expr(FRONTIER_URL).alias("url")
+    )

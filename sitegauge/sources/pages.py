@@ -34,6 +34,14 @@ def header(headers: Column, name: str) -> Column:
     return F.try_element_at(hits, F.lit(1))["value"]
 
 
+def as_instant(df: DataFrame, column: str) -> DataFrame:
+    """Read a time without zone as UTC, whatever the session's zone."""
+    if df.schema[column].dataType.typeName() != "timestamp_ntz":
+        return df
+    local = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col(column))
+    return df.withColumn(column, local.cast("timestamp"))
+
+
 def page_source(pages: DataFrame) -> DataFrame:
     """Normalise the URL and fill in the crawl columns a table may lack."""
     pages = pages.withColumn("url", normalize_url(F.col("url")))
