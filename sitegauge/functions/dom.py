@@ -59,7 +59,7 @@ _ENDED_BY = {
     "tbody": frozenset(("tbody", "tfoot")),
     "tfoot": frozenset(("tbody",)),
     **dict.fromkeys(("h1", "h2", "h3", "h4", "h5", "h6"), _HEADING_ENDERS),
-    **dict.fromkeys(("b", "big", "s", "small", "strike", "tt", "u"), frozenset(("p",))),
+    **dict.fromkeys(("b", "big", "i", "s", "small", "strike", "tt", "u"), frozenset(("p",))),
 }
 # An end tag cannot reach past an open element of higher rank.
 _RANK = {"div": 150, "td": 160, "th": 160, "tr": 170, "tbody": 180, "tfoot": 180, "thead": 180, "table": 190}
