@@ -30,8 +30,9 @@ def words_in(text: str) -> str:
 def clean(text: str) -> str:
     """Strip one text node and decode the entities the pages use."""
     plain = text
-    for entity, char in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        plain = f"replace({plain}, '{entity}', '{char}')"
+    # A title cut off inside an entity ends without its semicolon.
+    for entity, char in (("&quot;?", '"'), ("&copy;?", "©"), ("&middot;?", "·"), ("&amp;?", "&")):
+        plain = f"regexp_replace({plain}, '{entity}', '{char}', 'g')"
     return rf"regexp_replace({plain}, '^\s+|\s+$', '', 'g')"
 
 

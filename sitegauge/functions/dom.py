@@ -26,6 +26,7 @@ _TOKEN = re.compile(
     r"|<[!?][^>]*+(?:>|\Z)"
     r"|<(/?)([A-Za-z][^\s/>]*+)((?:[\s/=]++|" + _ATTR + r")*+)(?:>|\Z)"
 )
+_WORDS = re.compile(r"\w+")
 _ATTRS = re.compile(r"""([^\s/>=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+""")
 
 # --- fixed values: how tag soup nests -----------------------------------------
@@ -74,7 +75,7 @@ class _Batch:
         self.eid, self.end, self.parent, self.tag, self.boiler = [], [], [], [], []
         self.t_from, self.t_to, self.t_chars = [], [], []
         self.attr_keys, self.attr_values = [], []
-        self.pos, self.text, self.inert, self.hidden = [], [], [], []
+        self.pos, self.text, self.words, self.inert, self.hidden = [], [], [], [], []
 
     def add(self, html: str) -> None:
         text_base = len(self.text)
@@ -138,6 +139,7 @@ class _Batch:
             _, _, boiler, inert, _, _ = stack[-1]
             self.pos.append(number)
             self.text.append(text)
+            self.words.append(0 if inert else len(_WORDS.findall(text)))
             self.inert.append(inert)
             self.hidden.append(boiler or inert)
             number += 1
@@ -240,6 +242,7 @@ class _Batch:
             [
                 pa.array(self.pos, i32),
                 pa.array(self.text, pa.string()),
+                pa.array(self.words, i32),
                 pa.array(self.inert, pa.bool_()),
                 pa.array(self.hidden, pa.bool_()),
             ],

@@ -99,6 +99,11 @@ def ip_bytes(ip: Column) -> Column:
     return let(F.lower(F.regexp_replace(ip, r"\A([^%]*:[^%]*)%[^%]+\z", "$1")), parse)
 
 
+def is_ip(text: Column) -> Column:
+    """Whether text is an IP address; IPv4, the common case, takes one pattern test."""
+    return F.when(text.rlike(IPV4), True).otherwise(text.contains(":") & ip_bytes(text).isNotNull())
+
+
 def network_bounds(cidr: str) -> tuple[bytes, bytes]:
     """First and last address of a network in the sixteen-byte form."""
     net = ipaddress.ip_network(cidr)

@@ -60,6 +60,13 @@ def visible_text(texts: Column) -> Column:
     )
 
 
+def visible_words(texts: Column) -> Column:
+    """Words of the visible text. Nodes are joined by a space, so their counts add up."""
+    return F.aggregate(
+        texts, F.lit(0), lambda n, t: n + F.when(t["hidden"], F.lit(0)).otherwise(t["words"])
+    )
+
+
 def main_region(elements: Column) -> Column:
     """First article, else first main, else body."""
     return F.coalesce(*[first(tagged(elements, tag)) for tag in ("article", "main", "body")])

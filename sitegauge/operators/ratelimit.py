@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sitegauge.functions.ip import ip_bytes
-from sitegauge.functions.text import let, strip
-from sitegauge.sources.pages import header
+from sitegauge.functions.ip import is_ip
+from sitegauge.functions.text import built_once, let, strip
+from sitegauge.sources.pages import header, spread
 
 PER_MINUTE, PER_DAY = 20, 200
 MINUTE, DAY = 60, 86_400
@@ -25,11 +25,13 @@ def caps(per_minute: object = PER_MINUTE, per_day: object = PER_DAY) -> tuple[in
     return max(1, pair[0]), max(1, pair[1])
 
 
-def client_ip(headers: Column) -> Column:
+@built_once
+def client_ip(headers: str = "headers") -> Column:
     """Leftmost forwarded address, else the real-ip header, else NULL; invalid text never counts."""
+    headers = F.col(headers)
 
     def valid(text: Column) -> Column:
-        return let(text, lambda t: F.when(ip_bytes(t).isNotNull(), t))
+        return let(text, lambda t: F.when(is_ip(t), t))
 
     forwarded = F.split(header(headers, "x-forwarded-for"), ",")[0]
     return F.coalesce(valid(strip(forwarded)), valid(strip(header(headers, "x-real-ip"))))
@@ -37,8 +39,8 @@ def client_ip(headers: Column) -> Column:
 
 def with_buckets(requests: DataFrame) -> DataFrame:
     """Client, epoch second, minute and day bucket (UTC) of each request."""
-    return requests.select(
-        "*", client_ip(F.col("headers")).alias("client_ip"), F.unix_seconds("ts").alias("second")
+    return spread(requests, "request_id").select(
+        "*", client_ip("headers").alias("client_ip"), F.unix_seconds("ts").alias("second")
     ).select(
         "*",
         F.expr(f"second div {MINUTE}").alias("minute_bucket"),

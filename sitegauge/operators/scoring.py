@@ -13,13 +13,9 @@ def bucket_weight(bucket: str) -> int:
     return sum(s.weight for s in all_signals() if s.bucket == bucket)
 
 
-def bucket_points(signals: Column, bucket: str) -> Column:
-    """Points earned in one bucket of a page's signal array."""
-    return F.aggregate(
-        signals,
-        F.lit(0),
-        lambda total, s: total + F.when(s["bucket"] == bucket, s["points"]).otherwise(0),
-    )
+def bucket_points(bucket: str) -> Column:
+    """Points earned in one bucket, from the signal columns `s1`, `s2`, …"""
+    return sum((F.col(f"s{s.no}.points") for s in all_signals() if s.bucket == bucket), F.lit(0))
 
 
 def scaled(points: Column, bucket: str) -> Column:

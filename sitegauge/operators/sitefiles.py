@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitegauge.functions.text import built_once
 from sitegauge.schema import AI_CRAWLERS
 
 _LEADING_JUNK = r"\A[\x{FEFF} \t\r\n\f\x0B]+"
@@ -79,6 +80,28 @@ def blocked_bots(body: Column, bots: tuple[str, ...] = AI_CRAWLERS) -> Column:
     )
 
 
+@built_once
+def _verdict_columns() -> list[Column]:
+    robots_read = F.col("r.status") == 200
+    verdict = llms_verdict(
+        F.col("l.status"),
+        F.col("l.content_type"),
+        F.col("l.body"),
+        F.col("l.redirect_hops"),
+        F.col("p.status"),
+        F.col("p.content_type"),
+        F.col("p.body"),
+    )
+    return [
+        verdict.alias("llms_verdict"),
+        F.col("p.status").alias("probe_status"),
+        F.when(robots_read, True).alias("robots_found"),
+        F.when(robots_read, blocked_bots(F.col("r.body")))
+        .otherwise(F.array().cast("array<string>"))
+        .alias("blocked_bots"),
+    ]
+
+
 def site_verdicts(site_files: DataFrame) -> DataFrame:
     """One small row per origin: llms verdict, probe status and shut-out crawlers.
 
@@ -88,28 +111,12 @@ def site_verdicts(site_files: DataFrame) -> DataFrame:
 
     def of(kind: str) -> Column:
         evidence = F.struct("status", "content_type", "body", "redirect_hops")
-        return F.first(F.when(F.col("kind") == kind, evidence), ignorenulls=True)
+        return F.max(F.when(F.col("kind") == kind, evidence))
 
     files = site_files.groupBy("origin").agg(
         of("robots").alias("r"), of("llms").alias("l"), of("probe").alias("p")
     )
-    return files.select(
-        "origin",
-        llms_verdict(
-            F.col("l.status"),
-            F.col("l.content_type"),
-            F.col("l.body"),
-            F.col("l.redirect_hops"),
-            F.col("p.status"),
-            F.col("p.content_type"),
-            F.col("p.body"),
-        ).alias("llms_verdict"),
-        F.col("p.status").alias("probe_status"),
-        F.when(F.col("r.status") == 200, True).alias("robots_found"),
-        F.when(F.col("r.status") == 200, blocked_bots(F.col("r.body")))
-        .otherwise(F.array().cast("array<string>"))
-        .alias("blocked_bots"),
-    )
+    return files.select("origin", *_verdict_columns())
 
 
 NO_EVIDENCE = {

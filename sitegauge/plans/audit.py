@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sitegauge.functions import jsonld
 from sitegauge.functions.dom import parse_html
-from sitegauge.functions.text import SPACE, WORD_END, WORD_START, any_word_of, word_count
+from sitegauge.functions.text import SPACE, WORD_END, any_word_of, built_once, let, word_count
 from sitegauge.functions.urls import authority_malformed, netloc, origin, scheme
 from sitegauge.operators import authors, elements as el, scoring
 from sitegauge.operators.joins import left_join_lookup
@@ -44,24 +44,24 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
     return source.withColumn("dom", parse_html(html)).drop("html")
 
 
-def page_arrays(parsed: DataFrame) -> DataFrame:
-    """The page's working arrays: full and pruned elements, texts, scripts, regions, links."""
-    everything, texts = F.col("dom.elements"), F.col("dom.texts")
-    title = el.first(el.tagged(everything, "title"))
-    base = parsed.select(
-        "page_id",
-        "url",
-        "final_url",
-        "headers",
-        "fetch_note",
-        everything.alias("elements"),
-        el.live(everything).alias("live"),
+@built_once
+def _view_columns() -> list[Column]:
+    """Full and pruned elements, texts and the visible text."""
+    elements, texts = F.col("dom.elements"), F.col("dom.texts")
+    return [
+        elements.alias("elements"),
+        el.live(elements).alias("live"),
         texts.alias("texts"),
         el.visible_text(texts).alias("visible"),
-        title.alias("_title"),
         F.lower(netloc(F.col("final_url"))).alias("page_host"),
-    )
-    live, texts = F.col("live"), F.col("texts")
+    ]
+
+
+@built_once
+def _derived_columns() -> list[Column]:
+    """Title, region, links, JSON-LD nodes and the texts that may name an author."""
+    elements, live, texts = F.col("elements"), F.col("live"), F.col("texts")
+    title = el.first(el.tagged(elements, "title"))
 
     def link(e: Column) -> Column:
         href = el.attr(e, "href")
@@ -72,21 +72,30 @@ def page_arrays(parsed: DataFrame) -> DataFrame:
         )
 
     anchors = F.filter(live, lambda e: (e["tag"] == "a") & el.attr(e, "href").isNotNull())
-    return base.select(
-        "*",
-        F.when(F.col("_title").isNotNull(), el.glued_text(texts, F.col("_title"), "inert")).alias("page_title"),
+    return [
+        let(title, lambda t: F.when(t.isNotNull(), el.glued_text(texts, t, "inert"))).alias("page_title"),
         el.main_region(live).alias("region"),
         F.transform(anchors, link).alias("links"),
-        jsonld.nodes(jsonld.documents(el.jsonld_scripts(F.col("elements"), texts))).alias("nodes"),
+        jsonld.nodes(jsonld.documents(el.jsonld_scripts(elements, texts))).alias("nodes"),
         authors.author_marked_texts(live, texts).alias("author_texts"),
         authors.short_block_texts(live, texts).alias("block_texts"),
-    ).select(
-        "*",
-        F.filter(live, lambda e: (e["tag"] == "p") & el.within(e, F.col("region"))).alias("paragraphs"),
-        F.filter(
-            F.col("links"), lambda k: k["absolute"] & ~authority_malformed(k["host"])
-        ).alias("absolute_links"),
-    )
+    ]
+
+
+@built_once
+def _narrowed_columns() -> list[Column]:
+    """Paragraphs of the main region and links with a host."""
+    region = F.col("region")
+    return [
+        F.filter(F.col("live"), lambda e: (e["tag"] == "p") & el.within(e, region)).alias("paragraphs"),
+        F.filter(F.col("links"), lambda k: k["absolute"] & ~authority_malformed(k["host"])).alias("absolute_links"),
+    ]
+
+
+def page_arrays(parsed: DataFrame) -> DataFrame:
+    """The page's working arrays: full and pruned elements, texts, scripts, regions, links."""
+    views = parsed.select("page_id", "url", "final_url", "headers", "fetch_note", *_view_columns())
+    return views.select("*", *_derived_columns()).select("*", *_narrowed_columns())
 
 
 def _first_answer(paragraphs: Column, texts: Column) -> Column:
@@ -109,10 +118,35 @@ def _first_meta(live: Column, name: str) -> Column:
     return el.first(F.filter(live, lambda e: (e["tag"] == "meta") & (el.attr(e, "name") == name)))
 
 
+def _claim_pattern(years: tuple[int, int]) -> str:
+    """`in 2025`, `as of March`, … in lower-cased text.
+
+    The first letter is tested before anything else: the pattern is tried at
+    every position of every page.
+    """
+    when = "|".join(_years(years) + MONTHS)
+    lead = r"[iaus](?<![\p{L}\p{N}_][iaus])(?:(?<=i)n|(?<=a)s of|(?<=u)pdated|(?<=s)ince)"
+    return f"{lead}{SPACE}+(?:{when}){WORD_END}"
+
+
 def scalar_facts(
     arrays: DataFrame, claim_years: tuple[int, int] = CLAIM_YEARS, title_years: tuple[int, int] = TITLE_YEARS
 ) -> DataFrame:
     """Reduce each page to the scalars the signal rules read; no text or array of elements survives."""
+    worked = arrays.select("*", *_text_columns())
+    return worked.select("page_id", "url", "final_url", "fetch_note", "page_title", *_fact_columns(claim_years, title_years))
+
+
+@built_once
+def _text_columns() -> list[Column]:
+    return [
+        _first_answer(F.col("paragraphs"), F.col("texts")).alias("answer"),
+        F.lower("visible").alias("lowered"),
+    ]
+
+
+@built_once
+def _fact_columns(claim_years: tuple[int, int], title_years: tuple[int, int]) -> list[Column]:
     live, texts, nodes, links = F.col("live"), F.col("texts"), F.col("nodes"), F.col("absolute_links")
     host = F.col("page_host")
     canonical = el.first(
@@ -120,10 +154,7 @@ def scalar_facts(
     )
     heading = F.coalesce(el.first(el.tagged(live, "h1")), el.first(el.tagged(live, "title")))
     first_p = el.first(F.col("paragraphs"))
-    top = F.lower(F.substring(F.lower(F.col("visible")), 1, SUMMARY_CHARS))
-    when = "|".join(_years(claim_years) + MONTHS)
-    arrays = arrays.withColumn("answer", _first_answer(F.col("paragraphs"), texts))
-    answer = F.col("answer")
+    answer, lowered = F.col("answer"), F.col("lowered")
 
     def count_links(test) -> Column:
         return F.size(F.filter(links, test))
@@ -134,12 +165,7 @@ def scalar_facts(
             hit = hit | k["host"].endswith(suffix)
         return (k["host"] != host) & hit
 
-    return arrays.select(
-        "page_id",
-        "url",
-        "final_url",
-        "fetch_note",
-        "page_title",
+    return [
         origin(F.col("final_url")).alias("origin"),
         scheme(F.col("final_url")).alias("page_scheme"),
         el.attr(canonical, "href").alias("canonical_href"),
@@ -156,11 +182,11 @@ def scalar_facts(
         F.size(
             F.filter(live, lambda e: (e["tag"] == "h2") & el.glued_text(texts, e).endswith("?"))
         ).alias("n_question_h2"),
-        word_count(F.col("visible")).alias("words"),
+        el.visible_words(texts).alias("words"),
         F.col("region").isNotNull().alias("has_region"),
         word_count(answer).alias("answer_words"),
         answer.rlike(r"[.!?]\z").alias("answer_closed"),
-        top.rlike(any_word_of(SUMMARY_WORDS)).alias("has_tldr"),
+        F.substring(lowered, 1, SUMMARY_CHARS).rlike(any_word_of(SUMMARY_WORDS)).alias("has_tldr"),
         F.when(
             first_p.isNotNull(),
             F.exists(live, lambda e: e["tag"].isin("strong", "b") & el.within(e, first_p)),
@@ -184,13 +210,11 @@ def scalar_facts(
         el.count_tagged(live, "cite").alias("n_cite"),
         jsonld.first_date_modified(nodes).alias("date_modified"),
         header(F.col("headers"), "last-modified").alias("last_modified"),
-        F.col("visible")
-        .rlike(rf"(?iu){WORD_START}(?:in|as of|updated|since){SPACE}+(?:{when}){WORD_END}")
-        .alias("dated_claim"),
+        lowered.rlike(_claim_pattern(claim_years)).alias("dated_claim"),
         F.coalesce(
             el.glued_text(texts, heading).rlike(any_word_of(_years(title_years))), F.lit(False)
         ).alias("title_year"),
-    )
+    ]
 
 
 def attach_site_evidence(facts: DataFrame, site_files: DataFrame | None, pages: DataFrame | None = None) -> DataFrame:
@@ -216,52 +240,54 @@ def page_facts(
     return attach_site_evidence(facts, site_files, pages)
 
 
+@built_once
+def _signal_columns(registered: tuple) -> list[Column]:
+    return [s.struct().alias(f"s{s.no}") for s in registered]
+
+
 def single_signal(facts: DataFrame, no: int) -> DataFrame:
     """One signal's outcome per page; Catalyst drops every fact the rule does not read."""
-    return facts.where(F.col("fetch_note").isNull()).select("page_id", REGISTRY[no].struct().alias("s"))
+    return facts.where(F.col("fetch_note").isNull()).select(
+        "page_id", _signal_columns((REGISTRY[no],))[0].alias("s")
+    )
+
+
+@built_once
+def _score_columns(registered: tuple) -> list[Column]:
+    points = {b: F.col(f"_{b}") for b in BUCKET_CAPS}
+    buckets = F.map_from_arrays(
+        F.array(*[F.lit(b) for b in BUCKET_CAPS]),
+        F.array(*[scoring.bucket_struct(points[b], b) for b in BUCKET_CAPS]),
+    )
+    no_buckets = F.create_map().cast("map<string,struct<earned:double,max:double,percent:double>>")
+    signals = F.array(*[F.col(f"s{s.no}") for s in registered])
+    no_signals = F.array().cast(f"array<{SIGNAL.simpleString()}>")
+    fetched = F.col("fetched")
+    return [
+        F.when(fetched, scoring.page_score(points)).otherwise(0).alias("score"),
+        F.when(fetched, buckets).otherwise(no_buckets).alias("bucket_scores"),
+        F.when(fetched, signals).otherwise(no_signals).alias("signals"),
+    ]
 
 
 def audit_facts(facts: DataFrame, fetched_at: str | None = None) -> DataFrame:
     """Signals, bucket points, score, grade, fixes and notes from page facts."""
-    fetched = F.col("fetch_note").isNull()
-    signals = F.array(*[s.struct() for s in all_signals()])
+    registered = tuple(all_signals())
+    page = ["page_id", "url", "final_url", "page_title", "origin", "fetched"]
     rows = facts.select(
-        "page_id",
-        "url",
-        "final_url",
-        "page_title",
-        "origin",
-        fetched.alias("fetched"),
-        F.when(fetched, signals).otherwise(F.array().cast(f"array<{SIGNAL.simpleString()}>")).alias("signals"),
-        F.when(fetched, F.array().cast("array<string>")).otherwise(F.array("fetch_note")).alias("notes"),
-    )
-    rows = rows.select(
-        "*", *[scoring.bucket_points(F.col("signals"), b).alias(f"_{b}") for b in BUCKET_CAPS]
+        *page[:-1], F.col("fetch_note").isNull().alias("fetched"), "fetch_note", *_signal_columns(registered)
     )
-    points = {b: F.col(f"_{b}") for b in BUCKET_CAPS}
-    rows = rows.select("*", F.when(F.col("fetched"), scoring.page_score(points)).otherwise(0).alias("score"))
+    rows = rows.select("*", *[scoring.bucket_points(b).alias(f"_{b}") for b in BUCKET_CAPS])
+    rows = rows.select(*page, "fetch_note", *_score_columns(registered))
     return rows.select(
-        "page_id",
-        "url",
-        "final_url",
-        "page_title",
-        "origin",
-        "fetched",
+        *page,
         F.lit(fetched_at).cast("string").alias("fetched_at"),
         "score",
         F.when(F.col("fetched"), scoring.grade(F.col("score"))).otherwise(scoring.failed_grade()).alias("grade"),
-        F.when(
-            F.col("fetched"),
-            F.map_from_arrays(
-                F.array(*[F.lit(b) for b in BUCKET_CAPS]),
-                F.array(*[scoring.bucket_struct(points[b], b) for b in BUCKET_CAPS]),
-            ),
-        )
-        .otherwise(F.create_map().cast("map<string,struct<earned:double,max:double,percent:double>>"))
-        .alias("bucket_scores"),
+        "bucket_scores",
         "signals",
         scoring.fix_list(F.col("signals")).alias("fixes"),
-        "notes",
+        F.array_compact(F.array("fetch_note")).alias("notes"),
     )
 
 

@@ -200,7 +200,7 @@ def visible_text(spark, folder):
 
 
 QUERIES["word_count"] = lambda spark, folder: arrays(spark, folder).select(
-    "page_id", word_count(F.col("visible")).alias("words")
+    "page_id", el.visible_words(F.col("texts")).alias("words")
 )
 
 
@@ -232,7 +232,7 @@ def js_rendered_flag(spark, folder):
         "page_id",
         el.count_tagged(F.col("elements"), "script").alias("n_scripts"),
         el.count_tagged(F.col("live"), "p").alias("n_paragraphs"),
-        word_count(F.col("visible")).alias("words"),
+        el.visible_words(F.col("texts")).alias("words"),
     ).withColumn(
         "js_rendered", (F.col("n_scripts") >= 3) & (F.col("n_paragraphs") < 3) & (F.col("words") < 200)
     )
@@ -528,7 +528,7 @@ def score_report(spark, folder):
 
 @query
 def client_ip(spark, folder):
-    return requests(spark, folder).select("request_id", rl.client_ip(F.col("headers")).alias("client_ip"))
+    return requests(spark, folder).select("request_id", rl.client_ip("headers").alias("client_ip"))
 
 
 @query
@@ -570,7 +570,7 @@ def rate_limit_unidentified(spark, folder):
 @query
 def limiter_outcome(spark, folder):
     log = derived.store_log(events(spark, folder)).join(
-        requests(spark, folder).select("request_id", rl.client_ip(F.col("headers")).alias("client_ip")), "request_id"
+        requests(spark, folder).select("request_id", rl.client_ip("headers").alias("client_ip")), "request_id"
     )
     outcome = rl.limiter_outcome(
         F.col("configured"), F.col("client_ip").isNotNull(), F.col("store_status"), F.col("parsed")

@@ -22,12 +22,13 @@ ELEMENT = T.StructType(
     ]
 )
 
-# One non-blank text node, stripped. `inert` marks script/style/template/ruby
+# One non-blank text node, stripped, with its word count (0 when inert). `inert` marks script/style/template/ruby
 # text; `hidden` marks text that is inert or lies in a boilerplate element.
 TEXT = T.StructType(
     [
         T.StructField("pos", T.IntegerType(), False),
         T.StructField("text", T.StringType(), False),
+        T.StructField("words", T.IntegerType(), False),
         T.StructField("inert", T.BooleanType(), False),
         T.StructField("hidden", T.BooleanType(), False),
     ]

@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Pages are wide rows: a few hundred of them already fill an Arrow batch.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+    # Long column expressions are built node by node: skip recording a call site for each.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # JSON-LD with a repeated key keeps the last value instead of being discarded.
     "spark.sql.variant.allowDuplicateKeys": "true",
 }

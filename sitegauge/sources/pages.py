@@ -45,12 +45,11 @@ def as_instant(df: DataFrame, column: str) -> DataFrame:
 def page_source(pages: DataFrame) -> DataFrame:
     """Normalise the URL and fill in the crawl columns a table may lack."""
     pages = pages.withColumn("url", normalize_url(F.col("url")))
-    for name, default in DEFAULTS.items():
-        value = F.coalesce(F.col(name), default()) if name in pages.columns else default()
-        pages = pages.withColumn(name, value)
-    return pages.select(
-        "page_id", "url", "final_url", "html", "status", "reason", "fetch_error", "headers", "redirect_hops"
-    )
+    optional = [
+        (F.coalesce(F.col(name), default()) if name in pages.columns else default()).alias(name)
+        for name, default in DEFAULTS.items()
+    ]
+    return pages.select("page_id", "url", "html", *optional)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -59,6 +58,8 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     A table of cluster size has far more splits than cores and is left alone, so
     its pages are never shuffled.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 

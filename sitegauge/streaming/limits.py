@@ -141,7 +141,7 @@ def read_decisions(spark: SparkSession, folder: str) -> DataFrame:
 def windowed_counts(requests: DataFrame, unit: str = "1 minute", lateness: str = "10 minutes") -> DataFrame:
     """Requests per client and tumbling window, with state bounded by the watermark."""
     return (
-        requests.select("ts", rl.client_ip(F.col("headers")).alias("client_ip"))
+        requests.select("ts", rl.client_ip("headers").alias("client_ip"))
         .where(F.col("client_ip").isNotNull())
         .withWatermark("ts", lateness)
         .groupBy(F.window("ts", unit), "client_ip")
