@@ -59,14 +59,14 @@ def bucket_counts(requests: DataFrame, unit: str) -> DataFrame:
     )
 
 
-def slice_offsets(identified: DataFrame) -> DataFrame:
+def slice_offsets(bucketed: DataFrame) -> DataFrame:
     """Per client and second: how many of its minute's and day's requests came in earlier seconds.
 
     Counts are aggregated map-side, so the windows see at most 86,400 rows per
     client and day however many requests one client sends. Both windows share
     one exchange (by client and day) and one sort.
     """
-    slices = identified.groupBy("client_ip", "day_bucket", "minute_bucket", "second").agg(
+    slices = bucketed.groupBy("client_ip", "day_bucket", "minute_bucket", "second").agg(
         F.count("*").alias("n")
     )
     day = W.partitionBy("client_ip", "day_bucket").orderBy("minute_bucket", "second")
@@ -83,18 +83,19 @@ def slice_offsets(identified: DataFrame) -> DataFrame:
     )
 
 
-def number_requests(identified: DataFrame, offsets: DataFrame) -> DataFrame:
+def number_requests(bucketed: DataFrame, offsets: DataFrame) -> DataFrame:
     """Each request's running number in its minute and day: earlier seconds plus its place in its second.
 
     No task holds more than one client-second of requests, so a client that
-    sends a third of the whole log is spread over all its seconds. Requests of
-    one instant are ordered by `request_id`; blocked requests count as well.
+    sends a third of the whole log is spread over all its seconds, and so are the
+    requests without a client, whose numbers stay NULL. Requests of one instant
+    are ordered by `request_id`; blocked requests count as well.
     """
     place = W.partitionBy("client_ip", "second").orderBy("ts", "request_id")
     keyed = offsets.select("client_ip", "second", "minute_before", "day_before")
     return (
-        identified.withColumn("_place", F.row_number().over(place))
-        .join(keyed, ["client_ip", "second"])
+        bucketed.withColumn("_place", F.row_number().over(place))
+        .join(keyed, ["client_ip", "second"], "left")
         .withColumns(
             {
                 "minute_count": F.col("minute_before") + F.col("_place"),
@@ -107,8 +108,8 @@ def number_requests(identified: DataFrame, offsets: DataFrame) -> DataFrame:
 
 def request_ordinals(requests: DataFrame) -> DataFrame:
     """Running minute and day numbers of every identified request."""
-    identified = with_buckets(requests).where(F.col("client_ip").isNotNull())
-    return number_requests(identified, slice_offsets(identified))
+    bucketed = with_buckets(requests)
+    return number_requests(bucketed, slice_offsets(bucketed)).where(F.col("client_ip").isNotNull())
 
 
 def retry_after(second: Column, minute_count: Column, day_count: Column, per_minute: int, per_day: int) -> Column:
@@ -121,39 +122,26 @@ def retry_after(second: Column, minute_count: Column, day_count: Column, per_min
 
 
 def decide(numbered: DataFrame, per_minute: int, per_day: int) -> DataFrame:
-    """Blocked iff a running number exceeds its cap; the cap itself is still allowed."""
+    """Blocked iff a running number exceeds its cap; the cap itself is still allowed.
+
+    A request without a client has no numbers: allowed, and nothing is enforced.
+    """
     over = (F.col("minute_count") > per_minute) | (F.col("day_count") > per_day)
     return numbered.withColumns(
         {
-            "allowed": ~over,
+            "allowed": ~F.coalesce(over, F.lit(False)),
             "retry_after_seconds": retry_after(
                 F.col("second"), F.col("minute_count"), F.col("day_count"), per_minute, per_day
             ),
-            "enforced": F.lit(True),
-        }
-    )
-
-
-def unidentified(bucketed: DataFrame) -> DataFrame:
-    """Requests without a client: allowed, not enforced, not counted."""
-    return bucketed.where(F.col("client_ip").isNull()).withColumns(
-        {
-            "minute_count": F.lit(None).cast("bigint"),
-            "day_count": F.lit(None).cast("bigint"),
-            "allowed": F.lit(True),
-            "retry_after_seconds": F.lit(0),
-            "enforced": F.lit(False),
+            "enforced": F.col("client_ip").isNotNull(),
         }
     )
 
 
 def rate_limit(requests: DataFrame, per_minute: object = PER_MINUTE, per_day: object = PER_DAY) -> DataFrame:
-    """Every request with its decision. Unidentified requests bypass the windows, so NULL is never a hot key."""
-    limits = caps(per_minute, per_day)
+    """Every request with its decision."""
     bucketed = with_buckets(requests)
-    identified = bucketed.where(F.col("client_ip").isNotNull())
-    decided = decide(number_requests(identified, slice_offsets(identified)), *limits)
-    return decided.unionByName(unidentified(bucketed))
+    return decide(number_requests(bucketed, slice_offsets(bucketed)), *caps(per_minute, per_day))
 
 
 def limiter_outcome(configured: Column, identified: Column, store_status: Column, parsed: Column) -> Column:

@@ -564,7 +564,7 @@ def retry_after(spark, folder):
 
 @query
 def rate_limit_unidentified(spark, folder):
-    return rl.unidentified(rl.with_buckets(requests(spark, folder))).select("request_id", "allowed", "enforced")
+    return limited(spark, folder).where(~F.col("enforced")).select("request_id", "allowed", "enforced")
 
 
 @query

@@ -53,9 +53,13 @@ def limit_batch(
     newest = max(x for x in (clock, newest, 0) if x is not None)
     horizon = None if clock is None else clock - lateness_seconds
 
-    bucketed = rl.with_buckets(requests)
+    # A late request is decided like one without a client.
     late = F.lit(False) if horizon is None else F.col("second") < horizon
-    identified = bucketed.where(F.col("client_ip").isNotNull() & ~late)
+    bucketed = (
+        rl.with_buckets(requests)
+        .withColumn("late", late)
+        .withColumn("client_ip", F.when(~F.col("late"), F.col("client_ip")))
+    )
 
     def carried(unit: str) -> DataFrame:
         return counters.where(F.col("unit") == unit).select(
@@ -63,7 +67,7 @@ def limit_batch(
         )
 
     offsets = (
-        rl.slice_offsets(identified)
+        rl.slice_offsets(bucketed)
         .join(carried("day"), ["client_ip", "day_bucket"], "left")
         .join(carried("minute"), ["client_ip", "minute_bucket"], "left")
         .withColumns(
@@ -73,9 +77,7 @@ def limit_batch(
             }
         )
     )
-    decided = rl.decide(rl.number_requests(identified, offsets), per_minute, per_day)
-    open_rows = rl.unidentified(bucketed.withColumn("client_ip", F.when(~late, F.col("client_ip"))))
-    rows = decided.unionByName(open_rows).select(
+    decided = rl.decide(rl.number_requests(bucketed, offsets), per_minute, per_day).select(
         "request_id",
         "ts",
         "client_ip",
@@ -84,14 +86,14 @@ def limit_batch(
         "allowed",
         "retry_after_seconds",
         "enforced",
-        late.alias("late"),
+        "late",
     )
-    rows.write.mode("overwrite").parquet(f"{folder}/decisions/batch={batch_id}")
+    decided.write.mode("overwrite").parquet(f"{folder}/decisions/batch={batch_id}")
 
     span = F.when(F.col("unit") == "minute", rl.MINUTE).otherwise(rl.DAY)
     kept = (
         counters.where("unit <> 'clock'")
-        .unionByName(_counters(identified))
+        .unionByName(_counters(bucketed.where(F.col("client_ip").isNotNull())))
         .groupBy("client_ip", "unit", "bucket")
         .agg(F.sum("n").alias("n"))
         .where((F.col("bucket") + 1) * span > newest - lateness_seconds)

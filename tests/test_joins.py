@@ -1,0 +1,46 @@
+"""The lookup join with a small and with a large lookup side."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sitegauge.operators.joins import left_join_lookup
+
+
+def sides(spark):
+    # One key holds a third of the rows, some rows have none, some keys match nothing.
+    left = spark.range(3000).select(
+        F.col("id").alias("row"),
+        F.expr("CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 50 = 1 THEN NULL ELSE concat('k', id % 40) END").alias("key"),
+    )
+    right = spark.range(30).select(F.concat(F.lit("k"), "id").alias("key"), (F.col("id") * 10).alias("v")).unionByName(
+        spark.range(1).select(F.lit("hot").alias("key"), F.lit(-1).cast("bigint").alias("v"))
+    )
+    return left, right
+
+
+def rows(df):
+    return sorted((r.row, r.key or "", r.v if r.v is not None else -99) for r in df.collect())
+
+
+def test_salted_join_equals_plain_join(spark):
+    left, right = sides(spark)
+    plain = rows(left.join(right, "key", "left"))
+    assert rows(left_join_lookup(left, right, "key", "row")) == plain
+    salted = left_join_lookup(left, right, "key", "row", broadcast_rows=5, task_rows=100)
+    assert rows(salted) == plain
+    given = left.groupBy("key").agg(F.count("*").alias("n"))
+    assert rows(left_join_lookup(left, right, "key", "row", key_counts=given, broadcast_rows=5, task_rows=100)) == plain
+
+
+def test_small_lookup_does_not_shuffle(spark):
+    left, right = sides(spark)
+    plan = left_join_lookup(left, right, "key", "row")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_hot_key_is_cut(spark):
+    left, right = sides(spark)
+    salted = left_join_lookup(left, right, "key", "row", broadcast_rows=5, task_rows=100)
+    plan = salted._jdf.queryExecution().optimizedPlan().toString()
+    assert "_part" in plan

@@ -1,0 +1,143 @@
+"""Every rule at its thresholds, and the invariants of a full report."""
+
+from __future__ import annotations
+
+import pytest
+
+from sitegauge.operators.signals import REGISTRY, Outcome, all_signals, register_signal
+from sitegauge.operators import scoring
+from sitegauge.schema import BUCKET_CAPS
+from pyspark.sql import functions as F
+
+# facts, signal number, passed, points
+RULES = [
+    ({"page_scheme": "https"}, 1, True, 2), ({"page_scheme": "http"}, 1, False, 0),
+    ({"canonical_href": "/x"}, 2, True, 2), ({"canonical_href": ""}, 2, False, 0), ({"canonical_href": None}, 2, False, 0),
+    ({"viewport_content": "w"}, 3, True, 2), ({"viewport_content": ""}, 3, False, 0),
+    ({"n_open_graph": 2}, 4, False, 0), ({"n_open_graph": 3}, 4, True, 2),
+    ({"llms_verdict": "pass_absence"}, 5, True, 3), ({"llms_verdict": "waf", "probe_status": 503}, 5, False, 0), ({"llms_verdict": None}, 5, False, 0),
+    ({"blocked_bots": []}, 6, True, 4), ({"blocked_bots": ["a"]}, 6, False, 3), ({"blocked_bots": list("abcdef")}, 6, False, 0),
+    ({"schema_types": ["TechArticle"]}, 7, True, 5), ({"schema_types": ["article"]}, 7, False, 0),
+    ({"schema_types": ["FAQPage"]}, 8, True, 6), ({"schema_types": []}, 8, False, 0),
+    ({"schema_types": ["HowTo"]}, 9, True, 3), ({"schema_types": ["BreadcrumbList"]}, 10, True, 3),
+    ({"n_h1": 1, "n_h2": 3}, 11, True, 4), ({"n_h1": 1, "n_h2": 2}, 11, False, 2), ({"n_h1": 1, "n_h2": 1}, 11, False, 1),
+    ({"n_h1": 2, "n_h2": 3}, 11, False, 2), ({"n_h1": 0, "n_h2": 5}, 11, False, 1), ({"n_h1": 0, "n_h2": 3, "has_title": True}, 11, True, 4),
+    ({"n_dl": 0}, 12, False, 0), ({"n_dl": 1}, 12, True, 3), ({"n_table": 1}, 13, True, 3),
+    ({"n_question_h2": 1}, 14, False, 1), ({"n_question_h2": 2}, 14, True, 2), ({"n_question_h2": 4}, 14, True, 3),
+    ({"words": 799}, 15, False, 0), ({"words": 800}, 15, False, 2), ({"words": 1199}, 15, False, 2), ({"words": 1200}, 15, True, 5),
+    ({"words": 3500}, 15, True, 5), ({"words": 3501}, 15, False, 2), ({"words": 5000}, 15, False, 2), ({"words": 5001}, 15, False, 0),
+    ({"answer_words": 8, "answer_closed": True}, 16, False, 1), ({"answer_words": 14, "answer_closed": True}, 16, False, 1),
+    ({"answer_words": 15, "answer_closed": True}, 16, True, 5), ({"answer_words": 60, "answer_closed": True}, 16, True, 5),
+    ({"answer_words": 61, "answer_closed": True}, 16, False, 2), ({"answer_words": 20, "answer_closed": False}, 16, False, 2),
+    ({"answer_words": None}, 16, False, 0), ({"has_region": False}, 16, False, 0),
+    ({"has_tldr": True}, 17, True, 5), ({"bold_first_p": True}, 18, True, 5), ({"bold_first_p": False}, 18, False, 0),
+    ({"n_lists": 2}, 19, False, 2), ({"n_lists": 3}, 19, True, 3), ({"n_lists": 9}, 19, True, 5),
+    ({"n_authority_links": 1}, 20, False, 1), ({"n_authority_links": 2}, 20, True, 2), ({"n_authority_links": 6}, 20, True, 5),
+    ({"n_internal_links": 0}, 21, False, 0), ({"n_internal_links": 4}, 21, False, 2), ({"n_internal_links": 5}, 21, True, 4),
+    ({"n_internal_links": 50}, 21, True, 4), ({"n_internal_links": 51}, 21, False, 2),
+    ({"author_source": "byline"}, 22, True, 5), ({"author_source": None}, 22, False, 0),
+    ({"n_external_links": 2}, 23, False, 1), ({"n_external_links": 3}, 23, True, 3), ({"n_external_links": 30}, 23, True, 3), ({"n_external_links": 31}, 23, False, 1),
+    ({"n_blockquote": 1}, 24, True, 3), ({"n_cite": 1}, 24, True, 3), ({}, 24, False, 0),
+    ({"date_modified": "2025"}, 25, True, 4), ({"last_modified": "Tue"}, 25, True, 4), ({"last_modified": ""}, 25, False, 0),
+    ({"dated_claim": True}, 26, True, 3), ({"title_year": True}, 27, True, 3),
+]
+
+FULL = {
+    "page_scheme": "https", "canonical_href": "/", "viewport_content": "w", "n_open_graph": 4, "llms_verdict": "pass_absence",
+    "schema_types": ["Article", "FAQPage", "HowTo", "BreadcrumbList"], "n_h1": 1, "n_h2": 4, "n_dl": 1, "n_table": 1,
+    "n_question_h2": 3, "words": 2000, "answer_words": 30, "answer_closed": True, "has_tldr": True, "bold_first_p": True,
+    "n_lists": 5, "n_authority_links": 5, "n_internal_links": 10, "author_source": "meta", "n_external_links": 10,
+    "n_cite": 1, "date_modified": "2025", "dated_claim": True, "title_year": True,
+}
+EMPTY = {"page_scheme": "http", "blocked_bots": list("abcdef"), "has_region": False}
+EXTRA = {"full": FULL, "empty": EMPTY, "failed": {"fetch_note": "HTTP 500", "page_title": None}}
+
+
+@pytest.fixture(scope="module")
+def audits(signals_from):
+    return signals_from({str(i): facts for i, (facts, *_) in enumerate(RULES)} | EXTRA)
+
+
+@pytest.mark.parametrize("i", range(len(RULES)))
+def test_rule(audits, i):
+    _, no, passed, points = RULES[i]
+    signal = audits[str(i)].signals[no - 1]
+    assert (signal.signal_no, signal.passed, signal.points) == (no, passed, points)
+
+
+def test_weights_fill_the_caps():
+    for bucket, cap in BUCKET_CAPS.items():
+        assert scoring.bucket_weight(bucket) == cap
+    assert len(all_signals()) == 27
+
+
+def test_best_and_worst_page(audits):
+    assert (audits["full"].score, audits["full"].grade, audits["full"].fixes) == (100, "A+", [])
+    # The heading and the outbound rules never give less than one point each.
+    assert (audits["empty"].score, audits["empty"].grade) == (2, "F")
+    assert len(audits["empty"].fixes) == 10
+
+
+def test_failed_fetch_is_not_scored(audits):
+    row = audits["failed"]
+    assert (row.score, row.grade, row.signals, row.fixes, row.notes) == (0, "—", [], [], ["HTTP 500"])
+    assert row.bucket_scores == {}
+
+
+def test_invariants(audits):
+    for name, row in audits.items():
+        if name == "failed":
+            continue
+        assert [s.signal_no for s in row.signals] == list(range(1, 28))
+        assert 2 <= row.score <= 100
+        assert row.score == sum(s.points for s in row.signals)
+        for s in row.signals:
+            assert 0 <= s.points <= s.weight
+            assert s.fix is None or not s.passed
+            assert s.detail
+        for bucket, b in row.bucket_scores.items():
+            earned = sum(s.points for s in row.signals if s.bucket == bucket)
+            assert (b.earned, b.max) == (earned, BUCKET_CAPS[bucket])
+            assert b.percent == pytest.approx(100 * earned / b.max, abs=0.05)
+        assert row.fixes == [s.fix for s in row.signals if s.fix][:10]
+
+
+def test_bold_without_a_paragraph_gives_no_advice(audits):
+    assert audits["empty"].signals[17].fix is None
+
+
+def test_grades_and_bands(spark):
+    scores = [0, 44, 45, 49, 50, 59, 60, 69, 70, 79, 80, 89, 90, 100]
+    rows = spark.createDataFrame([(s,) for s in scores], "score int").select(
+        "score",
+        scoring.grade(F.col("score")).alias("grade"),
+        scoring.tone(F.col("score")).alias("tone"),
+        scoring.gate(F.col("score"), F.lit(True)).alias("gate"),
+    ).collect()
+    assert [r.grade for r in rows] == ["F", "F", "D", "D", "D", "D", "C", "C", "B", "B", "A", "A", "A+", "A+"]
+    assert [r.tone for r in rows] == ["danger"] * 4 + ["warn"] * 4 + ["good"] * 6
+    assert [r.gate for r in rows] == [1] * 4 + [0] * 10
+
+
+def test_report_lists(audits, spark):
+    signals = audits["empty"].signals
+    failed = [s for s in signals if not s.passed]
+    expected = sorted(failed, key=lambda s: -s.weight)[:8]
+    frame = spark.createDataFrame([(signals,)], "signals array<struct<signal_no int, name string, bucket string, passed boolean, weight int, points int, detail string, fix string>>")
+    row = frame.select(
+        scoring.heaviest_failures(F.col("signals")).alias("top"), scoring.first_passes(F.col("signals")).alias("ok")
+    ).first()
+    assert [s.signal_no for s in row.top] == [s.signal_no for s in expected]
+    assert row.ok == [s for s in signals if s.passed][:6]
+
+
+def test_a_signal_can_be_registered(signals_from):
+    register_signal(
+        28, "Any words", "freshness", 0,
+        lambda: Outcome(F.col("words") > 0, F.lit(0), F.lit("counted"), F.lit("Write.")),
+    )
+    try:
+        row = signals_from({"x": {"words": 5}})["x"]
+        assert (row.signals[27].name, row.signals[27].passed) == ("Any words", True)
+    finally:
+        del REGISTRY[28]
