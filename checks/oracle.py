@@ -425,14 +425,14 @@ hosts AS (SELECT *, CASE WHEN contains(authority, '[') <> contains(authority, ']
     ELSE nullif(rtrim(lower(regexp_replace(CASE WHEN contains(authority, '[') THEN regexp_extract(authority, '\\[([^\\]]*)\\]', 1)
       ELSE regexp_replace(authority, '^.*@', '') END, CASE WHEN contains(authority, '[') THEN 'x^' ELSE ':.*$' END, '')), '.'), '') END AS host FROM parts),
 dns_rows AS (SELECT {d._HOST} AS host, {d.DNS_IP} AS ip FROM (SELECT DISTINCT user_id FROM events), (SELECT unnest([0, 1, 2]) AS k) WHERE k < {d.DNS_ANSWERS}),
-dns_hosts AS (SELECT host, count(*) AS answers, list_sort(list(DISTINCT ip)) AS ips,
+dns_hosts AS (SELECT host, count(*) AS answers, min(ip) AS lowest,
     bool_and(CASE WHEN ip = 'bad-answer' THEN false ELSE NOT {blocked_number(f"({quad_number('ip')})")} END) AS host_safe FROM dns_rows GROUP BY host),
 judged AS MATERIALIZED (SELECT h.*, CASE WHEN scheme NOT IN ('http', 'https') OR h.host IS NULL THEN false
     WHEN h.host IN ('localhost', 'metadata') OR regexp_matches(h.host, '\\.(internal|local|localhost|intranet|corp|home|lan)$') THEN false
     WHEN regexp_matches(h.host, '^[0-9.]+$') THEN NOT {blocked_number(f"({quad_number('h.host')})")}
     WHEN starts_with(h.host, '::ffff:') THEN NOT {blocked_number(f"({quad_number('h.host[8:]')})")}
     WHEN contains(h.host, ':') THEN NOT regexp_matches(h.host, '^(f[cd]|fe[89ab]|ff)|^::1?$')
-    ELSE coalesce(host_safe, false) END AS safe, ips FROM hosts h LEFT JOIN dns_hosts USING (host))
+    ELSE coalesce(host_safe, false) END AS safe, answers, lowest FROM hosts h LEFT JOIN dns_hosts USING (host))
 """
 
 ORACLES |= {
@@ -441,8 +441,9 @@ ORACLES |= {
     "host_denied": f"""WITH {HOSTS} SELECT frontier_id, coalesce(host IN ('localhost', 'metadata')
         OR regexp_matches(host, '\\.(internal|local|localhost|intranet|corp|home|lan)$'), false) AS denied FROM hosts""",
     "ip_blocked": f"SELECT event_id, {d.quad(d.ADDRESS)} AS ip, {blocked_number(f'({d.ADDRESS})')} AS blocked FROM events",
-    "host_ips": f"""WITH {HOSTS} SELECT frontier_id, host, CASE WHEN regexp_matches(host, '^[0-9.]+$') OR contains(host, ':') THEN host ELSE array_to_string(ips, ' ') END AS ips
-        FROM judged WHERE scheme IN ('http', 'https') AND host IS NOT NULL""",
+    "host_ips": f"""WITH {HOSTS} SELECT frontier_id, host, literal, CASE WHEN literal THEN 1 ELSE coalesce(answers, 0) END AS n_ips,
+        CASE WHEN literal THEN host ELSE lowest END AS lowest_ip
+        FROM (SELECT *, regexp_matches(host, '^[0-9.]+$') OR contains(host, ':') AS literal FROM judged) WHERE scheme IN ('http', 'https') AND host IS NOT NULL""",
     "host_dns_verdict": f"WITH {HOSTS} SELECT host, answers, host_safe FROM dns_hosts",
     "url_safety": f"WITH {HOSTS} SELECT frontier_id, url, safe, NOT safe AS refused FROM judged",
     "redirect_chain_safety": f"""WITH {HOSTS} SELECT fetch_id, bool_and(safe) AS safe, CAST(min(hop_no) FILTER (NOT safe) AS INT) AS first_unsafe_hop, count(*) AS n_hops

@@ -18,29 +18,30 @@ def looks_like_html(text: Column) -> Column:
     return F.regexp_replace(text, _LEADING_JUNK, "").startswith("<")
 
 
-def llms_verdict(
-    status: Column,
-    content_type: Column,
-    body: Column,
-    hops: Column,
-    probe_status: Column,
-    probe_type: Column,
-    probe_head: Column,
-) -> Column:
-    """Is llms.txt real? `pass_*` verdicts score, all others do not.
+def is_markup(content_type: Column, text: Column) -> Column:
+    """Declared as HTML or opening like it; NULL when either is missing."""
+    return F.lower(content_type).contains("text/html") | looks_like_html(text)
 
-    The probe is the answer to a path that cannot exist; a file counts only when
-    the site demonstrably answers unknown paths in another way.
-    """
+
+def llms_gate(status: Column, content_type: Column, body: Column) -> Column:
+    """Why a crawled llms.txt cannot count, NULL for a candidate the probe must confirm."""
     kind = F.coalesce(F.lower(content_type), F.lit(""))
-    probe_kind = F.lower(probe_type)
     present = F.coalesce((status == 200) & (F.length(body) > 50), F.lit(False))
-    probed = probe_status.isNotNull() & probe_type.isNotNull() & probe_head.isNotNull()
     return (
         F.when(~present, "absent")
-        .when(kind.contains("text/html") | looks_like_html(body), "html_fallback")
+        .when(is_markup(kind, body), "html_fallback")
         .when((kind != "") & ~kind.startswith("text/"), "bad_type")
-        .when(~probed, "unverified")
+    )
+
+
+def probe_verdict(hops: Column, probe_status: Column, probe_markup: Column) -> Column:
+    """What the answer to a path that cannot exist says about a candidate.
+
+    A file counts only when the site demonstrably answers unknown paths in
+    another way. `probe_markup` is NULL for an incomplete probe.
+    """
+    return (
+        F.when(probe_status.isNull() | probe_markup.isNull(), "unverified")
         .when(probe_status.isin(404, 410), "pass_absence")
         .when(
             probe_status.between(300, 399),
@@ -48,15 +49,28 @@ def llms_verdict(
         )
         .when(probe_status >= 400, "waf")
         .when(
-            probe_status.between(200, 299),
-            F.when(probe_kind.contains("text/html") | looks_like_html(probe_head), "pass_html_shell").otherwise(
-                "catch_all"
-            ),
+            probe_status.between(200, 299), F.when(probe_markup, "pass_html_shell").otherwise("catch_all")
         )
         .otherwise("unexpected")
     )
 
 
+def llms_verdict(
+    status: Column,
+    content_type: Column,
+    body: Column,
+    hops: Column,
+    probe_status: Column,
+    probe_type: Column,
+    probe_head: Column,
+) -> Column:
+    """Is llms.txt real? `pass_*` verdicts score, all others do not."""
+    return F.coalesce(
+        llms_gate(status, content_type, body),
+        probe_verdict(hops, probe_status, is_markup(probe_type, probe_head)),
+    )
+
+
 def blocked_bots(body: Column, bots: tuple[str, ...] = AI_CRAWLERS) -> Column:
     """Crawlers a robots.txt shuts out of the whole site, in the order of `bots`.
 
@@ -81,42 +95,42 @@ def blocked_bots(body: Column, bots: tuple[str, ...] = AI_CRAWLERS) -> Column:
 
 
 @built_once
-def _verdict_columns() -> list[Column]:
-    robots_read = F.col("r.status") == 200
-    verdict = llms_verdict(
-        F.col("l.status"),
-        F.col("l.content_type"),
-        F.col("l.body"),
-        F.col("l.redirect_hops"),
-        F.col("p.status"),
-        F.col("p.content_type"),
-        F.col("p.body"),
-    )
+def _evidence_columns() -> list[Column]:
+    """What each crawled file proves, judged in place: a few small values per file."""
+    kind, status = F.col("kind"), F.col("status")
+    ctype, body = F.col("content_type"), F.col("body")
     return [
-        verdict.alias("llms_verdict"),
-        F.col("p.status").alias("probe_status"),
-        F.when(robots_read, True).alias("robots_found"),
-        F.when(robots_read, blocked_bots(F.col("r.body")))
-        .otherwise(F.array().cast("array<string>"))
-        .alias("blocked_bots"),
+        F.when(
+            kind == "llms",
+            F.struct(
+                F.coalesce(llms_gate(status, ctype, body), F.lit("candidate")).alias("gate"),
+                F.col("redirect_hops").alias("hops"),
+            ),
+        ).alias("l"),
+        F.when(
+            (kind == "probe") & status.isNotNull(),
+            F.struct(status.alias("status"), is_markup(ctype, body).alias("markup")),
+        ).alias("p"),
+        F.when((kind == "robots") & (status == 200), F.struct(blocked_bots(body).alias("blocked"))).alias("r"),
     ]
 
 
 def site_verdicts(site_files: DataFrame) -> DataFrame:
     """One small row per origin: llms verdict, probe status and shut-out crawlers.
 
-    One aggregation over the crawled files brings an origin's three files
-    together; bodies end here and never travel with pages.
+    Files are judged where they are read; only the outcome is shuffled to bring
+    an origin's files together, never a body.
     """
-
-    def of(kind: str) -> Column:
-        evidence = F.struct("status", "content_type", "body", "redirect_hops")
-        return F.max(F.when(F.col("kind") == kind, evidence))
-
-    files = site_files.groupBy("origin").agg(
-        of("robots").alias("r"), of("llms").alias("l"), of("probe").alias("p")
+    evidence = site_files.select("origin", *_evidence_columns())
+    sites = evidence.groupBy("origin").agg(*[F.max(c).alias(c) for c in ("l", "p", "r")])
+    gate = F.nullif(F.coalesce(F.col("l.gate"), F.lit("absent")), F.lit("candidate"))
+    return sites.select(
+        "origin",
+        F.coalesce(gate, probe_verdict(F.col("l.hops"), F.col("p.status"), F.col("p.markup"))).alias("llms_verdict"),
+        F.col("p.status").alias("probe_status"),
+        F.when(F.col("r").isNotNull(), True).alias("robots_found"),
+        F.coalesce("r.blocked", F.array().cast("array<string>")).alias("blocked_bots"),
     )
-    return files.select("origin", *_verdict_columns())
 
 
 NO_EVIDENCE = {

@@ -19,7 +19,7 @@ from sitegauge.operators.joins import left_join_lookup
 from sitegauge.operators.signals import REGISTRY, all_signals
 from sitegauge.operators.sitefiles import NO_EVIDENCE, site_verdicts
 from sitegauge.schema import BUCKET_CAPS, SIGNAL
-from sitegauge.sources.pages import fetch_note, header, page_source, spread
+from sitegauge.sources.pages import fetch_note, header, page_source
 
 AUTHORITY_SUFFIXES = (".gov", ".edu", ".ac.uk", "wikipedia.org")
 SUMMARY_WORDS = ["tl;dr", "tldr", "in short", "summary"]
@@ -37,9 +37,9 @@ def _years(span: tuple[int, int]) -> list[str]:
 
 def parsed_pages(pages: DataFrame) -> DataFrame:
     """Pages with a `dom` column in place of `html`; failed fetches are not parsed."""
-    source = spread(page_source(pages), "page_id")
-    note = fetch_note(F.col("status"), F.col("reason"), F.col("fetch_error"))
-    source = source.withColumn("fetch_note", F.when(F.col("html").isNull(), F.coalesce(note, F.lit("The fetch returned nothing."))).otherwise(note))
+    failure = fetch_note(F.col("status"), F.col("reason"), F.col("fetch_error"))
+    missing = F.when(F.col("html").isNull(), "The fetch returned nothing.")
+    source = page_source(pages).withColumn("fetch_note", F.coalesce(failure, missing))
     html = F.when(F.col("fetch_note").isNull(), F.col("html"))
     return source.withColumn("dom", parse_html(html)).drop("html")
 

@@ -17,7 +17,7 @@ from sitegauge.operators.signals import all_signals
 from sitegauge.plans import audit as plan, reports
 from sitegauge.schema import AI_CRAWLERS, BUCKET_CAPS
 from sitegauge.sources import derived
-from sitegauge.sources.pages import fetch_note, page_source, read_table
+from sitegauge.sources.pages import fetch_note, page_source, read_table, spread
 from sitegauge.streaming import limits
 from sitegauge.streaming.folders import run_folder
 
@@ -37,12 +37,14 @@ def query(build: Query) -> Query:
 # --- inputs -----------------------------------------------------------------------
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return read_table(spark, f"{folder}/{name}.parquet")
+def table(spark: SparkSession, folder: str, name: str, key: str | None = None) -> DataFrame:
+    """A given table; with a key, spread over all cores where it is stored in one piece."""
+    scan = read_table(spark, f"{folder}/{name}.parquet")
+    return spread(scan, key) if key else scan
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
-    return derived.decorated_pages(table(spark, folder, "pages"))
+    return derived.decorated_pages(table(spark, folder, "pages", "page_id"))
 
 
 def site_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -50,7 +52,7 @@ def site_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events")
+    return table(spark, folder, "events", "event_id")
 
 
 def requests(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,7 +68,7 @@ def arrays(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def facts(spark: SparkSession, folder: str) -> DataFrame:
-    raw = table(spark, folder, "pages")
+    raw = table(spark, folder, "pages", "page_id")
     return plan.page_facts(derived.decorated_pages(raw), derived.site_files(raw))
 
 
@@ -76,7 +78,7 @@ def audit(spark: SparkSession, folder: str) -> DataFrame:
 
 def crawl_audit(spark: SparkSession, folder: str) -> DataFrame:
     """Audit of a crawl in which some fetches failed."""
-    raw = table(spark, folder, "pages")
+    raw = table(spark, folder, "pages", "page_id")
     return plan.audit_pages(derived.crawled_pages(raw), derived.site_files(raw), fetched_at=FETCHED_AT)
 
 
@@ -404,19 +406,27 @@ def ip_blocked(spark, folder):
 
 @query
 def host_ips(spark, folder):
-    """Addresses to judge per URL: a literal host is its own address, else its DNS answers."""
+    """Addresses to judge per URL: a literal host is its own only address, else its DNS answers.
+
+    Answers are counted per host before the join: a URL never fans out to its host's answers.
+    """
     local = safety.local_verdicts(frontier(spark, folder)).where(
         F.col("scheme").isin("http", "https") & F.col("host").isNotNull()
     )
-    answers = dns(spark, folder).groupBy("host").agg(F.array_sort(F.collect_set("ip")).alias("ips"))
+    answers = dns(spark, folder).groupBy(F.col("host").alias("dns_host")).agg(
+        F.count("*").alias("answers"), F.min("ip").alias("lowest")
+    )
+    literal = F.col("address").isNotNull()
     joined = left_join_lookup(
-        local.withColumn("dns_host", F.when(F.col("address").isNull(), F.col("host"))),
-        answers.withColumnRenamed("host", "dns_host"),
-        "dns_host",
+        local.withColumn("dns_host", F.when(~literal, F.col("host"))), answers, "dns_host", "frontier_id"
+    )
+    return joined.select(
         "frontier_id",
+        "host",
+        literal.alias("literal"),
+        F.when(literal, F.lit(1)).otherwise(F.coalesce("answers", F.lit(0))).cast("bigint").alias("n_ips"),
+        F.when(literal, F.col("host")).otherwise(F.col("lowest")).alias("lowest_ip"),
     )
-    ips = F.when(F.col("address").isNotNull(), F.array("host")).otherwise(F.col("ips"))
-    return joined.select("frontier_id", "host", F.array_join(ips, " ").alias("ips"))
 
 
 @query
@@ -569,13 +579,10 @@ def rate_limit_unidentified(spark, folder):
 
 @query
 def limiter_outcome(spark, folder):
-    log = derived.store_log(events(spark, folder)).join(
-        requests(spark, folder).select("request_id", rl.client_ip("headers").alias("client_ip")), "request_id"
-    )
     outcome = rl.limiter_outcome(
-        F.col("configured"), F.col("client_ip").isNotNull(), F.col("store_status"), F.col("parsed")
+        F.col("configured"), rl.client_ip("headers").isNotNull(), F.col("store_status"), F.col("parsed")
     )
-    return log.select("request_id", outcome.alias("o")).select("request_id", "o.*")
+    return requests(spark, folder).select("request_id", outcome.alias("o")).select("request_id", "o.*")
 
 
 @query

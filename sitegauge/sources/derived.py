@@ -191,13 +191,10 @@ def request_log(events: DataFrame) -> DataFrame:
         lambda _, v: v.isNotNull(),
     )
     return as_instant(events, "ts").select(
-        F.col("event_id").alias("request_id"), "ts", headers.alias("headers"), F.expr(PATH).alias("path")
-    )
-
-
-def store_log(events: DataFrame) -> DataFrame:
-    return events.select(
         F.col("event_id").alias("request_id"),
+        "ts",
+        headers.alias("headers"),
+        F.expr(PATH).alias("path"),
         F.expr(STORE_CONFIGURED).alias("configured"),
         F.expr(STORE_STATUS).alias("store_status"),
         F.expr(STORE_PARSED).alias("parsed"),

@@ -52,16 +52,14 @@ def page_source(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html", *optional)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use every core on a table stored in fewer splits than cores.
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Use every core on a plain table scan stored in fewer splits than cores.
 
     A table of cluster size has far more splits than cores and is left alone, so
-    its pages are never shuffled.
+    its rows are never shuffled.
     """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)
 
 
 def fetch_note(status: Column, reason: Column, fetch_error: Column) -> Column:
