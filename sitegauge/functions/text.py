@@ -65,9 +65,20 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 
 
+def words_from(words: list[str]) -> str:
+    """Pattern for any of `words` at the start of a word.
+
+    The first letter is tested before the look-behind and the alternatives: a
+    search tries the pattern at every position of a page.
+    """
+    firsts = "".join(dict.fromkeys(w[0] for w in words))
+    rests = "|".join(f"(?<={w[0]}){w[1:]}" for w in words)
+    return rf"[{firsts}](?<![\p{{L}}\p{{N}}_][{firsts}])(?:{rests})"
+
+
 def any_word_of(words: list[str]) -> str:
     """Pattern for any of `words` standing alone."""
-    return "|".join(f"{WORD_START}{w}{WORD_END}" for w in words)
+    return words_from(words) + WORD_END
 
 
 def plain_count(n: Column, singular: str, plural: str | None = None) -> Column:

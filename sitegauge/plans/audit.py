@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sitegauge.functions import jsonld
 from sitegauge.functions.dom import parse_html
-from sitegauge.functions.text import SPACE, WORD_END, any_word_of, built_once, let, word_count
+from sitegauge.functions.text import SPACE, WORD_END, any_word_of, built_once, let, word_count, words_from
 from sitegauge.functions.urls import authority_malformed, netloc, origin, scheme
 from sitegauge.operators import authors, elements as el, scoring
 from sitegauge.operators.joins import left_join_lookup
@@ -24,6 +24,7 @@ from sitegauge.sources.pages import fetch_note, header, page_source
 AUTHORITY_SUFFIXES = (".gov", ".edu", ".ac.uk", "wikipedia.org")
 SUMMARY_WORDS = ["tl;dr", "tldr", "in short", "summary"]
 SUMMARY_CHARS = 2000
+CLAIM_LEADS = ["in", "as of", "updated", "since"]
 MONTHS = (
     "january february march april may june july august september october november december"
 ).split()
@@ -119,14 +120,9 @@ def _first_meta(live: Column, name: str) -> Column:
 
 
 def _claim_pattern(years: tuple[int, int]) -> str:
-    """`in 2025`, `as of March`, … in lower-cased text.
-
-    The first letter is tested before anything else: the pattern is tried at
-    every position of every page.
-    """
+    """`in 2025`, `as of March`, … in lower-cased text."""
     when = "|".join(_years(years) + MONTHS)
-    lead = r"[iaus](?<![\p{L}\p{N}_][iaus])(?:(?<=i)n|(?<=a)s of|(?<=u)pdated|(?<=s)ince)"
-    return f"{lead}{SPACE}+(?:{when}){WORD_END}"
+    return f"{words_from(CLAIM_LEADS)}{SPACE}+(?:{when}){WORD_END}"
 
 
 def scalar_facts(
