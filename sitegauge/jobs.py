@@ -1,6 +1,6 @@
 """Audit job for spark-submit: crawl table in, report table out.
 
-    spark-submit --py-files sitegauge.zip -m sitegauge.jobs PAGES OUT [--site-files PATH] [--format json]
+    spark-submit --py-files sitegauge.zip sitegauge/jobs.py PAGES OUT [--site-files PATH] [--format json]
 
 Exits with 0 when every page reaches the bar, 1 when one does not, 2 on an error.
 """
@@ -13,6 +13,7 @@ import sys
 from pyspark.sql import functions as F
 
 from sitegauge.plans.audit import audit_pages
+from sitegauge.schema import PAGE, SITE_FILE
 from sitegauge.session import build_session
 from sitegauge.sources.pages import read_table
 from sitegauge.sources.sinks import write_reports
@@ -28,8 +29,8 @@ def run(argv: list[str]) -> int:
     parser.add_argument("--bar", type=int, default=50)
     args = parser.parse_args(argv)
     spark = build_session()
-    files = read_table(spark, args.site_files) if args.site_files else None
-    audit = audit_pages(read_table(spark, args.pages), files, fetched_at=args.fetched_at)
+    files = read_table(spark, args.site_files, schema=SITE_FILE) if args.site_files else None
+    audit = audit_pages(read_table(spark, args.pages, schema=PAGE), files, fetched_at=args.fetched_at)
     write_reports(audit, args.out, args.format)
     # The gate reads the written scores: pages are parsed once.
     written = spark.read.json(args.out) if args.format == "json" else spark.read.format(args.format).load(args.out)

@@ -54,6 +54,21 @@ SIGNAL = T.StructType(
     ]
 )
 
+# A crawl table; all but the first three columns are optional.
+PAGE = T.StructType(
+    [
+        T.StructField("page_id", T.LongType()),
+        T.StructField("url", T.StringType()),
+        T.StructField("html", T.StringType()),
+        T.StructField("final_url", T.StringType()),
+        T.StructField("status", T.IntegerType()),
+        T.StructField("reason", T.StringType()),
+        T.StructField("fetch_error", T.StringType()),
+        T.StructField("headers", T.MapType(T.StringType(), T.StringType())),
+        T.StructField("redirect_hops", T.IntegerType()),
+    ]
+)
+
 SITE_FILE = T.StructType(
     [
         T.StructField("origin", T.StringType()),

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 from sitegauge.functions.urls import normalize_url
+from sitegauge.schema import PAGE
 
 # Optional crawl columns and the value a page gets when the table lacks them.
 DEFAULTS = {
@@ -18,13 +20,20 @@ DEFAULTS = {
 }
 
 
-def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """Read a table by format; the format defaults to the path's suffix, else parquet."""
+def read_table(
+    spark: SparkSession, path: str, fmt: str | None = None, schema: StructType | None = None
+) -> DataFrame:
+    """Read a table by format; the format defaults to the path's suffix, else parquet.
+
+    `schema` types JSON rows, which would otherwise be read twice to guess it.
+    """
     known = {"json": "json", "jsonl": "json", "csv": "csv", "orc": "orc", "parquet": "parquet"}
     fmt = fmt or known.get(path.rstrip("/").rsplit(".", 1)[-1], "parquet")
     reader = spark.read.format(fmt)
     if fmt == "csv":
         reader = reader.options(header=True, multiLine=True, escape='"')
+    elif fmt == "json" and schema is not None:
+        reader = reader.schema(schema)
     return reader.load(path)
 
 
@@ -45,8 +54,14 @@ def as_instant(df: DataFrame, column: str) -> DataFrame:
 def page_source(pages: DataFrame) -> DataFrame:
     """Normalise the URL and fill in the crawl columns a table may lack."""
     pages = pages.withColumn("url", normalize_url(F.col("url")))
+
+    def given(name: str) -> Column:
+        if name == "headers" and pages.schema[name].dataType == StringType():
+            return F.from_json(name, "map<string,string>")  # text tables keep the map as JSON
+        return F.col(name).cast(PAGE[name].dataType)
+
     optional = [
-        (F.coalesce(F.col(name), default()) if name in pages.columns else default()).alias(name)
+        (F.coalesce(given(name), default()) if name in pages.columns else default()).alias(name)
         for name, default in DEFAULTS.items()
     ]
     return pages.select("page_id", "url", "html", *optional)

@@ -1,0 +1,70 @@
+"""Reading, the audit job and its sinks."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import functions as F
+
+from conftest import TABLES
+from sitegauge import audit_pages, bucket_table, first_fixes, gate_table, top_fixes, whats_working
+from sitegauge.jobs import run
+from sitegauge.sources.derived import crawled_pages, site_files
+from sitegauge.sources.pages import read_table, spread
+
+
+def test_formats_and_gate(spark, tmp_path):
+    raw = spark.read.parquet(f"{TABLES}/pages.parquet")
+    pages, files = str(tmp_path / "pages.json"), str(tmp_path / "files.parquet")
+    crawled_pages(raw).write.json(pages)
+    site_files(raw).write.parquet(files)
+    out = str(tmp_path / "out")
+    # A failed fetch scores 0, so the gate reports pages below the bar.
+    assert run([pages, out, "--site-files", files, "--format", "json", "--fetched-at", "2025-01-01T00:00:00Z"]) == 1
+    reports = [json.loads(r.value) for r in spark.read.text(out).collect()]
+    assert len(reports) == raw.count()
+    keys = ["url", "score", "grade", "fetched_at", "page_title", "bucket_scores", "signals", "fixes", "notes"]
+    assert all(list(r) == keys for r in reports)
+    scored = [r for r in reports if r["grade"] != "—"]
+    assert all(len(r["signals"]) == 27 and list(r["bucket_scores"])[0] == "schema_structure" for r in scored)
+    assert run([pages, str(tmp_path / "typed"), "--bar", "0"]) == 0
+    assert spark.read.parquet(str(tmp_path / "typed")).where("score IS NULL").count() == 0
+
+
+def test_csv_and_missing_columns(spark, tmp_path):
+    path = str(tmp_path / "p.csv")
+    spark.createDataFrame(
+        [(1, "a.example/x", '<title>t</title><p>"quoted", and\nbroken</p>', '{"Last-Modified":"Tue"}')],
+        "page_id bigint, url string, html string, headers string",
+    ).write.csv(path, header=True, escape='"')
+    row = audit_pages(read_table(spark, path)).first()
+    assert (row.url, row.page_title, row.fetched) == ("https://a.example/x", "t", True)
+    assert row.signals[24].detail == "Last-Modified: Tue"
+
+
+def test_missing_html_is_a_failed_fetch(spark):
+    pages = spark.createDataFrame(
+        [(1, "https://a", None, None), (2, "https://b", "<p>x</p>", "refused")],
+        "page_id int, url string, html string, fetch_error string",
+    )
+    rows = {r.page_id: r for r in audit_pages(pages).collect()}
+    assert (rows[1].grade, rows[1].notes) == ("—", ["The fetch returned nothing."])
+    assert (rows[2].grade, rows[2].notes) == ("—", ["refused"])
+
+
+def test_report_tables(spark):
+    raw = spark.read.parquet(f"{TABLES}/pages.parquet")
+    audit = audit_pages(crawled_pages(raw), site_files(raw)).persist()
+    scored = audit.where("fetched").count()
+    assert bucket_table(audit).count() == 5 * scored
+    ranks = top_fixes(audit).groupBy("page_id").agg(F.max("rank").alias("n")).agg(F.max("n")).first()[0]
+    assert ranks <= 8
+    assert whats_working(audit).where("rank > 6 OR NOT passed").count() == 0
+    assert first_fixes(audit).where("fix IS NULL").count() == 0
+    assert gate_table(audit).where("gate = 0 AND score < 50").count() == 0
+
+
+def test_spread_leaves_large_scans_alone(spark):
+    wide = spark.range(100).repartition(64)
+    assert spread(wide, "id").rdd.getNumPartitions() == 64
+    assert spread(spark.range(100).coalesce(1), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
