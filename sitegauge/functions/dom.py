@@ -82,6 +82,7 @@ class _Batch:
         number = 0  # running number shared by elements and text nodes
         shown = shown_chars = 0  # visible text nodes so far and their total length
         stack: list[tuple] = []  # (row, tag, boilerplate, inert, shown, shown_chars)
+        opened: dict[str, int] = {}  # how many elements of a tag are open
         head_seen = body_seen = False
 
         def push(tag: str, attrs: str = "", void: bool = False) -> None:
@@ -111,10 +112,12 @@ class _Batch:
             self.attr_offsets.append(len(self.attr_keys))
             number += 1
             if not void:
+                opened[tag] = opened.get(tag, 0) + 1
                 stack.append((row, tag, boiler, inert or tag in _INERT, shown, shown_chars))
 
         def pop() -> None:
-            row, _, _, _, n0, c0 = stack.pop()
+            row, tag, _, _, n0, c0 = stack.pop()
+            opened[tag] -= 1
             self.end[row] = number - 1
             self.t_to[row] = len(self.text) - text_base
             self.t_chars[row] = shown_chars - c0 + max(shown - n0 - 1, 0)
@@ -161,7 +164,7 @@ class _Batch:
                 continue
             tag = tag.lower()
             if closing:
-                if tag in ("html", "body"):
+                if tag in ("html", "body") or not opened.get(tag):
                     continue
                 rank = _RANK.get(tag, 100)
                 for depth in range(len(stack) - 1, -1, -1):

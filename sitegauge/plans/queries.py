@@ -10,12 +10,11 @@ from pyspark.sql import functions as F
 from sitegauge.functions import jsonld
 from sitegauge.functions.ip import in_networks, ip_bytes
 from sitegauge.functions.text import word_count
-from sitegauge.functions.urls import hostname, netloc, normalize_url, origin, scheme
-from sitegauge.operators import authors, elements as el, ratelimit as rl, safety, scoring, sitefiles
+from sitegauge.functions.urls import hostname, netloc, normalize_url, origin
+from sitegauge.operators import authors, elements as el, ratelimit as rl, safety, sitefiles
 from sitegauge.operators.joins import left_join_lookup
-from sitegauge.operators.signals import all_signals
 from sitegauge.plans import audit as plan, reports
-from sitegauge.schema import AI_CRAWLERS, BUCKET_CAPS
+from sitegauge.schema import BUCKET_CAPS
 from sitegauge.sources import derived
 from sitegauge.sources.pages import fetch_note, page_source, read_table, spread
 from sitegauge.streaming import limits

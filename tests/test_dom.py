@@ -72,6 +72,12 @@ def test_boilerplate_and_inert_text_is_hidden():
     assert [t for t, hidden in parse(html)[1] if not hidden] == ["body", "漢"]
 
 
+def test_long_and_broken_pages_parse_in_linear_time():
+    deep = "<div>" * 20_000 + "x" + "</span>" * 20_000 + "<a b=\"" * 20_000 + "<" * 20_000
+    elements, texts = parse(deep)
+    assert len(elements) >= 20_002 and texts[0] == ("x", False)
+
+
 def test_first_of_repeated_attributes_wins():
     batch = dom._Batch(frozenset(("href", "class")), frozenset())
     batch.add("<a href=/one HREF='/two' data-x=3 class=\"c &amp; d\">x</a>")

@@ -64,7 +64,7 @@ def test_redirect_chains(spark, dns):
 
 _V4 = st.integers(0, 2**32 - 1).map(lambda n: str(ipaddress.IPv4Address(n)))
 _V6 = st.one_of(
-    st.integers(0, 2**128 - 1), st.integers(0, 2**32).map(lambda n: n << 96), st.sampled_from([0, 1, 0xFC << 120, 0xFE80 << 112])
+    st.integers(0, 2**128 - 1), st.integers(0, 2**32 - 1).map(lambda n: n << 96), st.sampled_from([0, 1, 0xFC << 120, 0xFE80 << 112])
 ).map(ipaddress.IPv6Address)
 _SHAPES = st.one_of(
     _V4, _V6.map(str), _V6.map(lambda a: a.exploded), _V6.map(lambda a: str(a).upper()), _V4.map(lambda v: "::ffff:" + v), _V4.map(lambda v: "64:ff9b::" + v),
