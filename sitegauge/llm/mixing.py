@@ -9,7 +9,7 @@ from sitegauge.llm.common import WORD, stored, table
 from sitegauge.operators.joins import left_join_lookup
 
 # Rows of a source that one sort is planned for.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 4_096
 CYCLE = (1, 2, 3)
 REPEATS = 3
 
