@@ -97,3 +97,14 @@ def grams(hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.n
             value = value * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + m]
     at = np.flatnonzero(doc[:m] == doc[n - 1 :])
     return mixed(value[at]), at
+
+
+def bytes_in(texts: pa.Array, wanted: bytes) -> np.ndarray:
+    """Per text, how many of its bytes are in `wanted` (ASCII, so bytes are characters)."""
+    flags = np.zeros(256, np.int64)
+    flags[list(wanted)] = 1
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    upto = np.concatenate([[0], np.cumsum(flags[data])])
+    at = offsets - offsets[0]
+    return upto[at[1:]] - upto[at[:-1]]
