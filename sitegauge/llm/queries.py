@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitegauge.llm import mixing, preferences, quality, toxicity, urlfilter
+from sitegauge.llm import minhash, mixing, preferences, quality, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.query,
+    "op3_minhash": minhash.query,
     "op5_url_filter": urlfilter.query,
     "op7_toxicity": toxicity.query,
     "op9_mixing": mixing.query,
