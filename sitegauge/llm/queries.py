@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitegauge.llm import decontaminate, minhash, mixing, preferences, quality, toxicity, urlfilter
+from sitegauge.llm import decontaminate, minhash, mixing, pii, preferences, quality, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.query,
     "op3_minhash": minhash.query,
+    "op4_pii": pii.query,
     "op5_url_filter": urlfilter.query,
     "op6_decontaminate": decontaminate.query,
     "op7_toxicity": toxicity.query,
