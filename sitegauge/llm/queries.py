@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitegauge.llm import decontaminate, minhash, mixing, pii, preferences, quality, toxicity, urlfilter
+from sitegauge.llm import decontaminate, minhash, mixing, pii, preferences, quality, substrings, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.query,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filter": urlfilter.query,
     "op6_decontaminate": decontaminate.query,
     "op7_toxicity": toxicity.query,
+    "op8_substrings": substrings.query,
     "op9_mixing": mixing.query,
     "op10_preferences": preferences.query,
 }
