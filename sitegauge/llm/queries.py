@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitegauge.llm import decontaminate, minhash, mixing, pii, preferences, quality, substrings, toxicity, urlfilter
+from sitegauge.llm import decontaminate, html_text, minhash, mixing, pii, preferences, quality, substrings, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.query,
+    "op2_html_text": html_text.query,
     "op3_minhash": minhash.query,
     "op4_pii": pii.query,
     "op5_url_filter": urlfilter.query,
