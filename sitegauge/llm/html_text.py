@@ -269,6 +269,8 @@ OUTLINES = (
     """body div 2 2 0;body div 3 0 0;body div 2 2 0;body h1 6 0 1;body p 45 1 1;body p 3 0 1;body p 52 2 1;body p 21 0 1;
     body div 4 4 0;body div 6 0 0;body div 3 3 0;body div 5 0 0;body div 2 2 0""",
     """body div 1 1 0;body div 4 0 0;body div 1 1 0;body p 31 0 1;body p 4 0 1;body p 64 0 1;body div 2 2 0;body div 7 0 0;body div 1 1 0""",
+    """article h1 4 0 1;article li 1 0 1;article li 3 3 1;article p 2 0 1;article p 1 1 1;article p 3 0 1;article li 5 5 1;
+    div.post h2 1 0 1;div.post li 1 0 1;div.post li 2 2 1;footer p 3 0 0;footer div 2 2 0""",
     """div.notice p 45 0 0;article h1 1 0 1;article p 3 0 1;article p 4 0 1;article p 1 0 1;aside p 12 0 0;footer p 2 0 0""",
 )
 
