@@ -30,6 +30,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_columns(df: DataFrame, extra: str) -> str:
+    """Schema text of the columns of `df` and `extra` ones."""
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), extra])
+
+
 def sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """Batches cut so that `column` holds about `limit` bytes at most; a longer text is a slice of its own."""
     for batch in batches:

@@ -238,7 +238,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns; `docs` is not shuffled."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     clean = docs
     for items in item_blocks(benchmark):
 
@@ -248,7 +247,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 keep[[leak[0] for leak in items.find(pc.fill_null(batch.column("text"), ""))]] = False
                 yield batch.filter(pa.array(keep))
 
-        clean = clean.mapInArrow(run, fields)
+        clean = clean.mapInArrow(run, docs.schema)
     return clean
 
 

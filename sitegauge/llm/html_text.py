@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from sitegauge.llm.common import sliced, table
+from sitegauge.llm.common import sliced, table, with_columns
 
 # Elements whose text nobody reads, up to their end tag.
 HIDDEN = frozenset("script style noscript template svg math iframe object select textarea button title head".split())
@@ -333,8 +333,7 @@ def extract_text(pages: DataFrame, tree: Tree | None = None) -> DataFrame:
             count = pc.utf8_length(texts).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts, count], [*batch.schema.names, "text", "n_chars"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    return base.mapInArrow(run, f"{fields}, text string, n_chars bigint")
+    return base.mapInArrow(run, with_columns(base, "text string, n_chars bigint"))
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

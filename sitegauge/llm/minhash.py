@@ -199,8 +199,8 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """`doc_id, class_id, class_size`: documents linked by copies and similar pairs; `class_id` is the least id of the class.
+def duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """`doc_id, tid, root`: documents linked by copies and similar pairs have the same `root`.
 
     Equal texts are one text from the start. Texts that agree in a band of their
     sketches share a bucket. A bucket never yields all its pairs: its members are
@@ -215,10 +215,6 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     fold map-side by hash; only texts that share a bucket are moved again, once.
     Every later exchange holds ids, and hot ids are join keys the planner can split.
 
-    Null and empty texts are equal texts without words: copies of one another.
-    Texts under five words are one shingle, so they link only to texts with the
-    same words. Equal rows are in one class; a null id takes part and never names a
-    class unless it is alone; an empty table gives no rows; other columns are not read.
     """
     base = stored(sketches(docs), "sketches")
     owners = base.groupBy("tid").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
@@ -267,13 +263,39 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         elif not links.isEmpty():
             roots = merged(roots, links)
     ids = base.select("doc_id", "tid")
-    if roots is not None:
-        ids = ids.join(roots.withColumnRenamed("id", "tid"), "tid", "left").select("doc_id", F.coalesce("root", "tid").alias("root"))
-    else:
-        ids = ids.select("doc_id", F.col("tid").alias("root"))
+    if roots is None:
+        return ids.withColumn("root", F.col("tid"))
+    return ids.join(roots.withColumnRenamed("id", "tid"), "tid", "left").select("doc_id", "tid", F.coalesce("root", "tid").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """`doc_id, class_id, class_size` of every document; `class_id` is the least id of its class (see `duplicate_classes`).
+
+    Null and empty texts are equal texts without words: copies of one another.
+    Texts under five words are one shingle, so they link only to texts with the
+    same words. Equal rows are in one class; a null id takes part and never names a
+    class unless it is alone; an empty table gives no rows; other columns are not read.
+    """
+    ids = duplicate_classes(docs, similarity)
     classes = ids.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     return ids.join(classes, "root").select("doc_id", "class_id", "class_size")
 
 
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One document of each class, that with the least id, with all its columns; of equal rows one stays."""
+    ids = duplicate_classes(docs, similarity)
+    rows = ids.groupBy("root", "doc_id", "tid").agg(F.count("*").alias("n"))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tid", "n")).alias("k"))
+    keepers = stored(first.select(F.col("k.doc_id").alias("_kept_id"), F.col("k.tid").alias("_kept_tid"), F.col("k.n").alias("_copies")), "keepers")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.select("*", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_row_tid"))
+    match = keyed["doc_id"].eqNullSafe(F.col("_kept_id")) & (F.col("_row_tid") == F.col("_kept_tid"))
+    once = keyed.join(keepers.where("_copies = 1"), match, "left_semi").select(*own)
+    several = keepers.where("_copies > 1")
+    if several.isEmpty():
+        return once
+    return once.unionByName(keyed.join(several, match, "left_semi").dropDuplicates(["doc_id", "_row_tid"]).select(*own))
+
+
 def query(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegauge.llm.common import sliced, table
+from sitegauge.llm.common import sliced, table, with_columns
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -334,8 +334,28 @@ def find_pii(docs: DataFrame, field: Field | None = None) -> DataFrame:
             clean = pc.if_else(pc.is_valid(batch.column("text")), clean, pa.scalar(None, pa.string()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, span_type), clean], [*batch.schema.names, "pii", "redacted"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    return base.mapInArrow(run, f"{fields}, pii array<{SPAN}>, redacted string")
+    return base.mapInArrow(run, with_columns(base, f"pii array<{SPAN}>, redacted string"))
+
+
+def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
+    """The documents with their personal data replaced in `text`, and `n_chars`, where present, set anew.
+
+    Columns and their order stay as they are; null texts stay null.
+    """
+    field = train_field(docs) if field is None else field
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts, bases, graph in _slices(batches):
+            spans = all_spans(texts, bases, graph, field)
+            clean = pa.array([redacted(t, s) for t, s in zip(texts, spans)], pa.string())
+            clean = pc.if_else(pc.is_valid(batch.column("text")), clean, pa.scalar(None, pa.string()))
+            at = batch.schema.get_field_index("text")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], clean, *batch.columns[at + 1 :]], batch.schema.names)
+
+    clean = docs.mapInArrow(run, docs.schema)
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
+    return clean
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

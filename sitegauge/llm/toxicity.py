@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegauge.llm.common import bytes_in, sliced, stored, table, words_of
+from sitegauge.llm.common import bytes_in, sliced, stored, table, with_columns, words_of
 
 # Bound of the labelled rows the models are fitted on, and of the text features they may use.
 MAX_LABELLED, MAX_FEATURES, MIN_DOCS = 6_000, 2_048, 3
@@ -240,8 +240,7 @@ def score_toxicity(docs: DataFrame, chain: Chain) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *results])
 
     extra = ", ".join(f"`{r}` double" for r in results)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    return base.mapInArrow(run, f"{fields}, {extra}")
+    return base.mapInArrow(run, with_columns(base, extra))
 
 
 CATEGORIES = ("low_quality", "toxic", "toxic_low_quality")
@@ -261,6 +260,20 @@ def judge_toxicity(docs: DataFrame, labels: DataFrame, threshold: float | None =
     return score_toxicity(docs.drop("toxic"), chain).withColumn("toxic", F.col("p_toxic") >= limit)
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float | None = None) -> DataFrame:
+    """The documents that `judge_toxicity` does not find toxic, with all their columns."""
+    chain = train(docs, category_labels(labels), CATEGORIES)
+    column = CATEGORIES.index("toxic")
+    limit = chain.thresholds[column] if threshold is None else threshold
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text"):
+            found = chain.score(pc.fill_null(batch.column("text"), ""))
+            yield batch.filter(pa.array(found[:, column] < limit))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return judge_toxicity(docs, table(spark, folder, "labels")).drop("text")
