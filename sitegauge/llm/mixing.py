@@ -12,6 +12,8 @@ from sitegauge.operators.joins import left_join_lookup
 BUCKET_ROWS = 4_096
 CYCLE = (1, 2, 3)
 REPEATS = 3
+# Passes over the documents around the end of a budget.
+FILL_ROUNDS = 4
 
 
 def sized(docs: DataFrame, text: str = "text", seed: int = 7) -> DataFrame:
@@ -61,8 +63,10 @@ def mix(docs: DataFrame, *, repeats: int = REPEATS, bucket_rows: int = BUCKET_RO
     """One row per document: `doc_id, source, size, source_size, target, taken`.
 
     A source first gives as many whole epochs as its target holds. What is left is
-    a weighted sample without replacement: documents in the order of their keys
-    until the budget is met (to the nearest document). `taken` counts repeats.
+    a weighted sample without replacement: documents in the order of their keys as
+    long as their sizes add up to no more. A long document may end that early; then
+    documents after it (of the same bucket of keys) that still fit are added in the same
+    order, four times over. `taken` counts repeats.
 
     Scale: one narrow pass over the text. A source of any size is cut into buckets
     of its keys; whole buckets below the budget are in and those above are out, so
@@ -91,7 +95,7 @@ def mix(docs: DataFrame, *, repeats: int = REPEATS, bucket_rows: int = BUCKET_RO
     lookup = plan.drop("source", "share")
     # Any rising function of the key makes valid buckets; this one makes them about equal.
     n = F.ceil(F.col("_rows") / F.lit(bucket_rows))
-    bucket = F.floor(n * (1 - F.exp(-F.col("_key") * F.col("_mean"))))
+    bucket = F.least(n - 1, F.floor(n * (1 - F.exp(-F.col("_key") * F.col("_mean")))))
     rows = left_join_lookup(light, lookup, "_source", "_key").withColumn("_bucket", bucket)
     upto = Window.partitionBy("_source").orderBy("_bucket")
     filled = rows.groupBy("_source", "_bucket").agg(
@@ -104,12 +108,16 @@ def mix(docs: DataFrame, *, repeats: int = REPEATS, bucket_rows: int = BUCKET_RO
     placed = left_join_lookup(rows, edge, "_source", "_key")
     inside = F.col("_bucket") < F.col("_at")
     ends = F.col("_bucket") == F.col("_at")
-    running = F.sum("size").over(
-        Window.partitionBy("_source").orderBy("_key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    sorted_part = placed.where(ends).withColumn(
-        "_in", F.col("_before") + running - F.col("size") / 2 <= F.col("_budget")
-    )
+    group = Window.partitionBy("_source")
+    order = group.orderBy("_key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    sorted_part = placed.where(ends).withColumn("_in", F.lit(False)).withColumn("_left", F.col("_budget") - F.col("_before"))
+    for _ in range(FILL_ROUNDS):
+        fits = ~F.col("_in") & (F.col("size") <= F.col("_left"))
+        sorted_part = sorted_part.withColumn("_running", F.sum(F.when(fits, F.col("size")).otherwise(0)).over(order))
+        sorted_part = sorted_part.withColumn("_in", F.col("_in") | (fits & (F.col("_running") <= F.col("_left"))))
+        taken = F.sum(F.when(F.col("_in"), F.col("size")).otherwise(0)).over(group)
+        sorted_part = sorted_part.withColumn("_left", F.col("_budget") - F.col("_before") - taken)
+    sorted_part = sorted_part.drop("_running", "_left")
     whole_part = placed.where(~ends | F.col("_at").isNull()).withColumn("_in", F.coalesce(inside, F.lit(True)))
     return whole_part.unionByName(sorted_part).select(
         "doc_id", "source", "size", "source_size", "target",
@@ -147,12 +155,23 @@ WITH d AS (
 ), p AS (
   SELECT k.*, f.source_size, f.target,
     CASE WHEN f.source_size > 0 THEN floor(f.target / f.source_size) ELSE 0 END AS epochs,
-    sum(size) OVER (PARTITION BY k.source ORDER BY -ln(u) / weight, doc_id ROWS UNBOUNDED PRECEDING) - size / 2 AS mid
+    -ln(u) / weight AS key
   FROM k JOIN f ON k.source IS NOT DISTINCT FROM f.source
-)
-SELECT doc_id, size, source_size, target,
-  (size * (epochs + CASE WHEN mid <= target - epochs * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM p"""
+), w0 AS (
+  SELECT *, target - epochs * source_size AS budget, FALSE AS taken, target - epochs * source_size AS rest FROM p
+){"".join(_fill_sql(i) for i in range(FILL_ROUNDS))}
+SELECT doc_id, size, source_size, target, (size * (epochs + taken::INT))::BIGINT AS taken FROM w{FILL_ROUNDS}"""
+
+
+def _fill_sql(i: int) -> str:
+    return f""", r{i} AS (
+  SELECT *, NOT taken AND size <= rest AS fits, sum(CASE WHEN NOT taken AND size <= rest THEN size ELSE 0 END)
+    OVER (PARTITION BY source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) AS running FROM w{i}
+), t{i} AS (
+  SELECT * EXCLUDE (taken), taken OR (fits AND running <= rest) AS taken FROM r{i}
+), w{i + 1} AS (
+  SELECT * EXCLUDE (rest, fits, running), budget - sum(CASE WHEN taken THEN size ELSE 0 END) OVER (PARTITION BY source) AS rest FROM t{i}
+)"""
 
 
 SQL = mix_sql("SELECT * FROM documents")
