@@ -119,8 +119,9 @@ class Graph:
     """Tokens of some texts that hold a digit or an at sign, and the edges of the field.
 
     Other tokens have no features and are no one's personal data, so they cut the
-    chain. `chain` joins neighbouring tokens; `skip` joins each token to the next one
-    in its text that is the same (letters and digits, case ignored) or ends in the same seven digits.
+    chain. `chain` joins neighbouring tokens; `skip` joins each token with seven digits
+    or more to the next one in its text that ends in the same seven, and each with an at sign or three
+    dots to the next equal one (case ignored).
     """
 
     row: list[int]
@@ -156,10 +157,8 @@ def graph_of(texts: list[str], bases: list[dict[str, list[tuple[int, int]]]]) ->
             )
             if joined:
                 chain.append((node - 1, node))
-            keys = {"".join(c for c in word.lower() if c.isalnum())}
-            if len(digits) >= 7:
-                keys.add("#" + digits[-7:])
-            for key in sorted(keys):
+            key = "#" + digits[-7:] if len(digits) >= 7 and "@" not in word else word.lower() if "@" in word or word.count(".") >= 3 else ""
+            if key:
                 if key in seen:
                     skip.append((seen[key], node))
                 seen[key] = node
@@ -224,7 +223,9 @@ def fit_field(counts: dict[tuple[str, str, int, int], int]) -> Field:
     Keys are ("token", features, label, 0), ("chain", "", label, label) and ("skip",
     "", label, label). A token's potential is the smoothed log-probability of its
     label given its features; an edge's is the smoothed log-ratio of the pair to
-    independence. The labels are those of the base patterns.
+    independence. The labels are those of the base patterns. They are right where a
+    pattern matches and unknown elsewhere, so a skip edge of which one end only is
+    covered is no example: it is the case the field is to decide.
     """
     label = np.ones(N_LABELS)
     by_feature: dict[str, np.ndarray] = {}
@@ -233,7 +234,7 @@ def fit_field(counts: dict[tuple[str, str, int, int], int]) -> Field:
         if part == "token":
             by_feature.setdefault(name, np.zeros(N_LABELS))[x] += n
             label[x] += n
-        else:
+        elif part == "chain" or (x > 0) == (y > 0):
             pairs[part][x, y] += n
     prior = label / label.sum()
     ratio = {}
@@ -311,7 +312,7 @@ def find_pii(docs: DataFrame, field: Field | None = None) -> DataFrame:
     The patterns find e-mail and IP addresses, card and phone numbers in whole texts.
     A skip-chain conditional random field then labels the tokens with a digit or an
     at sign that no pattern covers: neighbours share potentials, and so do distant
-    tokens that are the same or end in the same seven digits. Loopy message passing
+    tokens that are the same address or end in the same seven digits. Loopy message passing
     carries the label of a found number to its bare repetitions, and a token whose
     marginal reaches 0.9 becomes a span too (`base` false).
 
@@ -364,5 +365,7 @@ def query(spark: SparkSession, folder: str) -> DataFrame:
     text_of = lambda spans: F.array_join(
         F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
     )
-    counts = [F.size(F.filter(own, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    kinds = F.transform(own, lambda s: s["kind"])
+    # An array without one of its values is that much shorter.
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(text_of(own), 256).alias("base_sha256"), text_of(F.col("pii")).alias("spans"))

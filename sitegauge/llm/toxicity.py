@@ -17,6 +17,8 @@ from sitegauge.llm.common import bytes_in, sliced, stored, table, with_columns,
 # Bound of the labelled rows the models are fitted on, and of the text features they may use.
 MAX_LABELLED, MAX_FEATURES, MIN_DOCS = 6_000, 2_048, 3
 FOLDS = 4
+# Labelled texts either class needs before a threshold is drawn from them.
+MIN_TO_TUNE = 20
 PREFIXES = (4, 5)
 N_DENSE = 3
 
@@ -137,8 +139,9 @@ class Chain:
 
 
 def best_threshold(probability: np.ndarray, y: np.ndarray) -> float:
-    """The threshold with the best F1 score: half-way (in log-odds) between the last text taken and the first one left."""
-    if not 0 < y.sum() < len(y):
+    """The threshold with the best F1 score: half-way (in log-odds) between the last text taken and
+    the first one left; 0.5 where one class has too few texts to tell."""
+    if min(y.sum(), len(y) - y.sum()) < MIN_TO_TUNE:
         return 0.5
     odds = np.log(np.clip(probability, 1e-12, 1 - 1e-12)) - np.log1p(-np.clip(probability, 1e-12, 1 - 1e-12))
     order = np.argsort(-odds, kind="stable")
