@@ -1,0 +1,39 @@
+"""Small corpora for the operator tests."""
+
+from __future__ import annotations
+
+import random
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+# Names that operators use inside or return.
+CLASHING = ("tid", "root", "size", "taken", "pii", "redacted", "toxic", "p_toxic", "class_id", "bands", "quality", "kept", "_key")
+
+
+def words(n: int, seed: int, vocabulary: int = 400) -> list[str]:
+    rnd = random.Random(seed)
+    return [f"w{rnd.randrange(vocabulary)}" for _ in range(n)]
+
+
+def prose(n: int, seed: int) -> str:
+    return " ".join(words(n, seed)) + "."
+
+
+def documents(spark, rows, clashing: bool = False):
+    """Documents from (doc_id, text) or (doc_id, text, source)."""
+    full = [(r[0], r[1], "en", r[2] if len(r) > 2 else "a", len(r[1]) if r[1] is not None else None) for r in rows]
+    docs = spark.createDataFrame(full, SCHEMA)
+    if clashing:
+        from pyspark.sql import functions as F
+
+        for name in CLASHING:
+            docs = docs.withColumn(name, F.lit("own"))
+    return docs
+
+
+def odd_rows() -> list[tuple]:
+    """Null ids and texts, empty and blank texts, a text without blanks, a very long one, and repeated rows."""
+    long = " ".join(words(30_000, 9, 5_000))
+    return [
+        (1, prose(60, 1)), (1, prose(60, 1)), (2, None), (3, ""), (4, " \t\n "), (None, prose(40, 2)), (None, None),
+        (5, "x" * 50_000), (6, long), (7, "one two"), (8, "one two"), (9, "a a a a a a a a a a a a a a a a a a a a " * 4),
+    ]

@@ -1,0 +1,67 @@
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import pyarrow as pa
+
+from corpus import documents, words
+from sitegauge.llm import decontaminate as dc
+
+
+def distance(a: list, b: list) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+        row = new
+    return row[-1]
+
+
+def test_best_match_is_the_least_distance_to_any_run():
+    rnd = random.Random(8)
+    for _ in range(60):
+        item = [rnd.randrange(4) for _ in range(rnd.randrange(1, 7))]
+        region = [rnd.randrange(4) for _ in range(rnd.randrange(0, 10))]
+        runs = [(distance(item, region[a:b]), a, b) for a in range(len(region) + 1) for b in range(a, len(region) + 1)]
+        edits, start, stop = dc.locate(np.array(item), np.array(region, dtype=np.int64))
+        assert edits == min(runs)[0] and distance(item, region[start:stop]) == edits
+
+
+def test_edited_items_are_found_and_strangers_are_not():
+    rnd = random.Random(3)
+    texts = [" ".join(words(n, 40 + i, 50_000)) for i, n in enumerate([1, 3, 6, 12, 20, 30, 45, 60] * 6)]
+    items = dc.Items.of(list(range(len(texts))), texts)
+    docs, truth = [], []
+    for i, text in enumerate(texts):
+        item = text.split()
+        for share in (0, 0.5, 1):
+            found = list(item)
+            for _ in range(int(dc.edits_allowed(len(item)) * share)):
+                at = rnd.randrange(len(found))
+                kind = rnd.randrange(3)
+                found[at : at + (kind != 1)] = [] if kind == 2 else [f"z{rnd.randrange(10**6)}"]
+            before, after = (words(rnd.randrange(50), rnd.randrange(10**6), 50_000) for _ in range(2))
+            docs.append(" ".join([*before, *found, *after]).upper())
+            truth.append(i)
+    leaks = items.find(pa.array(docs))
+    got = {(row, item) for row, item, *_ in leaks}
+    recall = np.mean([(row, item) in got for row, item in enumerate(truth)])
+    assert recall >= 0.98
+    # Nothing but true matches: every reported run is as near as reported.
+    lower = [d.lower().split() for d in docs]
+    for row, item, a, b, edits in leaks:
+        assert distance(texts[item].split(), lower[row][a:b]) == edits <= dc.edits_allowed(len(texts[item].split()))
+
+
+def test_all_places_in_a_text_and_blocks_of_items(spark, monkeypatch):
+    item, other = " ".join(words(25, 1, 9_000)), " ".join(words(18, 2, 9_000))
+    filler = " ".join(words(60, 3, 9_000))
+    docs = documents(spark, [(1, f"{filler} {item} {filler} {item}"), (2, filler), (3, f"{other} {filler}"), (4, item[: len(item) // 2])])
+    bench = spark.createDataFrame([(7, item), (8, other), (9, item)], "item_id bigint, text string")
+    want = [(1, 7, 60, 85, 0), (1, 7, 145, 170, 0), (1, 9, 60, 85, 0), (1, 9, 145, 170, 0), (3, 8, 0, 18, 0)]
+    assert sorted(tuple(r) for r in dc.find_leaks(docs, bench).collect()) == want
+    blocks = list(dc.item_blocks(bench, block=1))
+    assert len(blocks) == 3 and sorted(i for b in blocks for i in b.ids) == [7, 8, 9]
+    assert sorted(r.doc_id for r in dc.without_leaks(docs, bench).collect()) == [2, 4]
