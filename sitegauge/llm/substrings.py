@@ -71,7 +71,13 @@ def _base(docs: DataFrame) -> DataFrame:
                 "gram": pa.ListArray.from_arrays(pa.array(at), pa.array(value.view(np.int64))),
                 "place": pa.ListArray.from_arrays(pa.array(at), pa.array((place - begin).astype(np.int32))),
             }
-            columns = [batch.column("doc_id"), batch.column("tid"), *(m.take(which) for m in made.values())]
+            # The anchors of copies in a slice are given once, with the first of them.
+            order = which.to_numpy(zero_copy_only=False)
+            again = np.ones(len(order), bool)
+            again[np.unique(order, return_index=True)[1]] = False
+            columns = [batch.column("doc_id"), batch.column("tid"), made["n_words"].take(which), made["sha"].take(which)]
+            first = pa.array(order, mask=again)
+            columns += [pc.coalesce(made[c].take(first), pa.scalar([], made[c].type)) for c in ("gram", "place")]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tid", *made])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
