@@ -7,12 +7,25 @@ list functions instead of being parsed.
 
 from __future__ import annotations
 
-from sitegauge.plans.audit import MONTHS
 from sitegauge.plans.queries import FETCHED_AT, PER_DAY, PER_MINUTE, SIGNAL_KEYS
-from sitegauge.operators.authors import INTERFACE_WORDS
-from sitegauge.schema import AI_CRAWLERS, BUCKET_CAPS, GRADE_FLOORS
 from sitegauge.sources import derived as d
 
+# --- fixed values, written out here: a wrong one in the library must show ----------------
+MONTHS = (
+    "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december",
+)
+AI_CRAWLERS = (
+    "GPTBot", "ClaudeBot", "PerplexityBot", "CCBot", "Google-Extended", "Applebot-Extended", "Bytespider", "anthropic-ai", "FacebookBot",
+)
+BUCKET_CAPS = {"schema_structure": 30, "content_format": 25, "authority": 20, "crawlability": 15, "freshness": 10}
+GRADE_FLOORS = ((90, "A+"), (80, "A"), (70, "B"), (60, "C"), (45, "D"))
+INTERFACE_WORDS = (
+    "read", "more", "learn", "home", "page", "pages", "next", "previous", "prev", "back", "all", "view", "views", "share",
+    "shares", "related", "post", "posts", "comment", "comments", "reply", "sign", "log", "login", "menu", "search", "subscribe",
+    "newsletter", "follow", "contact", "about", "privacy", "terms", "cookie", "cookies", "skip", "toggle", "close", "open",
+    "show", "hide", "the", "and", "our", "team", "staff", "editor", "editors", "admin",
+)
+
 ORACLES: dict[str, str] = {}
 
 W = r"[\p{L}\p{N}_]"
@@ -55,7 +68,7 @@ def count(pattern: str, text: str = "p") -> str:
     return f"len(regexp_extract_all({text}, '{pattern}'))"
 
 
-PAGES = f"SELECT page_id, url, {d.DECORATED_HTML} AS html, {d.LAST_MODIFIED} AS last_modified FROM pages"
+PAGES = f"SELECT page_id, url, {d.FINAL_URL} AS final_url, {d.DECORATED_HTML} AS html, {d.LAST_MODIFIED} AS last_modified FROM pages"
 PARAGRAPH_END = "(?s)(</p>|<(ul|table|dl|blockquote|div|h1|h2|article)[ >]).*$"
 # The name grammar without look-ahead and class intersection.
 _CAP = r"[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{Nl}\p{No}ß-öø-ÿ]"
@@ -90,7 +103,7 @@ c AS MATERIALIZED (
     array_to_string({nodes("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}, '') AS title,
     array_to_string({nodes("regexp_extract(p, '(?s)<h1>(.*?)</h1>', 1)")}, '') AS headline,
     regexp_extract_all(p, '<a [^>]*href="([^"]*)"', 1) AS hrefs,
-    lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS page_host,
+    regexp_replace(lower(regexp_extract(final_url, '^[a-z]+://([^/?#]*)', 1)), ':(443|80)$', '') AS page_host,
     regexp_extract_all(html, '<script type="application/ld\\+json">(.*?)</script>', 1) AS scripts
   FROM b)
 """
@@ -139,8 +152,11 @@ def bot_blocked(bot: str) -> str:
     )
 
 
+# Canonical origin: lower case, no port (the derived ones are the schemes' own).
+ORIGIN_OF = "regexp_replace(lower(regexp_extract({}, '^([a-z]+://[^/]*)', 1)), ':(443|80)$', '')"
 SITES = f"""
-sites AS (SELECT {d.ORIGIN} AS origin, {d.SITE_NO} AS site_no, count(*) AS n_pages FROM pages GROUP BY 1),
+ended AS (SELECT {ORIGIN_OF.format('(' + d.FINAL_URL + ')')} AS ended, count(*) AS n_pages FROM pages GROUP BY 1),
+sites AS (SELECT * FROM (SELECT {d.ORIGIN} AS origin, {d.SITE_NO} AS site_no FROM pages GROUP BY 1) LEFT JOIN ended ON origin = ended),
 site_rows AS (SELECT *, {', '.join(site_file(k) for k in d.SITE_FILE_KINDS)} FROM sites),
 present AS (SELECT * FROM site_rows WHERE coalesce(robots_status, llms_status, probe_status) IS NOT NULL),
 verdicts AS (
@@ -148,7 +164,7 @@ verdicts AS (
     CASE WHEN llms_status IS NULL OR llms_status <> 200 OR length(llms_body) <= 50 THEN 'absent'
       WHEN coalesce(lower(llms_type), '') LIKE '%text/html%' OR {sniff('llms_body')} THEN 'html_fallback'
       WHEN llms_type IS NOT NULL AND lower(llms_type) NOT LIKE 'text/%' THEN 'bad_type'
-      WHEN probe_status IS NULL THEN 'unverified'
+      WHEN probe_status IS NULL OR probe_type IS NULL OR (probe_status // 100 = 2 AND probe_body IS NULL) THEN 'unverified'
       WHEN probe_status IN (404, 410) THEN 'pass_absence'
       WHEN probe_status // 100 = 3 THEN CASE WHEN llms_hops > 0 THEN 'redirect_ambiguous' ELSE 'pass_direct' END
       WHEN probe_status >= 400 THEN 'waf'
@@ -179,7 +195,7 @@ AUTHOR_BYLINE = f"""len(list_filter({BLOCK_TEXTS}, lambda t: t <> '' AND length(
 
 FACTS = f"""{JSONLD}, {SITES},
 f0 AS (
-  SELECT c.page_id, url, title, headline, last_modified, page_host,
+  SELECT c.page_id, url, final_url, title, headline, last_modified, page_host,
     coalesce(t.types, []) AS types, coalesce(jp.names_author, false) AS jsonld_author, jp.date_modified,
     coalesce(v.verdict, 'absent') AS verdict, coalesce(v.blocked, []) AS blocked,
     coalesce(regexp_extract(regexp_extract(p, '<link rel="canonical"[^>]*>'), 'href="([^"]*)"', 1), '') AS canonical,
@@ -198,7 +214,7 @@ f0 AS (
     {AUTHOR_META} AS meta_author, {AUTHOR_MARKUP} AS markup_author, {AUTHOR_BYLINE} AS visible_byline,
     {has('(?i)' + BEFORE + '(in|as of|updated|since)' + r'\s+(2023|2024|2025|2026|' + '|'.join(MONTHS) + ')' + AFTER, 'visible')} AS dated
   FROM c LEFT JOIN j_page jp USING (page_id) LEFT JOIN j_type_sets t USING (page_id)
-    LEFT JOIN verdicts v ON v.origin = regexp_extract(c.url, '^([a-z]+://[^/]*)', 1)),
+    LEFT JOIN verdicts v ON v.origin = {ORIGIN_OF.format('final_url')}),
 f AS MATERIALIZED (
   SELECT *, coalesce({words_in('answer')}, 0) AS answer_words, {has('[.!?]$', "coalesce(answer, '')")} AS answer_closed,
     len(list_filter(hosts, lambda h: h <> page_host AND regexp_matches(h, '(\\.gov|\\.edu|\\.ac\\.uk|wikipedia\\.org)$'))) AS n_auth,
@@ -217,7 +233,7 @@ def binary(name, bucket, weight, passed):
 
 
 SIGNALS = (
-    binary("HTTPS", "crawlability", 2, "url LIKE 'https://%'"),
+    binary("HTTPS", "crawlability", 2, "final_url LIKE 'https://%'"),
     binary("Canonical URL", "crawlability", 2, "canonical <> ''"),
     binary("Mobile viewport", "crawlability", 2, "viewport <> ''"),
     binary("Open Graph tags", "crawlability", 2, "n_og >= 3"),
@@ -265,12 +281,12 @@ CRAWLED = "SELECT page_id, status, CASE WHEN status = 200 THEN score ELSE 0 END
 
 ORACLES |= {
     # sources and labels
-    "page_source": f"SELECT page_id, url, url AS final_url, 200 AS status, CAST(length(html) AS INT) AS html_chars, 0 AS redirect_hops FROM ({PAGES})",
+    "page_source": f"SELECT page_id, url, final_url, 200 AS status, CAST(length(html) AS INT) AS html_chars, 0 AS redirect_hops FROM ({PAGES})",
     "url_normalize": """SELECT page_id, CASE WHEN starts_with(u, 'http://') OR starts_with(u, 'https://') THEN u ELSE concat('https://', u) END AS url
         FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN regexp_replace(url, '^[a-z]+://', '') WHEN 1 THEN upper(url) ELSE url END AS u FROM pages)""",
-    "site_file_join": f"""WITH {SITES} SELECT regexp_extract(url, '^([a-z]+://[^/]*)', 1) AS origin, page_id, CAST(robots_status AS INT) AS robots_status,
+    "site_file_join": f"""WITH {SITES}, placed AS (SELECT page_id, {d.FINAL_URL} AS u FROM pages) SELECT {ORIGIN_OF.format('u')} AS origin, page_id, CAST(robots_status AS INT) AS robots_status,
         CAST(llms_status AS INT) AS llms_status, CAST(probe_status AS INT) AS probe_status
-        FROM pages LEFT JOIN verdicts v ON v.origin = regexp_extract(url, '^([a-z]+://[^/]*)', 1)""",
+        FROM placed LEFT JOIN verdicts v ON v.origin = {ORIGIN_OF.format('u')}""",
     "fetch_status_note": f"""SELECT page_id, status, CASE status WHEN 404 THEN 'HTTP 404: no page at this address; check the path.'
         WHEN 401 THEN 'HTTP 401: the site refused the request (login, paywall or bot wall).'
         WHEN 403 THEN 'HTTP 403: the site refused the request (login, paywall or bot wall).'
@@ -319,11 +335,20 @@ ORACLES |= {
     # site files
     "llms_verdict": f"WITH {SITES} SELECT origin, verdict FROM verdicts",
     "looks_like_html": f"""WITH {SITES} SELECT * FROM (
-        {' UNION ALL '.join(f"SELECT concat('{k} ', origin) AS item, {sniff(f'{k}_body')} AS is_html FROM site_rows WHERE {k}_status IS NOT NULL" for k in d.SITE_FILE_KINDS)}
+        {' UNION ALL '.join(f"SELECT concat('{k} ', {d.SERVED_ORIGIN}) AS item, CASE WHEN {k}_body IS NOT NULL THEN {sniff(f'{k}_body')} END AS is_html FROM site_rows WHERE {k}_status IS NOT NULL" for k in d.SITE_FILE_KINDS)}
         UNION ALL SELECT concat('doc ', doc_id), {sniff('text')} FROM documents)""",
     "robots_blocked_bots": f"WITH {SITES} SELECT origin, array_to_string(blocked, ', ') AS blocked FROM verdicts",
+    "audit_guarded": f"""WITH {LONG},
+        typed AS (SELECT page_id, {d.GUARDED_URL} AS typed, {d.FINAL_URL} AS final_url,
+          regexp_replace(lower(regexp_extract({d.FINAL_URL}, '^[a-z]+://([^/]*)', 1)), ':[0-9]+$', '') AS host FROM pages),
+        hosts AS (SELECT regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS host, min(page_id) AS host_no FROM pages GROUP BY 1),
+        safe AS (SELECT t.page_id, page_id % 17 NOT IN (3, 6, 11) AND coalesce(h.host_no % 4 <> 1, false) AND coalesce(o.host_no % 4 <> 1, false) AS safe
+          FROM typed t LEFT JOIN hosts h ON h.host = t.host LEFT JOIN hosts o ON o.host = regexp_extract(t.typed, '^[a-z]+://([^/]*)', 1)),
+        g AS (SELECT page_id, CASE WHEN safe THEN score ELSE 0 END AS score, safe FROM scores JOIN safe USING (page_id))
+        SELECT page_id, score, CASE WHEN safe THEN {GRADE} ELSE '—' END AS grade,
+          CASE WHEN safe THEN '' ELSE 'Only public web pages can be scored; give a public URL.' END AS notes FROM g""",
     "robots_block_counts": f"""WITH {SITES} SELECT bot, count(*) AS n_sites, CAST(sum(n_pages) AS BIGINT) AS n_pages
-        FROM (SELECT unnest(blocked) AS bot, n_pages FROM verdicts) GROUP BY bot""",
+        FROM (SELECT unnest(blocked) AS bot, n_pages FROM verdicts WHERE n_pages IS NOT NULL) GROUP BY bot""",
     # scores and reports
     "signals_long": f"WITH {LONG} SELECT page_id, no AS signal_no, name, bucket, passed, weight, points FROM s",
     "signal_status": f"WITH {LONG} SELECT page_id, no AS signal_no, CASE WHEN passed THEN 'pass' WHEN points > 0 THEN 'partial' ELSE 'fail' END AS status FROM s",

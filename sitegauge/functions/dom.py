@@ -64,6 +64,7 @@ _ENDED_BY = {
 }
 # An end tag cannot reach past an open element of higher rank.
 _RANK = {"div": 150, "td": 160, "th": 160, "tr": 170, "tbody": 180, "tfoot": 180, "thead": 180, "table": 190}
+_RANKS = tuple(sorted(set(_RANK.values())))
 
 
 class _Batch:
@@ -82,7 +83,8 @@ class _Batch:
         number = 0  # running number shared by elements and text nodes
         shown = shown_chars = 0  # visible text nodes so far and their total length
         stack: list[tuple] = []  # (row, tag, boilerplate, inert, shown, shown_chars)
-        opened: dict[str, int] = {}  # how many elements of a tag are open
+        opened: dict[str, list[int]] = {}  # stack depths of the open elements of a tag
+        ranked: dict[int, list[int]] = {r: [] for r in _RANKS}  # and of a rank
         head_seen = body_seen = False
 
         def push(tag: str, attrs: str = "", void: bool = False) -> None:
@@ -112,12 +114,16 @@ class _Batch:
             self.attr_offsets.append(len(self.attr_keys))
             number += 1
             if not void:
-                opened[tag] = opened.get(tag, 0) + 1
+                opened.setdefault(tag, []).append(len(stack))
+                if tag in _RANK:
+                    ranked[_RANK[tag]].append(len(stack))
                 stack.append((row, tag, boiler, inert or tag in _INERT, shown, shown_chars))
 
         def pop() -> None:
             row, tag, _, _, n0, c0 = stack.pop()
-            opened[tag] -= 1
+            opened[tag].pop()
+            if tag in _RANK:
+                ranked[_RANK[tag]].pop()
             self.end[row] = number - 1
             self.t_to[row] = len(self.text) - text_base
             self.t_chars[row] = shown_chars - c0 + max(shown - n0 - 1, 0)
@@ -166,14 +172,11 @@ class _Batch:
             if closing:
                 if tag in ("html", "body") or not opened.get(tag):
                     continue
-                rank = _RANK.get(tag, 100)
-                for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth][1] == tag:
-                        while len(stack) > depth:
-                            pop()
-                        break
-                    if _RANK.get(stack[depth][1], 100) > rank:
-                        break
+                # Close the nearest one, unless an element of higher rank was opened after it.
+                rank, depth = _RANK.get(tag, 100), opened[tag][-1]
+                if not any(ranked[r] and ranked[r][-1] > depth for r in _RANKS if r > rank):
+                    while len(stack) > depth:
+                        pop()
                 continue
             if tag == "html":
                 if not stack:

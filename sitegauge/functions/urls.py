@@ -31,9 +31,19 @@ def netloc(url: Column) -> Column:
     return F.regexp_extract(clean_url(url), _NETLOC, 1)
 
 
+def authority(url: Column) -> Column:
+    """Authority as a client sends it: lower-case host, no port where it is the scheme's own."""
+    given = netloc(url)
+    user, server = F.regexp_extract(given, r"\A(.*@)?", 0), F.lower(F.regexp_extract(given, r"([^@]*)\z", 1))
+    plain = F.when(scheme(url) == "https", F.regexp_replace(server, r":(443)?\z", "")).when(
+        scheme(url) == "http", F.regexp_replace(server, r":(80)?\z", "")
+    )
+    return F.concat(user, F.coalesce(plain, server))
+
+
 def origin(url: Column) -> Column:
-    """`scheme://authority`, the key site files are stored under."""
-    return F.concat(scheme(url), F.lit("://"), netloc(url))
+    """`scheme://authority` in canonical form, the key site files are stored under."""
+    return F.concat(scheme(url), F.lit("://"), authority(url))
 
 
 def authority_malformed(authority: Column) -> Column:

@@ -2,7 +2,7 @@
 
     spark-submit --py-files sitegauge.zip sitegauge/jobs.py PAGES OUT [--site-files PATH] [--format json]
 
-Exits with 0 when every page reaches the bar, 1 when one does not, 2 on an error.
+Exits with 0 when every page reaches the bar, 1 when one does not, 2 on an error, 3 for a crawl without pages.
 """
 
 from __future__ import annotations
@@ -24,17 +24,21 @@ def run(argv: list[str]) -> int:
     parser.add_argument("pages")
     parser.add_argument("out")
     parser.add_argument("--site-files")
+    parser.add_argument("--dns", help="table of host and ip; pages at unsafe addresses are refused")
     parser.add_argument("--format", default="parquet", choices=["json", "parquet", "orc"])
     parser.add_argument("--fetched-at")
     parser.add_argument("--bar", type=int, default=50)
     args = parser.parse_args(argv)
     spark = build_session()
     files = read_table(spark, args.site_files, schema=SITE_FILE) if args.site_files else None
-    audit = audit_pages(read_table(spark, args.pages, schema=PAGE), files, fetched_at=args.fetched_at)
+    dns = read_table(spark, args.dns, schema="host STRING, ip STRING") if args.dns else None
+    audit = audit_pages(read_table(spark, args.pages, schema=PAGE), files, dns=dns, fetched_at=args.fetched_at)
     write_reports(audit, args.out, args.format)
-    # The gate reads the written scores: pages are parsed once.
-    written = spark.read.json(args.out) if args.format == "json" else spark.read.format(args.format).load(args.out)
-    return 0 if written.agg(F.min("score")).first()[0] >= args.bar else 1
+    # The gate reads the written scores: pages are parsed once, and no report is read to guess its schema.
+    lowest = spark.read.schema("score INT").format(args.format).load(args.out).agg(F.min("score")).first()[0]
+    if lowest is None:
+        return 3
+    return 0 if lowest >= args.bar else 1
 
 
 if __name__ == "__main__":

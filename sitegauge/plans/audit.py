@@ -7,21 +7,25 @@ and with a small site table nothing is.
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegauge.functions import jsonld
 from sitegauge.functions.dom import parse_html
 from sitegauge.functions.text import SPACE, WORD_END, any_word_of, built_once, let, word_count, words_from
-from sitegauge.functions.urls import authority_malformed, netloc, origin, scheme
+from sitegauge.functions.urls import authority, authority_malformed, netloc, origin, scheme
 from sitegauge.operators import authors, elements as el, scoring
 from sitegauge.operators.joins import left_join_lookup
 from sitegauge.operators.signals import REGISTRY, all_signals
+from sitegauge.operators.safety import REFUSAL, url_verdicts
 from sitegauge.operators.sitefiles import NO_EVIDENCE, site_verdicts
 from sitegauge.schema import BUCKET_CAPS, SIGNAL
 from sitegauge.sources.pages import fetch_note, header, page_source
 
 AUTHORITY_SUFFIXES = (".gov", ".edu", ".ac.uk", "wikipedia.org")
+# --- fixed values: words, years and lengths the rules look for ---------------------
 SUMMARY_WORDS = ["tl;dr", "tldr", "in short", "summary"]
 SUMMARY_CHARS = 2000
 CLAIM_LEADS = ["in", "as of", "updated", "since"]
@@ -54,7 +58,7 @@ def _view_columns() -> list[Column]:
         el.live(elements).alias("live"),
         texts.alias("texts"),
         el.visible_text(texts).alias("visible"),
-        F.lower(netloc(F.col("final_url"))).alias("page_host"),
+        F.lower(authority(F.col("final_url"))).alias("page_host"),
     ]
 
 
@@ -287,13 +291,37 @@ def audit_facts(facts: DataFrame, fetched_at: str | None = None) -> DataFrame:
     )
 
 
+def refuse_unsafe(facts: DataFrame, pages: DataFrame, dns: DataFrame) -> DataFrame:
+    """Facts in which a page with an unsafe address, typed or final, is refused like a failed fetch.
+
+    Addresses are judged from their two columns alone; the verdict meets the facts
+    after all page text is gone.
+    """
+    hops = page_source(pages).select("page_id", F.explode(F.array("url", "final_url")).alias("url"))
+    safe = url_verdicts(hops, dns, "page_id").groupBy("page_id").agg(F.bool_and("safe").alias("_safe"))
+    judged = facts.join(safe, "page_id", "left")
+    kept = F.coalesce(F.col("_safe"), F.lit(False))
+    return judged.withColumn("fetch_note", F.when(kept, F.col("fetch_note")).otherwise(REFUSAL)).withColumn(
+        "page_title", F.when(kept, F.col("page_title"))
+    ).drop("_safe")
+
+
 def audit_pages(
     pages: DataFrame,
     site_files: DataFrame | None = None,
     *,
+    dns: DataFrame | None = None,
     fetched_at: str | None = None,
     claim_years: tuple[int, int] = CLAIM_YEARS,
     title_years: tuple[int, int] = TITLE_YEARS,
 ) -> DataFrame:
-    """Audit a crawl table: one report row per page."""
-    return audit_facts(page_facts(pages, site_files, claim_years, title_years), fetched_at)
+    """Audit a crawl table: one report row per page.
+
+    With `dns` (`host, ip`) a page whose typed or final address is not safely public
+    is refused, not scored. `fetched_at` defaults to the time of this call, in UTC.
+    """
+    facts = page_facts(pages, site_files, claim_years, title_years)
+    if dns is not None:
+        facts = refuse_unsafe(facts, pages, dns)
+    now = datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    return audit_facts(facts, fetched_at or now)

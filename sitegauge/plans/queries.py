@@ -81,6 +81,15 @@ def crawl_audit(spark: SparkSession, folder: str) -> DataFrame:
     return plan.audit_pages(derived.crawled_pages(raw), derived.site_files(raw), fetched_at=FETCHED_AT)
 
 
+@query
+def audit_guarded(spark, folder):
+    """Audit of a crawl in which some addresses are not public."""
+    raw = table(spark, folder, "pages", "page_id")
+    pages = derived.decorated_pages(raw).withColumn("url", F.expr(derived.GUARDED_URL))
+    audited = plan.audit_pages(pages, derived.site_files(raw), dns=derived.site_dns(raw), fetched_at=FETCHED_AT)
+    return audited.select("page_id", "score", "grade", F.array_join("notes", " ").alias("notes"))
+
+
 # --- sources and labels -----------------------------------------------------------
 
 
@@ -104,7 +113,7 @@ def url_normalize(spark, folder):
 @query
 def site_file_join(spark, folder):
     raw = table(spark, folder, "pages")
-    keyed = raw.select("page_id", origin(F.col("url")).alias("origin"))
+    keyed = raw.select("page_id", origin(F.expr(derived.FINAL_URL)).alias("origin"))
     statuses = sitefiles.pivot_site_files(derived.site_files(raw))
     return left_join_lookup(keyed, statuses, "origin", "page_id")
 
@@ -360,7 +369,7 @@ def robots_blocked_bots(spark, folder):
 def robots_block_counts(spark, folder):
     """Pages each crawler is shut out of. Pages are counted per site first, then joined."""
     raw = table(spark, folder, "pages")
-    per_site = raw.groupBy(origin(F.col("url")).alias("origin")).agg(F.count("*").alias("n"))
+    per_site = raw.groupBy(origin(F.expr(derived.FINAL_URL)).alias("origin")).agg(F.count("*").alias("n"))
     verdicts = sitefiles.site_verdicts(derived.site_files(raw)).select("origin", "blocked_bots")
     rows = per_site.join(verdicts, "origin").select(F.explode("blocked_bots").alias("bot"), "n")
     return rows.groupBy("bot").agg(F.count("*").alias("n_sites"), F.sum("n").alias("n_pages"))
@@ -593,7 +602,8 @@ def retry_label(spark, folder):
 
 def _request_stream(spark: SparkSession, folder: str) -> DataFrame:
     stored = table(spark, folder, "events")
-    stream = spark.readStream.schema(stored.schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    # A pattern, as a plain path must be a folder: the table may be one file or a folder of many.
+    stream = spark.readStream.schema(stored.schema).parquet(f"{folder}/events.parque[t]")
     return derived.request_log(stream)
 
 

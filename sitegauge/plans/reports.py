@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitegauge.operators import scoring
-from sitegauge.schema import BUCKET_CAPS
 
 
 def signal_rows(audit: DataFrame) -> DataFrame:
@@ -52,12 +51,11 @@ def gate_table(audit: DataFrame, bar: int = 50) -> DataFrame:
 
 
 def report_struct():
-    """The full report of a page, buckets in report order."""
-    buckets = F.struct(*[F.col("bucket_scores")[b].alias(b) for b in BUCKET_CAPS])
+    """The full report of a page, buckets in report order; a failed page has none."""
     signal = lambda s: s.dropFields("signal_no")
     return F.struct(
         "url", "score", "grade", "fetched_at", "page_title",
-        F.when(F.col("fetched"), buckets).alias("bucket_scores"),
+        "bucket_scores",
         F.transform("signals", signal).alias("signals"),
         "fixes", "notes",
     )

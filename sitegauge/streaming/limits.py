@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -33,15 +34,17 @@ def limit_batch(
     folder: str,
     per_minute: int,
     per_day: int,
-    lateness_seconds: int,
+    lateness_seconds: int | None,
 ) -> None:
     """Decide one micro-batch against the counters earlier batches left.
 
     Counters live in two tables used in turn: batch n reads what batch n-1 wrote
     and overwrites the other, so a repeated batch starts from the same counters
-    and replaces exactly what it wrote before. A counter is dropped once its
-    bucket ended more than `lateness_seconds` before the newest request; a
-    request that old is let through unenforced and marked late.
+    and replaces exactly what it wrote before. Without `lateness_seconds` every
+    counter stays, and a replay gives the same decisions however its files fall
+    into batches in time order. With it, a counter is dropped once its bucket ended
+    that long before the newest request; a request that old is let through
+    unenforced, marked late and counted in `late/batch=n`.
     """
     counters = (
         spark.read.schema(_COUNTER).parquet(f"{folder}/counters/{(batch_id - 1) % 2}")
@@ -51,7 +54,7 @@ def limit_batch(
     clock = counters.where("unit = 'clock'").agg(F.max("bucket")).first()[0]
     newest = requests.agg(F.max(F.unix_seconds("ts"))).first()[0]
     newest = max(x for x in (clock, newest, 0) if x is not None)
-    horizon = None if clock is None else clock - lateness_seconds
+    horizon = None if clock is None or lateness_seconds is None else clock - lateness_seconds
 
     # A late request is decided like one without a client.
     late = F.lit(False) if horizon is None else F.col("second") < horizon
@@ -90,14 +93,19 @@ def limit_batch(
     )
     decided.write.mode("overwrite").parquet(f"{folder}/decisions/batch={batch_id}")
 
+    if lateness_seconds is not None:
+        decided.where("late").groupBy().agg(F.count("*").alias("late")).write.mode("overwrite").parquet(
+            f"{folder}/late/batch={batch_id}"
+        )
     span = F.when(F.col("unit") == "minute", rl.MINUTE).otherwise(rl.DAY)
     kept = (
         counters.where("unit <> 'clock'")
         .unionByName(_counters(bucketed.where(F.col("client_ip").isNotNull())))
         .groupBy("client_ip", "unit", "bucket")
         .agg(F.sum("n").alias("n"))
-        .where((F.col("bucket") + 1) * span > newest - lateness_seconds)
     )
+    if lateness_seconds is not None:
+        kept = kept.where((F.col("bucket") + 1) * span > newest - lateness_seconds)
     tick = spark.range(1).select(
         F.lit("").alias("client_ip"), F.lit("clock").alias("unit"), F.lit(newest).cast("bigint").alias("bucket"),
         F.lit(0).cast("bigint").alias("n"),
@@ -110,7 +118,7 @@ def start_rate_limit(
     folder: str,
     per_minute: object = rl.PER_MINUTE,
     per_day: object = rl.PER_DAY,
-    lateness_seconds: int = 600,
+    lateness_seconds: int | None = None,
     **trigger,
 ) -> StreamingQuery:
     """Decide a stream of requests; decisions arrive in `folder`/decisions.
@@ -136,22 +144,41 @@ def start_rate_limit(
     )
 
 
+def late_requests(spark: SparkSession, folder: str) -> int:
+    """How many requests came too late to be enforced; 0 for a stream without a horizon."""
+    try:
+        return spark.read.schema("late BIGINT").parquet(f"{folder}/late").agg(F.sum("late")).first()[0] or 0
+    except AnalysisException:
+        return 0
+
+
 def read_decisions(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/decisions").drop("batch")
 
 
-def windowed_counts(requests: DataFrame, unit: str = "1 minute", lateness: str = "10 minutes") -> DataFrame:
-    """Requests per client and tumbling window, with state bounded by the watermark."""
+def windowed_counts(requests: DataFrame, unit: str = "1 minute", lateness: str | None = None) -> DataFrame:
+    """Requests per client and tumbling window.
+
+    Without `lateness`, as for a bounded replay, no row is dropped and state grows
+    with the windows. With it, state is bounded by the watermark, and rows behind
+    it are dropped; `dropped_rows` tells how many.
+    """
+    rows = requests.select("ts", rl.client_ip("headers").alias("client_ip")).where(F.col("client_ip").isNotNull())
+    if lateness:
+        rows = rows.withWatermark("ts", lateness)
     return (
-        requests.select("ts", rl.client_ip("headers").alias("client_ip"))
-        .where(F.col("client_ip").isNotNull())
-        .withWatermark("ts", lateness)
-        .groupBy(F.window("ts", unit), "client_ip")
+        rows.groupBy(F.window("ts", unit), "client_ip")
         .agg(F.count("*").alias("n"))
         .select("client_ip", F.unix_seconds("window.start").alias("window_start"), "n")
     )
 
 
+def dropped_rows(query: StreamingQuery) -> int:
+    """Rows (partial counts) the watermark dropped in the progress the query still knows."""
+    states = (s for p in query.recentProgress for s in p["stateOperators"])
+    return sum(s.get("numRowsDroppedByWatermark", 0) for s in states)
+
+
 def start_counts(counts: DataFrame, folder: str, **trigger) -> StreamingQuery:
     """Write every changed count; `read_counts` keeps the newest per client and window."""
 

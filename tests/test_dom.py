@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from html.parser import HTMLParser
 
 import pytest
@@ -149,3 +150,25 @@ def test_numbering_and_text_spans(spark):
         assert row.text_chars == len(row.spaced)
         assert row.eid <= row.end_eid
     assert by_tag["article"].eid < by_tag["b"].eid <= by_tag["article"].end_eid
+
+
+SHAPES = {
+    "stray end tags behind a table": lambda n: "<x><table>" + "<span>" * n + "</x>" * n,
+    "stray end tags behind cells": lambda n: "<b>" + "<table><tr><td>" * n + "</b>" * n,
+    "mis-nested tables": lambda n: "<table><tr><td><div></table>" * n,
+    "unclosed quotes": lambda n: "<a href='" * n,
+    "attribute flood": lambda n: "<p " + "a=1 " * n + ">",
+    "open inline elements": lambda n: "<i>" * n + "</b>" * n,
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_time_grows_with_the_page(shape):
+    """Eight times the page takes about eight times as long, not sixty-four."""
+    def seconds(n: int) -> float:
+        page, start = SHAPES[shape](n), time.perf_counter()
+        dom._Batch(frozenset(("href",)), frozenset(("nav",))).add(page)
+        return time.perf_counter() - start
+
+    seconds(2_500)
+    assert seconds(20_000) < 20 * max(min(seconds(2_500) for _ in range(3)), 0.01)

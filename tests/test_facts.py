@@ -82,12 +82,3 @@ def test_fact(rows, name):
 def test_headers_are_case_insensitive(facts_of):
     row = facts_of({"x": "<p>a</p>"}, headers={"LAST-Modified": "Tue"})["x"]
     assert row.last_modified == "Tue"
-
-
-def test_canary_page(facts_of):
-    html = (
-        "<!doctype html><html><head><title>Codec canary · demo</title></head><body>"
-        "<h1>The heading survives</h1><p>The body was decoded.</p></body></html>"
-    )
-    row = facts_of({"x": html})["x"]
-    assert (row.page_title, row.n_h1, row.words) == ("Codec canary · demo", 1, 10)

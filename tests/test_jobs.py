@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from conftest import TABLES
 from sitegauge import audit_pages, bucket_table, first_fixes, gate_table, top_fixes, whats_working
 from sitegauge.jobs import run
+from sitegauge.operators.safety import REFUSAL
 from sitegauge.sources.derived import crawled_pages, site_files
 from sitegauge.sources.pages import read_table, spread
+from sitegauge.sources.sinks import write_reports
 
 
 def test_formats_and_gate(spark, tmp_path):
@@ -68,3 +70,34 @@ def test_spread_leaves_large_scans_alone(spark):
     wide = spark.range(100).repartition(64)
     assert spread(wide, "id").rdd.getNumPartitions() == 64
     assert spread(spark.range(100).coalesce(1), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_an_empty_crawl_is_its_own_outcome(spark, tmp_path):
+    pages = str(tmp_path / "none")
+    spark.read.parquet(f"{TABLES}/pages.parquet").limit(0).write.parquet(pages)
+    for fmt in ("json", "parquet", "orc"):
+        assert run([pages, str(tmp_path / fmt), "--format", fmt]) == 3
+
+
+def test_failed_pages_have_no_buckets_and_every_report_a_time(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "https://a.test", None), (2, "https://b.test", "<p>x</p>")], "page_id int, url string, html string")
+    out = str(tmp_path / "out")
+    write_reports(audit_pages(pages), out)
+    reports = {r["url"]: r for r in (json.loads(x.value) for x in spark.read.text(out).collect())}
+    assert reports["https://a.test"]["bucket_scores"] == {} and len(reports["https://b.test"]["bucket_scores"]) == 5
+    times = {r["fetched_at"] for r in reports.values()}
+    assert len(times) == 1 and times.pop().endswith("Z")
+
+
+def test_unsafe_addresses_are_refused_not_scored(spark):
+    rows = [
+        (1, "https://open.test/", None), (2, "http://10.0.0.9/", None), (3, "https://open.test/", "http://10.0.0.9/"), (4, "https://shut.test/", None),
+        (5, "https://unknown.test/", None), (6, "ftp://open.test/", None), (7, "https://OPEN.test:443/", None),
+    ]
+    pages = spark.createDataFrame(rows, "page_id int, url string, final_url string").withColumn("html", F.lit("<title>t</title><p>x</p>"))
+    dns = spark.createDataFrame([("open.test", "198.41.0.4"), ("shut.test", "192.168.0.1")], "host string, ip string")
+    got = {r.page_id: (r.grade, r.page_title, r.notes) for r in audit_pages(pages, dns=dns).collect()}
+    refused = ("—", None, [REFUSAL])
+    assert {k: v == refused for k, v in got.items()} == {1: False, 2: True, 3: True, 4: True, 5: True, 6: True, 7: False}
+    assert all(v == refused or (v[1] == "t" and v[0] != "—") for v in got.values())
+    assert all(r.grade != "—" for r in audit_pages(pages).collect())

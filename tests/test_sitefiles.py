@@ -5,49 +5,64 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from sitegauge.operators.sitefiles import blocked_bots, llms_verdict, looks_like_html, site_verdicts
-from sitegauge.schema import SITE_FILE
+from sitegauge.functions.urls import origin
+from sitegauge.operators.sitefiles import blocked_bots, looks_like_html, site_verdicts
+from sitegauge.schema import AI_CRAWLERS, SITE_FILE
 
-GUIDE = "# Our site\n\n> What this site is about, in enough words to count.\n"
-SHELL = "<!doctype html><html><head><title>Home</title></head><body>Home page again</body></html>"
+NOTES = "# Ferry times\n\n- winter: hourly until dusk\n- summer: every half hour\n"
+MARKUP = "<html><body><main>Ferries leave from the old pier, tickets on board</main></body></html>"
+PLAIN, HTML = "text/plain", "text/html; charset=latin1"
+OK_PROBE = (404, PLAIN, "")
 
-# status, type, body, hops, probe status, probe type, probe head, verdict
+
+def site(llms, probe, hops=0):
+    """(status, type, body) of llms.txt and of the probe."""
+    return llms, probe, hops
+
+
+# A good file meets every probe status of a class; then every way evidence can lack.
 LLMS = [
-    (200, "text/plain; charset=utf-8", GUIDE, 0, 404, "text/plain", "", "pass_absence"),
-    (200, "text/plain", GUIDE, 0, 410, "text/plain", "", "pass_absence"),
-    (200, None, GUIDE, 0, 404, "text/plain", "", "pass_absence"),
-    (200, "Text/Markdown", GUIDE, 0, 404, "", "", "pass_absence"),
-    (200, "text/plain", GUIDE, 0, 200, "text/html; charset=utf-8", SHELL, "pass_html_shell"),
-    (200, "text/plain", GUIDE, 0, 200, "TEXT/HTML", "x", "pass_html_shell"),
-    (200, "text/plain", GUIDE, 0, 200, "text/plain", " <div>x", "pass_html_shell"),
-    (200, "text/plain", GUIDE, 0, 302, "text/html", "", "pass_direct"),
-    (200, "text/plain", GUIDE, None, 399, "text/html", "", "pass_direct"),
-    (200, "text/plain", GUIDE + "\nWe parse raw `<html>` documents.", 0, 404, "", "", "pass_absence"),
-    (200, "text/plain", GUIDE, 1, 301, "text/html", "", "redirect_ambiguous"),
-    (200, "text/html; charset=utf-8", SHELL, 0, 404, "", "", "html_fallback"),
-    (200, None, "<div class='app'>" + "content " * 20, 0, 404, "", "", "html_fallback"),
-    (200, "text/plain", "﻿" + SHELL, 0, 404, "", "", "html_fallback"),
-    (200, "application/octet-stream", GUIDE, 0, 404, "", "", "bad_type"),
-    (200, "text/plain", GUIDE, 0, 200, "text/plain", "welcome to every path", "catch_all"),
-    (200, "text/plain", GUIDE, 0, None, None, None, "unverified"),
-    (200, "text/plain", GUIDE, 0, 404, None, "x", "unverified"),
-    *[(200, "text/plain", GUIDE, 0, s, "text/plain", "", "waf") for s in (400, 401, 403, 429, 500, 503)],
-    (200, "text/plain", GUIDE, 0, 101, "text/html", "", "unexpected"),
-    (404, "text/plain", GUIDE, 0, 404, "", "", "absent"),
-    (200, "text/plain", "x" * 50, 0, 404, "", "", "absent"),
-    (200, "text/plain", "x" * 51, 0, 404, "", "", "pass_absence"),
-    (None, None, None, None, 404, "", "", "absent"),
+    *((site((200, PLAIN, NOTES), (s, PLAIN, "")), "pass_absence") for s in (404, 410)),
+    *((site((200, PLAIN, NOTES), (s, HTML, "")), "waf") for s in (400, 402, 405, 409, 411, 451, 500, 504, 599, 600)),
+    *((site((200, PLAIN, NOTES), (s, HTML, ""), h), v) for s in (300, 308, 399) for h, v in ((0, "pass_direct"), (None, "pass_direct"), (3, "redirect_ambiguous"))),
+    *((site((200, PLAIN, NOTES), (s, PLAIN, "")), "unexpected") for s in (100, 199)),
+    *((site((200, PLAIN, NOTES), (s, t, b)), v) for s in (200, 204, 299) for t, b, v in (
+        (HTML, "", "pass_html_shell"), ("TEXT/HTML", "plain", "pass_html_shell"), (PLAIN, "\n\t<p>", "pass_html_shell"), (PLAIN, "fine", "catch_all"), ("", "", "catch_all"),
+        (None, MARKUP, "unverified"), (HTML, None, "unverified"), (None, None, "unverified"))),
+    *((site((200, PLAIN, NOTES), (s, t, b)), v) for s, good in ((404, "pass_absence"), (301, "pass_direct"), (503, "waf")) for t, b, v in (
+        (PLAIN, None, good), (HTML, None, good), (PLAIN, "<p>x", good), (None, None, "unverified"), (None, "<p>x", "unverified"), (None, "x", "unverified"))),
+    (site((200, PLAIN, NOTES), (None, PLAIN, "")), "unverified"),
+    *((site((s, PLAIN, NOTES), OK_PROBE), "absent") for s in (None, 201, 204, 301, 404, 500)),
+    *((site((200, PLAIN, "y" * n), OK_PROBE), v) for n, v in ((0, "absent"), (50, "absent"), (51, "pass_absence"))),
+    (site((200, PLAIN, None), OK_PROBE), "absent"),
+    *((site((200, t, NOTES), OK_PROBE), v) for t, v in (
+        (None, "pass_absence"), ("", "pass_absence"), ("TEXT/x-notes", "pass_absence"), ("image/png", "bad_type"), ("application/json", "bad_type"), (HTML, "html_fallback"))),
+    *((site((200, PLAIN, lead + MARKUP), OK_PROBE), "html_fallback") for lead in ("", "\ufeff", " \t\r\n\f\x0b")),
+    (site((200, PLAIN, NOTES + MARKUP), OK_PROBE), "pass_absence"),
 ]
 
 
 def test_llms_verdicts(spark):
-    schema = "i int, s int, t string, b string, h int, ps int, pt string, ph string, expected string"
-    frame = spark.createDataFrame([(i, *case) for i, case in enumerate(LLMS)], schema)
-    verdict = llms_verdict(*[F.col(c) for c in ("s", "t", "b", "h", "ps", "pt", "ph")])
-    wrong = frame.select("i", "expected", verdict.alias("got")).where("expected <> got").collect()
+    rows = []
+    for i, ((llms, probe, hops), _) in enumerate(LLMS):
+        rows += [(f"https://s{i}.test", "llms", *llms, hops), (f"https://s{i}.test", "probe", *probe, 0)]
+    verdicts = site_verdicts(spark.createDataFrame(rows, SITE_FILE)).collect()
+    got = {r.origin: r.llms_verdict for r in verdicts}
+    wrong = [(i, case, got[f"https://s{i}.test"]) for i, case in enumerate(LLMS) if got[f"https://s{i}.test"] != case[1]]
     assert wrong == []
 
 
+def test_origins_meet_in_canonical_form(spark):
+    shut = "User-agent: GPTBot\nDisallow: /\n"
+    names = {"https://Pier.TEST:443": "https://pier.test", "http://pier.test:80": "http://pier.test", "https://pier.test:80": "https://pier.test:80", "HTTPS://b.test:": "https://b.test"}
+    rows = [(name, "robots", 200, PLAIN, shut, 0) for name in names]
+    got = {r.origin: r.blocked_bots for r in site_verdicts(spark.createDataFrame(rows, SITE_FILE)).collect()}
+    assert got == {want: ["GPTBot"] for want in names.values()}
+    urls = [("https://PIER.test/a", "https://pier.test"), ("https://u@pier.test:443/", "https://u@pier.test"), ("http://[2001:DB8::1]:80/", "http://[2001:db8::1]"), ("https://x.test:8443", "https://x.test:8443")]
+    frame = spark.createDataFrame(urls, "url string, want string")
+    assert frame.where(origin(F.col("url")) != F.col("want")).collect() == []
+
+
 @pytest.mark.parametrize(
     "text, expected",
     [
@@ -60,24 +75,30 @@ def test_sniff(spark, text, expected):
     assert row.x is expected
 
 
+FENCE = "Disallow: /\n"
+
+
+def group(bot: str, *lines: str) -> str:
+    return "".join([f"User-agent: {bot}\n", *lines])
+
+
+OTHER = group("*", FENCE)
 ROBOTS = [
-    ("User-agent: GPTBot\nDisallow: /\n", ["GPTBot"]),
-    ("user-agent:gptbot   \nDisallow:/", ["GPTBot"]),
-    ("User-agent: GPTBot\nDisallow: /private\n", []),
-    ("User-agent: *\nDisallow: /\n", []),
-    ("User-agent: GPTBot # note\nDisallow: /\n", []),
-    ("User-agent: GPTBot\nAllow: /a\nCrawl-delay: 3\nDisallow: / # all\n", ["GPTBot"]),
-    ("User-agent: GPTBot\n\nDisallow: /\n", ["GPTBot"]),
-    ("User-agent: GPTBot\nAllow: /\n\nDisallow: /\n", []),
-    # Groups that follow without a blank line fall to the earlier agent too.
-    ("User-agent: GPTBot\nAllow: /x\nUser-agent: CCBot\nDisallow: /\n", ["GPTBot", "CCBot"]),
-    ("User-agent: PerplexityBot\r\nAllow: /a\r\nDisallow: /\r\n", ["PerplexityBot"]),
-    ("User-agent: CCBot\nDisallow: /\n\nUser-agent: GPTBot\nDisallow: /\n", ["GPTBot", "CCBot"]),
-    ("User-agent: GPTBot\nAllow: /\n\nUser-agent: GPTBot\nDisallow: /\n", ["GPTBot"]),
-    ("User-agent: Google-Extended\nDisallow: /\n", ["Google-Extended"]),
-    ("", []),
+    # Every crawler by itself, typed in capitals, with a rule before the ban, and among others.
+    *((group(b, FENCE), [b]) for b in AI_CRAWLERS),
+    *((group(b.upper(), "Allow: /open\n", "Crawl-delay: 9\n", FENCE), [b]) for b in AI_CRAWLERS),
+    ("\n".join(group(b, FENCE) for b in reversed(AI_CRAWLERS)), list(AI_CRAWLERS)),
+    # What is no ban of the whole site.
+    *((group(AI_CRAWLERS[0], rule), []) for rule in ("Disallow:\n", "Disallow: /in\n", "Disallow: /*\n", "Allow: /\n", "# Disallow: /\n", "Sitemap: /\n")),
+    # What still is one.
+    *((group(AI_CRAWLERS[0], rule), [AI_CRAWLERS[0]]) for rule in ("disallow:/", "DISALLOW:   /   \n", "Disallow: / # for now\n", "Disallow: /\r\n")),
+    (OTHER, []), ("", []), (f"{OTHER}\n{group('CCBot', FENCE)}", ["CCBot"]),
+    (group("GPTBot # ours", FENCE), []), ("User-agent: GPTBot\n\n" + FENCE, ["GPTBot"]),
+    # A blank line after a rule ends the group; without one, the next group's rules count here too.
+    (group("GPTBot", "Allow: /\n", "\n", FENCE), []), (group("GPTBot", "Allow: /\n", group("CCBot", FENCE)), ["GPTBot", "CCBot"]),
+    (group("GPTBot", "Allow: /\n") + "\n" + group("GPTBot", FENCE), ["GPTBot"]),
     # A very long group must not exhaust the stack.
-    ("User-agent: FacebookBot\n" + "Disallow: /p\n" * 50_000 + "Disallow: /\n", ["FacebookBot"]),
+    (group("FacebookBot", "Disallow: /in\n" * 50_000, FENCE), ["FacebookBot"]),
 ]
 
 
@@ -90,7 +111,7 @@ def test_robots(spark):
 def test_one_row_per_site(spark):
     rows = [
         ("https://a", "robots", 404, None, "User-agent: GPTBot\nDisallow: /", 0),
-        ("https://a", "llms", 200, "text/plain", GUIDE, 0),
+        ("https://a", "llms", 200, "text/plain", NOTES, 0),
         ("https://a", "probe", 404, "text/plain", "", 0),
         ("https://b", "robots", 200, None, "User-agent: GPTBot\nDisallow: /", 0),
     ]
