@@ -67,14 +67,20 @@ def page_source(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html", *optional)
 
 
+# Session setting for small local runs; see `spread`.
+SPREAD = "sitegauge.spread"
+
+
 def spread(scan: DataFrame, key: str) -> DataFrame:
-    """Use every core on a plain table scan stored in fewer splits than cores.
+    """The scan, dealt over all cores by `key` where the session asks for it.
 
-    A table of cluster size has far more splits than cores and is left alone, so
-    its rows are never shuffled.
+    For local runs on tables stored in one piece, which a scan cannot split. Off by
+    default: a plan then never moves a page, whatever the number of splits and cores.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)
+    session = scan.sparkSession
+    if session.conf.get(SPREAD, "false") != "true":
+        return scan
+    return scan.repartition(session.sparkContext.defaultParallelism, key)
 
 
 def fetch_note(status: Column, reason: Column, fetch_error: Column) -> Column:

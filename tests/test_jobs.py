@@ -11,7 +11,7 @@ from sitegauge import audit_pages, bucket_table, first_fixes, gate_table, top_fi
 from sitegauge.jobs import run
 from sitegauge.operators.safety import REFUSAL
 from sitegauge.sources.derived import crawled_pages, site_files
-from sitegauge.sources.pages import read_table, spread
+from sitegauge.sources.pages import SPREAD, read_table, spread
 from sitegauge.sources.sinks import write_reports
 
 
@@ -66,10 +66,16 @@ def test_report_tables(spark):
     assert gate_table(audit).where("gate = 0 AND score < 50").count() == 0
 
 
-def test_spread_leaves_large_scans_alone(spark):
-    wide = spark.range(100).repartition(64)
-    assert spread(wide, "id").rdd.getNumPartitions() == 64
-    assert spread(spark.range(100).coalesce(1), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+def test_scans_are_dealt_out_only_on_demand(spark):
+    def exchanges() -> int:
+        return spread(spark.range(100), "id")._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+    assert exchanges() == 0
+    spark.conf.set(SPREAD, "true")
+    try:
+        assert exchanges() == 1
+    finally:
+        spark.conf.unset(SPREAD)
 
 
 def test_an_empty_crawl_is_its_own_outcome(spark, tmp_path):
