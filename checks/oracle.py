@@ -297,7 +297,13 @@ ORACLES |= {
     "report_json": f"""WITH {LONG} SELECT page_id, url, x.score, CASE WHEN status = 200 THEN {GRADE.replace('score', 'x.score')} ELSE '—' END AS grade,
         CASE WHEN status = 200 THEN title END AS page_title, CASE WHEN status = 200 THEN 27 ELSE 0 END AS n_signals,
         CASE WHEN status = 200 THEN 0 ELSE 1 END AS n_notes FROM ({CRAWLED}) x JOIN f USING (page_id)""",
+    "report_written": f"""WITH {LONG} SELECT url, x.score, CASE WHEN status = 200 THEN {GRADE.replace('score', 'x.score')} ELSE '—' END AS grade,
+        '{FETCHED_AT}' AS fetched_at, count(*) AS n, CAST(count_if(status <> 200) AS BIGINT) AS n_without_buckets,
+        CAST(count_if(status <> 200) AS BIGINT) AS n_without_signals FROM ({CRAWLED}) x JOIN f USING (page_id) GROUP BY ALL""",
     # HTML extraction
+    "attribute_match": f"""WITH {BASE} SELECT page_id, {count('<link rel="canonical"')} AS n_canonical, {count('<meta name="viewport"')} AS n_viewport,
+        {count('<meta property="og:')} AS n_open_graph, {count('role="heading" aria-level="2"')} AS n_role_h2 FROM c""",
+    "plausible_name": f"SELECT doc_id, {plausible('left(text, 24)')} AS plausible FROM documents",
     "page_elements": r"""SELECT page_id, CAST(i - 1 AS INT) AS element_no, regexp_extract(t, '^<([a-z0-9]+)', 1) AS tag,
         CASE WHEN t LIKE '% href=%' THEN replace(regexp_extract(t, ' href="([^"]*)"', 1), '&amp;', '&') END AS href,
         CASE WHEN t LIKE '% class=%' THEN regexp_extract(t, ' class="([^"]*)"', 1) END AS class
@@ -410,6 +416,8 @@ ORACLES |= {
     "day_counts": f"WITH {LOG} SELECT client_ip, day_bucket, count(*) AS n FROM log WHERE client_ip IS NOT NULL GROUP BY ALL",
     "request_ordinals": f"WITH {LOG} SELECT request_id, client_ip, minute_count, day_count FROM numbered",
     "rate_limit_decisions": f"WITH {LOG} SELECT request_id, allowed, enforced FROM decided",
+    "limit_caps": f"""WITH {LOG}, c AS (SELECT * FROM (VALUES ('1/3', 1, 3), ('2/many', 20, 200), ('0/-5', 1, 1), (' 4 /2', 4, 2), ('/', 20, 200)) v(config, m, d))
+        SELECT config, count_if(minute_count > m OR day_count > d)::BIGINT AS blocked FROM c, numbered GROUP BY config""",
     "retry_after": f"WITH {LOG} SELECT request_id, retry_after FROM decided",
     "rate_limit_unidentified": f"WITH {LOG} SELECT request_id, true AS allowed, false AS enforced FROM log WHERE client_ip IS NULL",
     "retry_label": f"""WITH {LOG} SELECT request_id, CASE WHEN retry_after < 60 THEN concat(retry_after, 's')

@@ -17,6 +17,7 @@ from sitegauge.plans import audit as plan, reports
 from sitegauge.schema import BUCKET_CAPS
 from sitegauge.sources import derived
 from sitegauge.sources.pages import fetch_note, page_source, read_table, spread
+from sitegauge.sources.sinks import write_reports
 from sitegauge.streaming import limits
 from sitegauge.streaming.folders import run_folder
 
@@ -143,6 +144,19 @@ def report_json(spark, folder):
     )
 
 
+@query
+def report_written(spark, folder):
+    """Reports through the JSON sink and back."""
+    out = run_folder(spark, "reports")
+    write_reports(crawl_audit(spark, folder), out)
+    # All that is missing from a report must show: the fields are typed here, not guessed.
+    written = spark.read.schema("url STRING, score INT, grade STRING, fetched_at STRING, bucket_scores STRING, signals STRING").json(out)
+    return written.groupBy("url", "score", "grade", "fetched_at").agg(
+        F.count("*").alias("n"), F.sum((F.col("bucket_scores") == "{}").cast("int")).alias("n_without_buckets"),
+        F.sum((F.col("signals") == "[]").cast("int")).alias("n_without_signals"),
+    )
+
+
 @query
 def request_outcome(spark, folder):
     limited = rl.rate_limit(requests(spark, folder), PER_MINUTE, PER_DAY)
@@ -220,6 +234,30 @@ def document_word_count(spark, folder):
     return table(spark, folder, "documents").select("doc_id", word_count(F.col("text")).alias("words"))
 
 
+@query
+def attribute_match(spark, folder):
+    """How many elements match by attribute: a token of `rel`, a name, a prefix of a property, a role with its level."""
+    live = F.col("live")
+
+    def matching(rule):
+        return F.size(F.filter(live, lambda e: F.coalesce(rule(e), F.lit(False))))
+
+    return arrays(spark, folder).select(
+        "page_id",
+        matching(lambda e: (e["tag"] == "link") & el.has_token(el.attr(e, "rel"), "canonical")).alias("n_canonical"),
+        matching(lambda e: (e["tag"] == "meta") & (el.attr(e, "name") == "viewport")).alias("n_viewport"),
+        matching(lambda e: (e["tag"] == "meta") & el.attr(e, "property").startswith("og:")).alias("n_open_graph"),
+        matching(lambda e: (el.attr(e, "role") == "heading") & (el.attr(e, "aria-level") == "2")).alias("n_role_h2"),
+    )
+
+
+@query
+def plausible_name(spark, folder):
+    """The name test over the first words of plain documents."""
+    start = F.substring("text", 1, 24)
+    return table(spark, folder, "documents").select("doc_id", authors.plausible_name(start).alias("plausible"))
+
+
 @query
 def main_region(spark, folder):
     texts = F.col("texts")
@@ -575,6 +613,24 @@ def rate_limit_decisions(spark, folder):
     return limited(spark, folder).select("request_id", "allowed", "enforced")
 
 
+# Caps as a configuration may spell them.
+CAPS = (("1", "3"), ("2", "many"), ("0", "-5"), (" 4 ", "2"), ("", ""))
+
+
+@query
+def limit_caps(spark, folder):
+    """Blocked requests under several configurations of the caps."""
+    numbered = rl.request_ordinals(requests(spark, folder))
+    blocked = [
+        F.struct(
+            F.lit(f"{minute}/{day}").alias("config"),
+            F.count_if((F.col("minute_count") > rl.caps(minute, day)[0]) | (F.col("day_count") > rl.caps(minute, day)[1])).alias("blocked"),
+        )
+        for minute, day in CAPS
+    ]
+    return numbered.agg(F.array(*blocked).alias("c")).select(F.explode("c").alias("c")).select("c.*")
+
+
 @query
 def retry_after(spark, folder):
     return limited(spark, folder).select("request_id", F.col("retry_after_seconds").alias("retry_after"))
