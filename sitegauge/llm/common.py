@@ -16,7 +16,7 @@ from sitegauge.streaming.folders import run_folder
 # A word, in the syntax of Java, RE2 and Python alike.
 WORD = r"[^\x20\x09-\x0D]+"
 # Characters of text one step inside a task works on at once: bounds its memory.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
