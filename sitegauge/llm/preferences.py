@@ -69,10 +69,10 @@ def swapped_replies(turns: DataFrame) -> DataFrame:
         F.max(F.struct("turn", "text")).alias("last")
     )
     other = last.select((F.col("conv_id") - 1).alias("conv_id"), F.col("last.text").alias("other"))
-    reply = last.select("conv_id", F.col("last.turn").alias("last_turn")).join(other, "conv_id", "left")
-    joined = turns.join(reply, "conv_id", "left")
-    swap = (F.col("role") == LEARNED) & (F.col("turn") == F.col("last_turn"))
-    text = F.when(swap, F.coalesce(F.col("other"), F.lit(""))).otherwise(F.col("text"))
+    reply = last.select("conv_id", F.col("last.turn").alias("turn"), F.lit(True).alias("swap")).join(other, "conv_id", "left")
+    # Joined by conversation and turn: even, and already the partitioning that the rendering needs.
+    joined = turns.join(reply, ["conv_id", "turn"], "left")
+    text = F.when(F.col("swap") & (F.col("role") == LEARNED), F.coalesce(F.col("other"), F.lit(""))).otherwise(F.col("text"))
     return joined.select("conv_id", "turn", "role", text.alias("text"))
 
 
