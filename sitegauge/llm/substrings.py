@@ -45,6 +45,20 @@ def anchors(hashes: np.ndarray, doc: np.ndarray, window: int = WINDOW, gram: int
     return value[place], place
 
 
+def anchor_runs(value: np.ndarray, place: np.ndarray, doc: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
+    """Anchors of equal hash at most a window apart in one text as one: hash, first and last place, by text.
+
+    If one of them is repeated, all words between them are looked at anyway. In a
+    text that repeats a few words over and over, where every gram is an anchor, this leaves a handful.
+    """
+    order = np.lexsort((place, value, doc[place]))
+    value, place = value[order], place[order]
+    new = np.ones(len(value), bool)
+    new[1:] = (value[1:] != value[:-1]) | (doc[place[1:]] != doc[place[:-1]]) | (place[1:] - place[:-1] > window)
+    first = np.flatnonzero(new)
+    return value[first], place[first], place[np.append(first[1:], len(value))[: len(first)] - 1]
+
+
 def joined_sha256(flat: pa.Array, offsets: np.ndarray) -> list[str]:
     """SHA-256 of the words of each text joined by one blank."""
     lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), flat)
@@ -52,7 +66,8 @@ def joined_sha256(flat: pa.Array, offsets: np.ndarray) -> list[str]:
 
 
 def _base(docs: DataFrame) -> DataFrame:
-    """One row per document: `doc_id, tid` (hash of the text), `n_words`, `sha` of its words, `gram` and `place` of its anchors."""
+    """One row per document: `doc_id, tid` (hash of the text), `n_words`, `sha` of its words, and of its anchors
+    (see `anchor_runs`) the `gram`, the first and the last `place`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
@@ -61,7 +76,7 @@ def _base(docs: DataFrame) -> DataFrame:
             which = coded.indices
             words = words_of(coded.dictionary)
             ends = np.cumsum(words.counts)
-            value, place = anchors(words.hashes(), words.doc)
+            value, place, last = anchor_runs(*anchors(words.hashes(), words.doc), words.doc)
             at = np.searchsorted(words.doc[place], np.arange(len(ends) + 1)).astype(np.int32)
             begin = np.repeat(ends - words.counts, np.diff(at))
             sha = joined_sha256(words.vocabulary.take(pa.array(words.ids)), np.append(0, ends))
@@ -70,6 +85,7 @@ def _base(docs: DataFrame) -> DataFrame:
                 "sha": pa.array(sha, pa.string()),
                 "gram": pa.ListArray.from_arrays(pa.array(at), pa.array(value.view(np.int64))),
                 "place": pa.ListArray.from_arrays(pa.array(at), pa.array((place - begin).astype(np.int32))),
+                "last": pa.ListArray.from_arrays(pa.array(at), pa.array((last - begin).astype(np.int32))),
             }
             # The anchors of copies in a slice are given once, with the first of them.
             order = which.to_numpy(zero_copy_only=False)
@@ -77,19 +93,19 @@ def _base(docs: DataFrame) -> DataFrame:
             again[np.unique(order, return_index=True)[1]] = False
             columns = [batch.column("doc_id"), batch.column("tid"), made["n_words"].take(which), made["sha"].take(which)]
             first = pa.array(order, mask=again)
-            columns += [pc.coalesce(made[c].take(first), pa.scalar([], made[c].type)) for c in ("gram", "place")]
+            columns += [pc.coalesce(made[c].take(first), pa.scalar([], made[c].type)) for c in ("gram", "place", "last")]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tid", *made])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, tid bigint, n_words bigint, sha string, gram array<bigint>, place array<int>"
+    schema = f"doc_id {kind}, tid bigint, n_words bigint, sha string, gram array<bigint>, place array<int>, last array<int>"
     return docs.mapInArrow(run, schema)
 
 
-def spans_around(places: np.ndarray, n_words: int, window: int = WINDOW, gram: int = GRAM) -> list[tuple[int, int]]:
-    """The words of all windows that hold one of the grams at `places`, as disjoint spans of a text."""
+def spans_around(places: list, n_words: int, window: int = WINDOW, gram: int = GRAM) -> list[tuple[int, int]]:
+    """The words of all windows that hold one of the grams at `places` (first, last), as disjoint spans of a text."""
     spans: list[tuple[int, int]] = []
-    for place in sorted(set(places)):
-        start, stop = max(0, place + gram - window), min(n_words, place + window)
+    for first, last in sorted({(p["place"], p["last"]) for p in places}):
+        start, stop = max(0, first + gram - window), min(n_words, last + window)
         if spans and start <= spans[-1][1]:
             spans[-1] = (spans[-1][0], max(stop, spans[-1][1]))
         else:
@@ -180,13 +196,14 @@ def _hot_windows(pieces: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, base: DataFrame, owners: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Texts that may hold repeated windows (`tid, text, marks`), and their repeated runs (`tid, low, high`)."""
-    marked = base.select("tid", F.explode(F.arrays_zip("gram", "place")).alias("m")).select("tid", "m.gram", "m.place")
+    marked = base.select("tid", F.explode(F.arrays_zip("gram", "place", "last")).alias("m")).select("tid", "m.gram", "m.place", "m.last")
     grouped = marked.groupBy("gram").agg(
-        F.min("tid").alias("home"), F.max("tid").alias("top"), F.min("place").alias("p"), F.max("place").alias("q")
+        F.min("tid").alias("home"), F.max("tid").alias("top"), F.min("place").alias("p"), F.max("last").alias("q")
     )
     again = grouped.where("home <> top OR p <> q").select("gram", "home")
-    marks = stored(marked.join(again, "gram").select("tid", "home", "place"), "anchors")
-    weight = marks.groupBy("home").agg(F.count("*").alias("n"))
+    marks = stored(marked.join(again, "gram").select("tid", "home", "place", "last"), "anchors")
+    # A run weighs as many anchors as its words would have at the usual distance.
+    weight = marks.groupBy("home").agg(F.sum(1 + F.floor((F.col("last") - F.col("place")) / 14)).alias("n"))
     total = weight.agg(F.sum("n").alias("n")).first()["n"] or 0
     shards = max(1, -(-total // SHARD_ANCHORS))
     hot = stored(weight.where(F.col("n") > HOT_ANCHORS).select("home", F.lit(True).alias("hot")), "hot-homes")
@@ -197,7 +214,7 @@ def repeated_spans(docs: DataFrame, base: DataFrame, owners: DataFrame) -> tuple
         placed = marks.join(hot, "home", "left").withColumn("shard", F.when(~F.coalesce("hot", F.lit(False)), home))
     else:
         placed = marks.withColumn("shard", home)
-    per_text = placed.groupBy("tid", "shard").agg(F.collect_set("place").alias("places"))
+    per_text = placed.groupBy("tid", "shard").agg(F.collect_set(F.struct("place", "last")).alias("places"))
     per_text = per_text.groupBy("tid").agg(F.collect_list(F.struct("shard", "places")).alias("marks"))
     wanted = per_text.join(owners.select("tid", "doc_id"), "tid")
     same = docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["tid"] == wanted["tid"])
