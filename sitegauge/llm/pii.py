@@ -25,8 +25,9 @@ MARK = re.compile(r"[0-9@]")
 BLANK = re.compile(r"[\x20\x09-\x0D]")
 BLANKS = "\x20\t\n\x0b\x0c\r"
 LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
-# Rounds of message passing, and the marginal probability a span needs.
-ROUNDS, CERTAIN = 12, 0.9
+# Change below which messages have settled, double sweeps after which they are damped and after which a
+# text that still swings is left as it is, and the marginal probability a span needs.
+SETTLED, FREE_SWEEPS, SWEEPS, CERTAIN = 1e-4, 10, 200, 0.9
 # Code of a label: 0 none, then KINDS.
 N_LABELS = 1 + len(KINDS)
 
@@ -121,7 +122,9 @@ class Graph:
     Other tokens have no features and are no one's personal data, so they cut the
     chain. `chain` joins neighbouring tokens; `skip` joins each token with seven digits
     or more to the next one in its text that ends in the same seven, and each with an at sign or three
-    dots to the next equal one (case ignored).
+    dots to the next equal one (case ignored). Of such repetitions, each that no pattern covers is
+    also joined to a covered one: the last before it, else the first. So what is found in a text is one edge away from all
+    its repetitions, however many there are.
     """
 
     row: list[int]
@@ -137,7 +140,7 @@ def graph_of(texts: list[str], bases: list[dict[str, list[tuple[int, int]]]]) ->
     for i, (text, base) in enumerate(zip(texts, bases)):
         known = sorted((a, b, k + 1) for k, kind in enumerate(KINDS) for a, b in base[kind])
         # A token carries the label of the span that covers its start or that starts in it, the first kind if several.
-        at, before_end, seen = 0, -2, {}
+        at, before_end, seen, covered, waiting = 0, -2, {}, {}, {}
         for start, end, a, b in marked_tokens(text):
             if a >= b:
                 continue
@@ -162,6 +165,13 @@ def graph_of(texts: list[str], bases: list[dict[str, list[tuple[int, int]]]]) ->
                 if key in seen:
                     skip.append((seen[key], node))
                 seen[key] = node
+                if mark:
+                    skip += [(early, node) for early in waiting.pop(key, ())]
+                    covered[key] = node
+                elif key in covered:
+                    skip.append((covered[key], node))
+                else:
+                    waiting.setdefault(key, []).append(node)
             row.append(i)
             span.append((a, b))
             label.append(mark)
@@ -179,36 +189,58 @@ class Field:
     chain: np.ndarray
     skip: np.ndarray
 
-    def marginals(self, graph: Graph, rounds: int = ROUNDS) -> np.ndarray:
+    def marginals(self, graph: Graph) -> np.ndarray:
         """Label probabilities of all tokens by loopy belief propagation; labels of base spans are observed.
 
-        All texts of a slice are one graph, so a round is a few array operations
-        whatever its size; the work is linear in the edges.
+        An observed token says the same to its neighbours whatever they answer: that goes into their scores,
+        and its edges are gone. Along the others messages sweep forward and backward, each token after
+        all before it, until none of its text changes any more; so one sweep carries a message to the end of any chain.
+        All texts of a slice sweep at once, and a sweep is linear in the edges.
         """
         n = len(graph.row)
         score = np.array([self.unary.get(f, self.unknown) for f in graph.features]).reshape(n, N_LABELS)
         known = graph.label > 0
+        for edges, table in ((graph.chain, self.chain), (graph.skip, self.skip)):
+            for here, there, pair in ((edges[:, 0], edges[:, 1], table), (edges[:, 1], edges[:, 0], table.T)):
+                told = known[here] & ~known[there]
+                np.add.at(score, there[told], pair[graph.label[here[told]]])
         score[known] = -30.0
         score[known, graph.label[known]] = 0.0
-        edges = np.concatenate([graph.chain, graph.skip])
+        free = [edges[~known[edges].any(axis=1)] for edges in (graph.chain, graph.skip)]
+        edges = np.concatenate(free)
         if not len(edges):
             return _softmax(score)
-        table = np.concatenate([np.repeat(self.chain[None], len(graph.chain), 0), np.repeat(self.skip[None], len(graph.skip), 0)])
-        source = np.concatenate([edges[:, 0], edges[:, 1]])
-        target = np.concatenate([edges[:, 1], edges[:, 0]])
-        table = np.concatenate([table, table.transpose(0, 2, 1)])
-        back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
-        message = np.zeros((len(source), N_LABELS))
-        for _ in range(rounds):
-            belief = score.copy()
-            np.add.at(belief, target, message)
-            outgoing = (belief[source] - message[back])[:, :, None] + table
-            top = outgoing.max(axis=1, keepdims=True)
-            new = (top + np.log(np.exp(outgoing - top).sum(axis=1, keepdims=True)))[:, 0]
-            new -= new.max(axis=1, keepdims=True)
-            # Damped, so that short loops settle.
-            message = 0.5 * message + 0.5 * new
-        np.add.at(score, target, message)
+        m = len(edges)
+        # Messages 0 to m - 1 go forward along the edges, the others back; `kind` tells their tables apart.
+        source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
+        tables = np.stack([self.chain, self.skip, self.chain.T, self.skip.T])
+        kind = np.repeat(np.arange(4), [len(free[0]), len(free[1])] * 2)
+        back = np.concatenate([np.arange(m) + m, np.arange(m)])
+        row = np.array(graph.row)[source]
+        # How many edges lead up to a token at most, and how many lead on from it.
+        before, after = [0] * n, [0] * n
+        for a, b in edges[np.argsort(edges[:, 1], kind="stable")].tolist():
+            before[b] = max(before[b], before[a] + 1)
+        for a, b in edges[np.argsort(-edges[:, 0], kind="stable")].tolist():
+            after[a] = max(after[a], after[b] + 1)
+        turn = np.concatenate([np.array(before)[edges[:, 0]], np.array(after)[edges[:, 1]] + max(before)])
+        order = np.argsort(turn, kind="stable")
+        message = np.zeros((2 * m, N_LABELS))
+        for sweep in range(SWEEPS):
+            moved = np.zeros(graph.row[-1] + 1)
+            for live in np.split(order, np.flatnonzero(np.diff(turn[order])) + 1):
+                outgoing = (score[source[live]] - message[back[live]])[:, :, None] + tables[kind[live]]
+                top = outgoing.max(axis=1, keepdims=True)
+                new = (top + np.log(np.exp(outgoing - top).sum(axis=1, keepdims=True)))[:, 0]
+                new -= new.max(axis=1, keepdims=True)
+                # Damped at length, so that loops settle.
+                change = (new - message[live]) * (1.0 if sweep < FREE_SWEEPS else 0.5)
+                message[live] += change
+                np.add.at(score, target[live], change)
+                np.maximum.at(moved, row[live], np.abs(change).max(axis=1))
+            order = order[moved[row[order]] >= SETTLED]
+            if not len(order):
+                break
         return _softmax(score)
 
 
@@ -313,7 +345,7 @@ def find_pii(docs: DataFrame, field: Field | None = None) -> DataFrame:
     A skip-chain conditional random field then labels the tokens with a digit or an
     at sign that no pattern covers: neighbours share potentials, and so do distant
     tokens that are the same address or end in the same seven digits. Loopy message passing
-    carries the label of a found number to its bare repetitions, and a token whose
+    carries the label of a found number to its bare repetitions at any distance, and a token whose
     marginal reaches 0.9 becomes a span too (`base` false).
 
     Scale: two narrow passes, one to count features and label pairs over the whole

@@ -4,6 +4,9 @@ import random
 import re
 import time
 
+import numpy as np
+import pytest
+
 from corpus import documents
 from sitegauge.llm import pii
 
@@ -51,6 +54,38 @@ def test_repetitions_of_a_found_number_are_labelled_alike(spark):
     assert all(sum(s.base for s in rows[i].pii) == 4 for i in range(30))
 
 
+@pytest.mark.parametrize("at", [0, 50, 100])
+def test_a_hundred_bare_repetitions_are_all_found(spark, at):
+    known = [(i, f"ask +1 (743) 555-{3000 + i}, +1 (743) 555-{3000 + i} it is") for i in range(30)]
+    plain = [(50 + i, f"order {70_000_000 + i} of 19{i} and order {70_000_000 + i} again") for i in range(300)]
+    parts = ["then 212-555-0147, item 12345"] * 100
+    parts.insert(at, "call +1 (212) 555-0147")
+    rows = {r.doc_id: r for r in pii.find_pii(documents(spark, [*known, *plain, (999, "; ".join(parts))])).collect()}
+    assert [s.base for s in rows[999].pii].count(False) == 100
+    assert "0147" not in rows[999].redacted and rows[999].redacted.count("item 12345") == 100
+    assert not any(rows[50 + i].pii for i in range(300))
+
+
+def test_messages_reach_the_end_of_a_long_chain():
+    """Marginals of a chain are exact: those of a forward and a backward sweep."""
+    rng, n = np.random.default_rng(3), 300
+    chain = 8 * np.eye(pii.N_LABELS) + 0.1 * rng.random((pii.N_LABELS, pii.N_LABELS))
+    unary = {"first": np.array([0.0, 0, 0, 0, 12]), "other": np.zeros(pii.N_LABELS)}
+    edges = np.stack([np.arange(n - 1), np.arange(1, n)], axis=1)
+    names = ["first"] + ["other"] * (n - 1)
+    graph = pii.Graph([0] * n, [(0, 1)] * n, np.zeros(n, np.int64), names, edges, np.empty((0, 2), np.int64))
+    found = pii.Field(unary, np.zeros(pii.N_LABELS), chain, chain).marginals(graph)
+    score, pair = np.exp([unary[f] for f in names]), np.exp(chain)
+    ahead, behind = np.ones((n, pii.N_LABELS)), np.ones((n, pii.N_LABELS))
+    for i in range(1, n):
+        ahead[i] = (ahead[i - 1] * score[i - 1]) @ pair
+        ahead[i] /= ahead[i].sum()
+        behind[-1 - i] = pair @ (behind[-i] * score[-i])
+        behind[-1 - i] /= behind[-1 - i].sum()
+    exact = ahead * score * behind
+    assert found == pytest.approx(exact / exact.sum(axis=1, keepdims=True), abs=0.01)
+
+
 def test_overlapping_spans_become_one():
     spans = [(0, 0, 5, True), (2, 3, 9, True), (1, 12, 14, True)]
     assert pii.redacted("aaaaabbbbcccddee", spans) == "[EMAIL]ccc[IP]ee"
