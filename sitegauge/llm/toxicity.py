@@ -59,8 +59,22 @@ def _pairs(texts: pa.Array, features: list[tuple[int, ...]], words) -> tuple[np.
     return key // len(codes), codes[key % len(codes)]
 
 
-def fit_logistic(rows, cols, dense: np.ndarray, y: np.ndarray, n_features: int, l2: float = 0.1, rounds: int = 100) -> np.ndarray:
-    """Weights of an L2-regularised logistic regression by L-BFGS: features, dense columns, intercept."""
+def how_telling(rows, cols, y: np.ndarray, n_features: int) -> np.ndarray:
+    """Log-ratio of each feature's smoothed shares in the two classes, without its sign, over the largest one."""
+    hits = np.bincount(cols, y[rows], minlength=n_features)
+    rest = np.bincount(cols, minlength=n_features) - hits
+    ratio = np.abs(np.log((hits + 1) / (y.sum() + 2)) - np.log((rest + 1) / (len(y) - y.sum() + 2)))
+    return ratio / max(ratio.max(initial=0), 1e-9)
+
+
+def fit_logistic(
+    rows, cols, dense: np.ndarray, y: np.ndarray, n_features: int, l2: float = 0.1, rounds: int = 100, scale: np.ndarray | None = None
+) -> np.ndarray:
+    """Weights of an L2-regularised logistic regression by L-BFGS: features, dense columns, intercept.
+
+    A feature counts as its `scale` instead of 1 while fitting, so weight on one with a small scale costs more.
+    """
+    scale = np.ones(n_features) if scale is None else scale
     n, n_dense = dense.shape
     positive = float(y.sum())
     if positive in (0.0, float(n)):
@@ -71,10 +85,10 @@ def fit_logistic(rows, cols, dense: np.ndarray, y: np.ndarray, n_features: int,
     mass = np.where(y > 0, n / (2 * positive), n / (2 * (n - positive)))
 
     def value(w):
-        z = np.bincount(rows, w[cols], minlength=n) + dense @ w[n_features:-1] + w[-1]
+        z = np.bincount(rows, (w[:n_features] * scale)[cols], minlength=n) + dense @ w[n_features:-1] + w[-1]
         loss = mass @ (np.logaddexp(0, z) - y * z) + l2 / 2 * (w[:-1] @ w[:-1])
         error = mass * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
-        slope = np.concatenate([np.bincount(cols, error[rows], minlength=n_features), dense.T @ error, [error.sum()]])
+        slope = np.concatenate([scale * np.bincount(cols, error[rows], minlength=n_features), dense.T @ error, [error.sum()]])
         slope[:-1] += l2 * w[:-1]
         return loss, slope
 
@@ -110,6 +124,7 @@ def fit_logistic(rows, cols, dense: np.ndarray, y: np.ndarray, n_features: int,
         w, loss, slope = after, new_loss, new_slope
         if done:
             break
+    w[:n_features] *= scale
     return w
 
 
@@ -155,11 +170,12 @@ def best_threshold(probability: np.ndarray, y: np.ndarray) -> float:
 def fit_chain(rows, cols, dense: np.ndarray, labels: np.ndarray, fold: np.ndarray, n_features: int):
     """A model and a threshold per column of `labels`. Later models are fitted on out-of-fold
     probabilities of the earlier ones, so they learn how reliable those are on unseen
-    texts; the thresholds come from out-of-fold probabilities too."""
+    texts; the thresholds come from out-of-fold probabilities too. Features are scaled by how telling
+    they are in the texts of the fit: many weak ones must not outweigh a single word that settles it."""
     models, thresholds = [], []
     for j in range(labels.shape[1]):
         y = labels[:, j].astype(float)
-        models.append(fit_logistic(rows, cols, dense, y, n_features))
+        models.append(fit_logistic(rows, cols, dense, y, n_features, scale=how_telling(rows, cols, y, n_features)))
         held_out = np.full(len(y), y.mean())
         for k in range(FOLDS):
             train, test = fold != k, fold == k
@@ -167,7 +183,9 @@ def fit_chain(rows, cols, dense: np.ndarray, labels: np.ndarray, fold: np.ndarra
                 continue
             at = np.cumsum(train) - 1
             keep = train[rows]
-            part = fit_logistic(at[rows[keep]], cols[keep], dense[train], y[train], n_features)
+            inner = at[rows[keep]], cols[keep]
+            scale = how_telling(*inner, y[train], n_features)
+            part = fit_logistic(*inner, dense[train], y[train], n_features, scale=scale)
             held_out[test] = predict(part, rows, cols, dense)[test]
         thresholds.append(best_threshold(held_out, y))
         dense = np.column_stack([dense, held_out])

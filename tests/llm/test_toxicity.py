@@ -38,6 +38,29 @@ def test_threshold_parts_the_classes():
 
 
 def corpus(spark):
+    rnd, rows, labels = random.Random(6), [], []
+    for i in range(600):
+        text, toxic, poor = prose(60, i).split(), i % 7 == 0, i % 5 == 0
+        if toxic:
+            text.insert(rnd.randrange(60), rnd.choice(["Vilebag!", "vilebags", "rotter,", "Rotters"]))
+        rows.append((i, " ".join(f"{w}###" if poor else w for w in text)))
+        if i % 3:
+            labels.append((i, 1 - poor, int(toxic)))
+    return documents(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+
+
+def test_held_out_texts_are_judged_rightly(spark):
+    docs, labels = corpus(spark)
+    rows = toxicity.judge_toxicity(docs, labels).collect()
+    held_out = [r for r in rows if r.doc_id % 3 == 0]
+    assert np.mean([r.toxic == (r.doc_id % 7 == 0) for r in held_out]) > 0.97
+    assert not any(r.toxic for r in held_out if r.doc_id % 7)
+    assert np.mean([(r.p_low_quality > 0.5) == (r.doc_id % 5 == 0) for r in held_out]) > 0.97
+    kept = {r.doc_id for r in toxicity.without_toxic(docs, labels).collect()}
+    assert kept == {r.doc_id for r in rows if not r.toxic}
+
+
+def two_word_corpus(spark):
     rnd, rows, labels = random.Random(6), [], []
     for i in range(1_200):
         text, toxic, poor = prose(40, i).split(), i % 7 == 0, i % 5 == 0
@@ -49,8 +72,8 @@ def corpus(spark):
     return documents(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
 
 
-def test_held_out_texts_are_judged_rightly(spark):
-    docs, labels = corpus(spark)
+def test_held_out_texts_with_two_words_are_judged_rightly(spark):
+    docs, labels = two_word_corpus(spark)
     rows = toxicity.judge_toxicity(docs, labels).collect()
     held_out = [r for r in rows if r.doc_id % 3 == 0]
     assert np.mean([r.toxic == (r.doc_id % 7 == 0) for r in held_out]) > 0.97
