@@ -337,6 +337,12 @@ ORACLES |= {
     "author_meta": f"WITH {BASE} SELECT page_id, {AUTHOR_META} AS found FROM c",
     "author_markup": f"WITH {BASE} SELECT page_id, {AUTHOR_MARKUP} AS found FROM c",
     "author_visible_byline": f"WITH {BASE} SELECT page_id, {AUTHOR_BYLINE} AS found FROM c",
+    "author_candidate_names": f"""WITH {BASE}, found AS (
+        SELECT page_id, 'meta' AS source, unnest(regexp_extract_all(p, '<meta (?:name="author"|property="article:author") content="([^"]*)"', 1)) AS candidate FROM c
+        UNION SELECT page_id, 'markup', unnest(list_transform(regexp_extract_all(p, '{MARKED}', 1), lambda t: {clean('t')})) FROM c
+        UNION SELECT page_id, 'byline', unnest(list_transform(list_filter({BLOCK_TEXTS}, lambda t: length(t) <= 120),
+          lambda t: regexp_extract(t, '^{_BY}({_NAME}){_TAIL}', 1))) FROM c)
+        SELECT *, {plausible('candidate')} AS plausible FROM found WHERE trim(candidate) <> ''""",
     "author_source": f"WITH {FACTS} SELECT page_id, author AS source FROM f",
     # site files
     "llms_verdict": f"WITH {SITES} SELECT origin, verdict FROM verdicts",

@@ -34,16 +34,23 @@ def plausible_name(name: Column) -> Column:
     return F.exists(tokens, lambda t: (t != "") & ~F.lower(t).isin(*INTERFACE_WORDS))
 
 
+def _author_meta(e: Column) -> Column:
+    key = F.coalesce(F.nullif(attr(e, "name"), F.lit("")), attr(e, "property"))
+    names = (
+        (e["tag"] == "meta")
+        & F.lower(strip(key)).isin("author", "article:author")
+        & (strip(attr(e, "content")) != "")
+    )
+    return F.coalesce(names, F.lit(False))
+
+
 def meta_author(elements: Column) -> Column:
-    def names(e: Column) -> Column:
-        key = F.coalesce(F.nullif(attr(e, "name"), F.lit("")), attr(e, "property"))
-        return (
-            (e["tag"] == "meta")
-            & F.lower(strip(key)).isin("author", "article:author")
-            & (strip(attr(e, "content")) != "")
-        )
+    return F.exists(elements, _author_meta)
 
-    return F.exists(elements, lambda e: F.coalesce(names(e), F.lit(False)))
+
+def meta_values(elements: Column) -> Column:
+    """Whole value of each author meta element."""
+    return F.transform(F.filter(elements, _author_meta), lambda e: attr(e, "content"))
 
 
 def _author_scoped(e: Column) -> Column:
@@ -89,6 +96,12 @@ def visible_byline(block_texts: Column) -> Column:
     )
 
 
+def byline_names(block_texts: Column) -> Column:
+    """Whole name of each block that is a byline."""
+    names = F.transform(block_texts, lambda t: F.regexp_extract(t, BYLINE_START, 1))
+    return F.filter(names, lambda n: n != "")
+
+
 def author_source(jsonld: Column, meta: Column, markup: Column, byline: Column) -> Column:
     """Strongest evidence: jsonld, meta, markup, byline, else NULL."""
     return (

@@ -370,6 +370,22 @@ def author_visible_byline(spark, folder):
     return arrays(spark, folder).select("page_id", authors.visible_byline(F.col("block_texts")).alias("found"))
 
 
+@query
+def author_candidate_names(spark, folder):
+    """The name test over every author candidate of a page, whole: meta values, marked texts, names in bylines."""
+    found = {
+        "meta": authors.meta_values(F.col("live")),
+        "markup": F.col("author_texts"),
+        "byline": authors.byline_names(F.col("block_texts")),
+    }
+    listed = [
+        F.transform(texts, lambda t: F.struct(F.lit(source).alias("source"), t.alias("candidate")))
+        for source, texts in found.items()
+    ]
+    rows = arrays(spark, folder).select("page_id", F.inline(F.array_distinct(F.concat(*listed))))
+    return rows.withColumn("plausible", authors.plausible_name(F.col("candidate")))
+
+
 @query
 def author_source(spark, folder):
     return plan.page_facts(pages(spark, folder)).select("page_id", F.col("author_source").alias("source"))

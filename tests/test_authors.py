@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from sitegauge.operators.authors import BYLINE_CHARS, BYLINE_TAGS, INTERFACE_WORDS
+from sitegauge.plans.queries import QUERIES
 
 REST = "<p>The harbour was quiet all morning.</p>"
 
@@ -79,3 +80,13 @@ def rows(facts_of):
 @pytest.mark.parametrize("name", CASES)
 def test_author_source(rows, name):
     assert rows[name].author_source == CASES[name][1]
+
+
+def test_candidates_are_judged_whole(spark, tmp_path):
+    """What stands past the 24th character decides."""
+    name, words = "Read more about our team and Ilse Brandt", "Read more about our team and privacy"
+    html = f'<html><body><article><i class="author">{name}</i><i class="byline">{words}</i></article></body></html>'
+    rows = [(1, "https://site.example/a", html)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = {r.candidate: r.plausible for r in QUERIES["author_candidate_names"](spark, str(tmp_path)).collect()}
+    assert found[name] is True and found[words] is False
