@@ -71,6 +71,14 @@ class Words:
         return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
 
 
+def translated(texts: pa.Array, table: bytes) -> pa.Array:
+    """Texts with every byte replaced by its entry in `table`; nulls become empty."""
+    texts = pc.fill_null(texts, "")
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = (texts.buffers()[2] or pa.py_buffer(b""))[int(offsets[0]) : int(offsets[-1])].to_pybytes()
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer((offsets - offsets[0]).tobytes()), pa.py_buffer(data.translate(table)))
+
+
 def words_of(texts: pa.Array) -> Words:
     """Maximal runs of characters other than blank and U+0009 to U+000D; a null text has none."""
     lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
