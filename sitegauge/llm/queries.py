@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from sitegauge.llm import decontaminate, html_text, lexical, minhash, mixing, pii, preferences, quality, substrings, toxicity, urlfilter
+from sitegauge.llm import decontaminate, html_text, lexical, minhash, mixing, negatives, pii, preferences, quality, substrings, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.query,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": mixing.query,
     "op10_preferences": preferences.query,
     "op12_search": lexical.query,
+    "op13_negatives": negatives.query,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -29,4 +30,5 @@ ORACLES: dict[str, str] = {
     "op9_mixing": mixing.SQL,
     "op10_preferences": preferences.SQL,
     "op12_search": lexical.SQL,
+    "op13_negatives": negatives.SQL,
 }
