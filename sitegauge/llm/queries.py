@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from sitegauge.llm import decontaminate, html_text, lexical, minhash, mixing, negatives, pii, preferences, quality, substrings, toxicity, urlfilter
+from sitegauge.llm import decontaminate, html_text, lexical, minhash, mixing, negatives, ngramjoin, pii, preferences, quality, substrings, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.query,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substrings": substrings.query,
     "op9_mixing": mixing.query,
     "op10_preferences": preferences.query,
+    "op11_ngram_join": ngramjoin.query,
     "op12_search": lexical.query,
     "op13_negatives": negatives.query,
     "pipeline": corpus_pipeline.run,
@@ -29,6 +30,7 @@ ORACLES: dict[str, str] = {
     "op5_url_filter": urlfilter.SQL,
     "op9_mixing": mixing.SQL,
     "op10_preferences": preferences.SQL,
+    "op11_ngram_join": ngramjoin.SQL,
     "op12_search": lexical.SQL,
     "op13_negatives": negatives.SQL,
 }
