@@ -436,6 +436,14 @@ ORACLES |= {
         SELECT request_id, label, CASE label WHEN 'counted' THEN NULL WHEN 'drained' THEN false ELSE true END AS allowed,
         CASE label WHEN 'drained' THEN 60 ELSE 0 END AS retry_after_seconds, label IN ('counted', 'drained') AS enforced FROM labelled""",
     "rate_limit_stream": f"WITH {LOG} SELECT request_id, allowed, retry_after AS retry_after_seconds, enforced, false AS late FROM decided",
+    "rate_limit_stream_shuffled": f"WITH {LOG} SELECT request_id, allowed, retry_after AS retry_after_seconds, enforced, false AS late FROM decided",
+    "late_split_stream": f"""WITH {LOG}, delivered AS (
+        SELECT client_ip, minute_bucket * 60 AS window_start, epoch_ms(log.ts) AS ms, {d.DELIVERY.replace("ts", "events.ts")} AS delivery
+        FROM log JOIN events ON event_id = request_id WHERE client_ip IS NOT NULL),
+        newest AS (SELECT delivery, max(ms) AS ms FROM delivered GROUP BY delivery),
+        watermark AS (SELECT a.delivery, max(b.ms) - 2 * 86400000 AS ms FROM newest a JOIN newest b ON b.delivery < a.delivery GROUP BY a.delivery),
+        judged AS (SELECT client_ip, window_start, (window_start + 60) * 1000 <= coalesce(w.ms, 0) AS late FROM delivered LEFT JOIN watermark w USING (delivery))
+        SELECT client_ip, window_start, count_if(NOT late)::BIGINT AS n, count_if(late)::BIGINT AS n_late FROM judged GROUP BY ALL""",
     "minute_counts_stream": f"WITH {LOG} SELECT client_ip, minute_bucket * 60 AS window_start, count(*) AS n FROM log WHERE client_ip IS NOT NULL GROUP BY ALL",
 }
 

@@ -688,6 +688,38 @@ def rate_limit_stream(spark, folder):
     )
 
 
+def _arriving(spark: SparkSession, folder: str, part: str, parts: int, start) -> None:
+    """The request log in `parts` deliveries; after each, the stream `start` builds is started anew and runs to its end."""
+    log, source = events(spark, folder), run_folder(spark, "arriving")
+    for no in range(parts):
+        log.where(f"{part} = {no}").write.mode("append").parquet(source)
+        stream = spark.readStream.schema(log.schema).parquet(source)
+        start(derived.request_log(stream)).awaitTermination()
+
+
+@query
+def rate_limit_stream_shuffled(spark, folder):
+    """The limiter on a log that arrives out of order, restarted between deliveries."""
+    out = run_folder(spark, "rate-limit")
+    _arriving(spark, folder, derived.DELIVERY, 3, lambda rows: limits.start_rate_limit(rows, out, PER_MINUTE, PER_DAY))
+    return limits.read_decisions(spark, out).select("request_id", "allowed", "retry_after_seconds", "enforced", "late")
+
+
+# How long a window waits for stragglers.
+LATENESS = 2 * rl.DAY
+
+
+@query
+def late_split_stream(spark, folder):
+    """Counts of a stream with a horizon, and how many requests came after their window had closed."""
+    out = run_folder(spark, "bounded-counts")
+    _arriving(spark, folder, derived.DELIVERY, 3, lambda rows: limits.start_bounded_counts(rows, out, lateness_seconds=LATENESS))
+    counted = limits.read_counts(spark, out).withColumn("n_late", F.lit(0).cast("bigint"))
+    start = (F.col("second") - F.col("second") % rl.MINUTE).alias("window_start")
+    late = limits.late_rows(spark, out).select("client_ip", start, F.lit(0).cast("bigint").alias("n"), F.lit(1).cast("bigint").alias("n_late"))
+    return counted.unionByName(late).groupBy("client_ip", "window_start").agg(F.sum("n").alias("n"), F.sum("n_late").alias("n_late"))
+
+
 @query
 def minute_counts_stream(spark, folder):
     out = run_folder(spark, "minute-counts")

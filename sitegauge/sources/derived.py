@@ -200,6 +200,9 @@ STORE_STATUS = (
 STORE_PARSED = "event_id % 5 <> 0"
 STORE_CONFIGURED = "event_id % 11 <> 0"
 
+# In which of three deliveries an event arrives: stragglers come last, and the earliest ten days in the second.
+DELIVERY = "CASE WHEN event_id % 5 = 0 THEN 2 WHEN dayofmonth(ts) <= 10 THEN 1 WHEN dayofmonth(ts) <= 20 THEN 0 ELSE 2 END"
+
 
 def request_log(events: DataFrame) -> DataFrame:
     headers = F.map_filter(

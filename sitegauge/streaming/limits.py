@@ -1,116 +1,192 @@
-"""Rate limits over a live request stream."""
+"""Rate limits and window counts over a live request stream, on the engine's keyed state.
+
+Both stateful operators see counts only: a stateless step folds each batch of rows
+to counts per client and second (or window) before the shuffle, so a client that sends
+a third of the stream costs its state a few rows. The requests themselves go around
+the operator, through the same streaming query, and are written beside what it says.
+"""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from collections import defaultdict
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from sitegauge.operators import ratelimit as rl
 
-_COUNTER = "client_ip string, unit string, bucket bigint, n bigint"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_OFFSETS = "client_ip string, second bigint, minute_before bigint, day_before bigint, batch bigint"
 
 
-def _counters(decided: DataFrame) -> DataFrame:
-    """Requests of a batch per client and bucket, minutes and days in one aggregation."""
-    units = F.array(
-        F.struct(F.lit("minute").alias("unit"), F.col("minute_bucket").alias("bucket")),
-        F.struct(F.lit("day").alias("unit"), F.col("day_bucket").alias("bucket")),
-    )
-    return (
-        decided.groupBy("client_ip", "minute_bucket", "day_bucket")
-        .agg(F.count("*").alias("n"))
-        .select("client_ip", F.explode(units).alias("u"), "n")
-        .groupBy("client_ip", "u.unit", "u.bucket")
-        .agg(F.sum("n").alias("n"))
-    )
+# What the operators say, in the order of their schemas.
+_OFFSET = Row("kind", "client_ip", "second", "minute_before", "day_before", "watermark")
+_COUNT = Row("kind", "client_ip", "window_start", "n", "watermark")
 
 
-def limit_batch(
-    spark: SparkSession,
-    requests: DataFrame,
-    batch_id: int,
-    folder: str,
-    per_minute: int,
-    per_day: int,
-    lateness_seconds: int | None,
-) -> None:
-    """Decide one micro-batch against the counters earlier batches left.
-
-    Counters live in two tables used in turn: batch n reads what batch n-1 wrote
-    and overwrites the other, so a repeated batch starts from the same counters
-    and replaces exactly what it wrote before. Without `lateness_seconds` every
-    counter stays, and a replay gives the same decisions however its files fall
-    into batches in time order. With it, a counter is dropped once its bucket ended
-    that long before the newest request; a request that old is let through
-    unenforced, marked late and counted in `late/batch=n`.
+@contextmanager
+def _keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in the store that keyed state needs."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+
+
+def _folded(rows: DataFrame) -> DataFrame:
+    """How often each row occurs, batch by batch of a task: a partial count without state."""
+    keys = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = pa.Table.from_batches([batch]).group_by(keys).aggregate([([], "count_all")])
+            yield from counts.rename_columns([*keys, "n"]).to_batches()
+
+    return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", n bigint")
+
+
+def _closed(start: Column | int, span: int, watermark: Column | int) -> Column | bool:
+    """Whether the window of `span` seconds that begins at `start` ended at or before the watermark (milliseconds)."""
+    return (start + span) * 1000 <= watermark
+
+
+class _DayCounts(StatefulProcessor):
+    """Requests of one client and day, counted by second; says how many came before each second that changed.
+
+    An earlier second may come later: then all seconds after it are said again, with
+    their new numbers. Given a horizon, minutes that closed count no more, and the
+    state goes when the day closes.
     """
-    counters = (
-        spark.read.schema(_COUNTER).parquet(f"{folder}/counters/{(batch_id - 1) % 2}")
-        if batch_id
-        else spark.createDataFrame([], _COUNTER)
-    )
-    clock = counters.where("unit = 'clock'").agg(F.max("bucket")).first()[0]
-    newest = requests.agg(F.max(F.unix_seconds("ts"))).first()[0]
-    newest = max(x for x in (clock, newest, 0) if x is not None)
-    horizon = None if clock is None or lateness_seconds is None else clock - lateness_seconds
-
-    # A late request is decided like one without a client.
-    late = F.lit(False) if horizon is None else F.col("second") < horizon
-    bucketed = (
-        rl.with_buckets(requests)
-        .withColumn("late", late)
-        .withColumn("client_ip", F.when(~F.col("late"), F.col("client_ip")))
-    )
 
-    def carried(unit: str) -> DataFrame:
-        return counters.where(F.col("unit") == unit).select(
-            "client_ip", F.col("bucket").alias(f"{unit}_bucket"), F.col("n").alias(f"{unit}_carried")
-        )
+    def __init__(self, horizon: bool):
+        self.horizon = horizon
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.minutes = handle.getMapState("minutes", "minute bigint", "seconds array<bigint>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        client, day = key
+        watermark = timerValues.getCurrentWatermarkInMs() if self.horizon else None
+        came: dict[int, dict[int, int]] = defaultdict(lambda: defaultdict(int))
+        for row in rows:
+            minute = row.second // rl.MINUTE
+            if not self.horizon or not _closed(minute * rl.MINUTE, rl.MINUTE, watermark):
+                came[minute][row.second] += row.n
+        if self.horizon:
+            # The requests beside this operator are judged by the same watermark.
+            yield _OFFSET("clock", None, None, None, None, watermark)
+        if not came:
+            return
+        if self.horizon:
+            self.handle.registerTimer((day + 1) * rl.DAY * 1000)
+        counts = {minute: list(value[0]) for (minute,), value in self.minutes.iterator()}
+        for minute, seconds in came.items():
+            of_minute = counts.setdefault(minute, [0] * rl.MINUTE)
+            for second, n in seconds.items():
+                of_minute[second % rl.MINUTE] += n
+            self.minutes.updateValue((minute,), (of_minute,))
+        first = min(min(seconds) for seconds in came.values())
+        in_day = 0
+        for minute in sorted(counts):
+            in_minute = 0
+            for place, n in enumerate(counts[minute]):
+                second = minute * rl.MINUTE + place
+                if n and second >= first:
+                    yield _OFFSET("offset", client, second, in_minute, in_day + in_minute, None)
+                in_minute += n
+            in_day += in_minute
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.minutes.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class _WindowCounts(StatefulProcessor):
+    """Requests of one client and window, counted until the window closes."""
+
+    def __init__(self, span: int):
+        self.span = span
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.count = handle.getValueState("count", "n bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        client, start = key
+        watermark = timerValues.getCurrentWatermarkInMs()
+        yield _COUNT("clock", None, None, None, watermark)
+        if not _closed(start, self.span, watermark):
+            before = self.count.get()[0] if self.count.exists() else 0
+            n = before + sum(row.n for row in rows)
+            self.count.update((n,))
+            self.handle.registerTimer((start + self.span) * 1000)
+            yield _COUNT("count", client, start, n, None)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.count.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def _identified(requests: DataFrame, lateness: str | None) -> DataFrame:
+    """`client_ip, second` of requests with a client, under a watermark over these where there is a horizon."""
+    rows = requests.select("ts", rl.client_ip("headers").alias("client_ip")).where(F.col("client_ip").isNotNull())
+    if lateness:
+        rows = rows.withWatermark("ts", lateness)
+    return rows.select("client_ip", F.unix_seconds("ts").alias("second"))
 
-    offsets = (
-        rl.slice_offsets(bucketed)
-        .join(carried("day"), ["client_ip", "day_bucket"], "left")
-        .join(carried("minute"), ["client_ip", "minute_bucket"], "left")
-        .withColumns(
-            {
-                "minute_before": F.col("minute_before") + F.coalesce("minute_carried", F.lit(0)),
-                "day_before": F.col("day_before") + F.coalesce("day_carried", F.lit(0)),
-            }
-        )
-    )
-    decided = rl.decide(rl.number_requests(bucketed, offsets), per_minute, per_day).select(
-        "request_id",
-        "ts",
-        "client_ip",
-        "minute_count",
-        "day_count",
-        "allowed",
-        "retry_after_seconds",
-        "enforced",
-        "late",
+
+def _beside(requests: DataFrame, said: DataFrame) -> DataFrame:
+    """The requests and what the operator says of the same micro-batch, in one stream."""
+    rows = requests.select(
+        F.lit("request").alias("kind"), rl.client_ip("headers").alias("client_ip"),
+        F.unix_seconds("ts").alias("second"), "request_id", "ts",
     )
-    decided.write.mode("overwrite").parquet(f"{folder}/decisions/batch={batch_id}")
+    return rows.unionByName(said, allowMissingColumns=True)
+
 
-    if lateness_seconds is not None:
-        decided.where("late").groupBy().agg(F.count("*").alias("late")).write.mode("overwrite").parquet(
-            f"{folder}/late/batch={batch_id}"
+def _start(stream: DataFrame, folder: str, step, trigger: dict) -> StreamingQuery:
+    def persisted(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()  # read by the clock and by each table written
+        try:
+            step(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    with _keyed_state(stream.sparkSession):
+        return (
+            stream.writeStream.outputMode("update")
+            .foreachBatch(persisted)
+            .option("checkpointLocation", f"{folder}/checkpoint")
+            .trigger(**(trigger or {"availableNow": True}))
+            .start()
         )
-    span = F.when(F.col("unit") == "minute", rl.MINUTE).otherwise(rl.DAY)
-    kept = (
-        counters.where("unit <> 'clock'")
-        .unionByName(_counters(bucketed.where(F.col("client_ip").isNotNull())))
-        .groupBy("client_ip", "unit", "bucket")
-        .agg(F.sum("n").alias("n"))
-    )
-    if lateness_seconds is not None:
-        kept = kept.where((F.col("bucket") + 1) * span > newest - lateness_seconds)
-    tick = spark.range(1).select(
-        F.lit("").alias("client_ip"), F.lit("clock").alias("unit"), F.lit(newest).cast("bigint").alias("bucket"),
-        F.lit(0).cast("bigint").alias("n"),
-    )
-    kept.unionByName(tick).write.mode("overwrite").parquet(f"{folder}/counters/{batch_id % 2}")
+
+
+def _requests_of(batch: DataFrame, span: int) -> DataFrame:
+    """The requests of a micro-batch; `late` are those whose window had closed before it."""
+    watermark = batch.where("kind = 'clock'").agg(F.max("watermark")).first()[0]
+    start = F.col("second") - F.col("second") % span
+    late = F.lit(False) if watermark is None else F.col("client_ip").isNotNull() & _closed(start, span, F.lit(watermark))
+    return batch.where("kind = 'request'").select("request_id", "ts", "client_ip", "second", late.alias("late"))
+
+
+def _empty(spark: SparkSession, path: str, schema) -> None:
+    """A table to read before the first micro-batch, or if none ever comes."""
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/batch=-1")
 
 
 def start_rate_limit(
@@ -121,51 +197,112 @@ def start_rate_limit(
     lateness_seconds: int | None = None,
     **trigger,
 ) -> StreamingQuery:
-    """Decide a stream of requests; decisions arrive in `folder`/decisions.
-
-    One client may send a third of the stream: rows are shuffled by client and
-    second, never by client alone, and only pre-aggregated counts are carried
-    from batch to batch.
+    """Limits a stream of requests; `read_decisions` reads what holds so far.
+
+    State is keyed by client and day and holds counts by second. Files may come in
+    any order and fall into any micro-batches: a request that comes after later ones
+    changes their numbers, and the operator says the changed ones again. So after
+    every micro-batch decisions are those of the batch job over the same requests.
+    A query started again on the same folder goes on where the last one stopped.
+
+    Without `lateness_seconds` all state stays. With it, a minute closes once the
+    watermark (the newest time seen, less that many seconds) has passed its end; a
+    request that comes later than that is let through unenforced and marked late
+    (`late_rows`), and a day's state goes when the day closes. A request without a
+    client is never late, as nothing is enforced for it.
     """
-    limits = rl.caps(per_minute, per_day)
+    spark, limits = requests.sparkSession, rl.caps(per_minute, per_day)
+    lateness = None if lateness_seconds is None else f"{lateness_seconds} seconds"
+    seconds = _identified(requests, lateness).select(
+        "client_ip", F.expr(f"second div {rl.DAY}").alias("day"), "second"
+    )
+    said = _folded(seconds).groupBy("client_ip", "day").transformWithState(
+        _DayCounts(lateness is not None),
+        "kind string, client_ip string, second bigint, minute_before bigint, day_before bigint, watermark bigint",
+        "Update",
+        "EventTime" if lateness else "None",
+    )
+    stream = _beside(requests, said)
+    kind = requests.schema["request_id"].dataType.simpleString()
+    _empty(spark, f"{folder}/requests", f"request_id {kind}, ts timestamp, client_ip string, second bigint, late boolean")
+    _empty(spark, f"{folder}/offsets", _OFFSETS.removesuffix(", batch bigint"))
+    spark.createDataFrame([limits], "per_minute int, per_day int").write.mode("overwrite").parquet(f"{folder}/caps")
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()  # read by the counts, the numbering and the clock
-        try:
-            limit_batch(batch.sparkSession, batch, batch_id, folder, *limits, lateness_seconds)
-        finally:
-            batch.unpersist()
+        _requests_of(batch, rl.MINUTE).write.mode("overwrite").parquet(f"{folder}/requests/batch={batch_id}")
+        offsets = batch.where("kind = 'offset'").select("client_ip", "second", "minute_before", "day_before")
+        offsets.write.mode("overwrite").parquet(f"{folder}/offsets/batch={batch_id}")
 
-    return (
-        requests.writeStream.foreachBatch(step)
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
+    return _start(stream, folder, step, trigger)
+
+
+def read_decisions(spark: SparkSession, folder: str) -> DataFrame:
+    """Every request with its decision, by the newest numbers of its second."""
+    per_minute, per_day = spark.read.parquet(f"{folder}/caps").first()
+    requests = spark.read.parquet(f"{folder}/requests").drop("batch")
+    counted = requests.withColumn("client_ip", F.when(~F.col("late"), F.col("client_ip")))
+    newest = F.max_by(F.struct("minute_before", "day_before"), "batch").alias("newest")
+    offsets = spark.read.schema(_OFFSETS).parquet(f"{folder}/offsets").groupBy("client_ip", "second").agg(newest)
+    numbered = rl.number_requests(counted, offsets.select("client_ip", "second", "newest.*"))
+    return rl.decide(numbered, per_minute, per_day).select(
+        "request_id",
+        "ts",
+        "client_ip",
+        "minute_count",
+        "day_count",
+        "allowed",
+        "retry_after_seconds",
+        "enforced",
+        "late",
     )
 
 
-def late_requests(spark: SparkSession, folder: str) -> int:
-    """How many requests came too late to be enforced; 0 for a stream without a horizon."""
-    try:
-        return spark.read.schema("late BIGINT").parquet(f"{folder}/late").agg(F.sum("late")).first()[0] or 0
-    except AnalysisException:
-        return 0
+def late_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests that came after their window had closed: counted nowhere, kept here, with the micro-batch they came in."""
+    return spark.read.parquet(f"{folder}/requests").where("late").drop("late")
 
 
-def read_decisions(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/decisions").drop("batch")
+def late_requests(spark: SparkSession, folder: str) -> int:
+    """How many requests came too late to be counted; 0 for a stream without a horizon."""
+    return late_rows(spark, folder).count()
 
 
-def windowed_counts(requests: DataFrame, unit: str = "1 minute", lateness: str | None = None) -> DataFrame:
-    """Requests per client and tumbling window.
+def start_bounded_counts(
+    requests: DataFrame, folder: str, unit_seconds: int = rl.MINUTE, lateness_seconds: int = rl.DAY, **trigger
+) -> StreamingQuery:
+    """Requests per client and window of a stream that never ends: state goes when its window closes.
 
-    Without `lateness`, as for a bounded replay, no row is dropped and state grows
-    with the windows. With it, state is bounded by the watermark, and rows behind
-    it are dropped; `dropped_rows` tells how many.
+    A window closes once the watermark (the newest time seen, less `lateness_seconds`)
+    has passed its end. Rows that come later are not dropped but split off, by
+    the watermark their micro-batch ran under: `read_counts` and `late_rows` together
+    hold every request with a client, once.
     """
+    spark = requests.sparkSession
+    start = F.col("second") - F.col("second") % unit_seconds
+    windows = _identified(requests, f"{lateness_seconds} seconds").select("client_ip", start.alias("window_start"))
+    said = _folded(windows).groupBy("client_ip", "window_start").transformWithState(
+        _WindowCounts(unit_seconds),
+        "kind string, client_ip string, window_start bigint, n bigint, watermark bigint",
+        "Update",
+        "EventTime",
+    )
+    stream = _beside(requests, said)
+    kind = requests.schema["request_id"].dataType.simpleString()
+    _empty(spark, f"{folder}/requests", f"request_id {kind}, ts timestamp, client_ip string, second bigint, late boolean")
+    _empty(spark, f"{folder}/counts", "client_ip string, window_start bigint, n bigint")
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        late = _requests_of(batch, unit_seconds).where("late")
+        late.write.mode("overwrite").parquet(f"{folder}/requests/batch={batch_id}")
+        counts = batch.where("kind = 'count'").select("client_ip", "window_start", "n")
+        counts.write.mode("overwrite").parquet(f"{folder}/counts/batch={batch_id}")
+
+    return _start(stream, folder, step, trigger)
+
+
+def windowed_counts(requests: DataFrame, unit: str = "1 minute") -> DataFrame:
+    """Requests per client and tumbling window of a bounded replay: no row is dropped, and state grows with the windows."""
     rows = requests.select("ts", rl.client_ip("headers").alias("client_ip")).where(F.col("client_ip").isNotNull())
-    if lateness:
-        rows = rows.withWatermark("ts", lateness)
     return (
         rows.groupBy(F.window("ts", unit), "client_ip")
         .agg(F.count("*").alias("n"))
@@ -173,12 +310,6 @@ def windowed_counts(requests: DataFrame, unit: str = "1 minute", lateness: str |
     )
 
 
-def dropped_rows(query: StreamingQuery) -> int:
-    """Rows (partial counts) the watermark dropped in the progress the query still knows."""
-    states = (s for p in query.recentProgress for s in p["stateOperators"])
-    return sum(s.get("numRowsDroppedByWatermark", 0) for s in states)
-
-
 def start_counts(counts: DataFrame, folder: str, **trigger) -> StreamingQuery:
     """Write every changed count; `read_counts` keeps the newest per client and window."""
 

@@ -192,6 +192,90 @@ def test_late_requests_are_let_through_and_marked(spark, tmp_path):
     assert limits.late_requests(spark, out) == 0
 
 
+def deliver(spark, rows, folder):
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").json(folder)
+    return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(folder)
+
+
+def test_stream_in_any_order_and_restarted_equals_batch(spark, tmp_path):
+    """One client sends a third of the log; files come shuffled, each a micro-batch, and the query is started three times."""
+    rows = log(seed=5, n=300)
+    random.Random(1).shuffle(rows)
+    source, out = str(tmp_path / "in"), run_folder(spark, "t")
+    for start in range(0, 300, 100):
+        deliver(spark, rows[start : start + 60], source)
+        stream = deliver(spark, rows[start + 60 : start + 100], source)
+        limits.start_rate_limit(stream, out, 3, 7).awaitTermination()
+        # What holds so far is what the batch job says of what has come so far.
+        assert decisions(limits.read_decisions(spark, out)) == by_hand(rows[: start + 100], 3, 7)
+    assert limits.late_requests(spark, out) == 0
+
+
+def test_an_earlier_half_that_comes_later_corrects_decisions(spark, tmp_path):
+    head = {"x-forwarded-for": "1.1.1.1"}
+    rows = [(i, START + dt.timedelta(milliseconds=900 * i), head) for i in range(28)]
+    source, out = str(tmp_path / "in"), run_folder(spark, "t")
+    deliver(spark, rows[14:], source)
+    limits.start_rate_limit(deliver(spark, rows[:14], source), out, 20, 200).awaitTermination()
+    blocked = sorted(r.request_id for r in limits.read_decisions(spark, out).where("NOT allowed").collect())
+    assert blocked == list(range(20, 28))
+
+
+def test_an_empty_stream(spark, tmp_path):
+    source, out = str(tmp_path / "in"), run_folder(spark, "t")
+    spark.createDataFrame([], SCHEMA).write.json(source)
+    stream = spark.readStream.schema(SCHEMA).json(source)
+    limits.start_rate_limit(stream, out, lateness_seconds=60).awaitTermination()
+    assert limits.read_decisions(spark, out).count() == limits.late_requests(spark, out) == 0
+    limits.start_bounded_counts(stream, f"{out}-counts").awaitTermination()
+    assert limits.read_counts(spark, f"{out}-counts").count() == limits.late_rows(spark, f"{out}-counts").count() == 0
+
+
+def test_counted_and_late_are_all_rows(spark, tmp_path):
+    """Files shuffled under a short horizon: each row is counted once or kept as late, by the watermark of its micro-batch."""
+    rows = log(seed=9, n=240)
+    random.Random(2).shuffle(rows)
+    source, out = str(tmp_path / "in"), run_folder(spark, "t")
+    expected, late, newest = Counter(), set(), 0
+    for start in range(0, 240, 60):
+        part = rows[start : start + 60]
+        for i, ts, head in part:
+            if "x-forwarded-for" in head:
+                window = int(ts.timestamp()) // 60 * 60
+                if (window + 60) * 1000 <= newest - 30_000:
+                    late.add(i)
+                else:
+                    expected[head["x-forwarded-for"], window] += 1
+        newest = max([newest, *(int(ts.timestamp() * 1000) for _, ts, head in part if "x-forwarded-for" in head)])
+        query = limits.start_bounded_counts(deliver(spark, part, source), out, lateness_seconds=30)
+        query.awaitTermination()
+    assert late and expected
+    assert {(r.client_ip, r.window_start): r.n for r in limits.read_counts(spark, out).collect()} == dict(expected)
+    assert {r.request_id for r in limits.late_rows(spark, out).collect()} == late
+    # Closed windows left the state.
+    open_windows = {w for w in expected if (w[1] + 60) * 1000 > newest - 30_000}
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2 * len(open_windows)
+
+
+def test_a_day_that_closed_leaves_the_state(spark, tmp_path):
+    head = {"x-forwarded-for": "1.1.1.1"}
+    source, out = str(tmp_path / "in"), run_folder(spark, "t")
+    deliver(spark, [(1, START, head), (2, START + dt.timedelta(days=3), head)], source)
+    stream = deliver(spark, [(3, START, head), (4, START + dt.timedelta(days=3, seconds=1), head), (5, START, {})], source)
+    query = limits.start_rate_limit(stream, out, 1, 1, lateness_seconds=600)
+    query.awaitTermination()
+    got = {r.request_id: (r.allowed, r.enforced, r.late) for r in limits.read_decisions(spark, out).collect()}
+    assert got == {1: (True, True, False), 2: (True, True, False), 3: (True, False, True), 4: (False, True, False), 5: (True, False, False)}
+    assert [(r.request_id, r.batch) for r in limits.late_rows(spark, out).collect()] == [(3, 1)]
+
+
+def test_only_counts_reach_the_state(spark):
+    """What is shuffled to the keyed state is folded to seconds before."""
+    rows = [(i, START, {"x-forwarded-for": "1.1.1.1"}) for i in range(1_000)]
+    folded = limits._folded(limits._identified(spark.createDataFrame(rows, SCHEMA).coalesce(1), None))
+    assert folded.count() <= 4 and folded.groupBy().sum("n").first()[0] == 1_000
+
+
 def test_streamed_counts(spark, tmp_path):
     rows = log(seed=3, n=300)
     source, out = str(tmp_path / "in"), run_folder(spark, "t")
