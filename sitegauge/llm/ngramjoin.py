@@ -20,6 +20,8 @@ SHOWN = 4
 BUCKETS, CHUNK = 1 << 22, 4_096
 # Members up to which a list gives its pairs; members and shingles of a longer list that are one side of a block.
 SMALL, BLOCK, BLOCK_SHINGLES = 64, 1_024, 1 << 20
+# Characters of text a task takes at once: a dozen arrays of this many words and shingles are alive together.
+TEXT_SLICE = 1_000_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -65,12 +67,12 @@ def commonness(docs: DataFrame) -> np.ndarray:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(BUCKETS, np.int64)
+        counters = np.zeros(BUCKETS, np.uint32)
         for batch in batches:
-            for part in sliced([batch], "text"):
+            for part in sliced([batch], "text", TEXT_SLICE):
                 _, value = shingle_sets(part.column("text"))
                 bucket, times = np.unique((value & np.uint64(BUCKETS - 1)).astype(np.int64), return_counts=True)
-                counters[bucket] += times
+                counters[bucket] += times.astype(np.uint32)
         full = np.flatnonzero(counters.reshape(-1, CHUNK).any(axis=1))
         for start in range(0, len(full), 64):
             some = full[start : start + 64]
@@ -117,7 +119,7 @@ def short_lists(docs: DataFrame, classes: np.ndarray) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", TEXT_SLICE):
             rows, value = shingle_sets(batch.column("text"))
             size = np.bincount(rows, minlength=batch.num_rows)
             sid = identities(rows, value, batch.num_rows)
@@ -140,7 +142,7 @@ def whole_sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame
     """`rid, n, shingles` of the wanted sets: all their shingles, ascending, eight bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", TEXT_SLICE):
             rows, value = shingle_sets(batch.column("text"))
             size = np.bincount(rows, minlength=batch.num_rows)
             sid = identities(rows, value, batch.num_rows)
