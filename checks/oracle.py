@@ -359,6 +359,15 @@ ORACLES |= {
         g AS (SELECT page_id, CASE WHEN safe THEN score ELSE 0 END AS score, safe FROM scores JOIN safe USING (page_id))
         SELECT page_id, score, CASE WHEN safe THEN {GRADE} ELSE '—' END AS grade,
           CASE WHEN safe THEN '' ELSE 'Only public web pages can be scored; give a public URL.' END AS notes FROM g""",
+    "audit_guarded_hops": f"""WITH {LONG},
+        typed AS (SELECT page_id, {d.GUARDED_URL} AS typed, {d.FINAL_URL} AS final_url,
+          regexp_replace(lower(regexp_extract({d.FINAL_URL}, '^[a-z]+://([^/]*)', 1)), ':[0-9]+$', '') AS host FROM pages),
+        hosts AS (SELECT regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS host, min(page_id) AS host_no FROM pages GROUP BY 1),
+        safe AS (SELECT t.page_id, page_id % 17 NOT IN (3, 6, 11) AND page_id % 6 NOT IN (1, 5) AND coalesce(h.host_no % 4 <> 1, false) AND coalesce(o.host_no % 4 <> 1, false) AS safe
+          FROM typed t LEFT JOIN hosts h ON h.host = t.host LEFT JOIN hosts o ON o.host = regexp_extract(t.typed, '^[a-z]+://([^/]*)', 1)),
+        g AS (SELECT page_id, CASE WHEN safe THEN score ELSE 0 END AS score, safe FROM scores JOIN safe USING (page_id))
+        SELECT page_id, score, CASE WHEN safe THEN {GRADE} ELSE '—' END AS grade,
+          CASE WHEN safe THEN '' ELSE 'Only public web pages can be scored; give a public URL.' END AS notes FROM g""",
     "robots_block_counts": f"""WITH {SITES} SELECT bot, count(*) AS n_sites, CAST(sum(n_pages) AS BIGINT) AS n_pages
         FROM (SELECT unnest(blocked) AS bot, n_pages FROM verdicts WHERE n_pages IS NOT NULL) GROUP BY bot""",
     # scores and reports
@@ -488,6 +497,20 @@ ORACLES |= {
     "host_denied": f"""WITH {HOSTS} SELECT frontier_id, coalesce(host IN ('localhost', 'metadata')
         OR regexp_matches(host, '\\.(internal|local|localhost|intranet|corp|home|lan)$'), false) AS denied FROM hosts""",
     "ip_blocked": f"SELECT event_id, {d.quad(d.ADDRESS)} AS ip, {blocked_number(f'({d.ADDRESS})')} AS blocked FROM events",
+    "ip_blocked_by_table": f"""WITH named AS (SELECT {d.NETWORK_ADDRESS} AS n, {d.NETWORK_BITS} AS bits FROM events WHERE event_id % 10 = 0),
+        nets AS (SELECT DISTINCT n - n % (1::BIGINT << (32 - bits)) AS low, n - n % (1::BIGINT << (32 - bits)) + (1::BIGINT << (32 - bits)) - 1 AS high FROM named),
+        a AS (SELECT event_id, {d.quad(d.ADDRESS)} AS ip, {d.ADDRESS} AS n FROM events)
+        SELECT event_id, ip, {blocked_number("n")} OR EXISTS (SELECT 1 FROM nets WHERE n BETWEEN low AND high) AS blocked FROM a""",
+    "redirect_chains": f"""WITH RECURSIVE {HOSTS}, edges AS (SELECT e.event_id, {d.REDIRECT_FROM.replace("event_id", "e.event_id")} AS f, {d.REDIRECT_TO.replace("event_id", "e.event_id").replace("user_id", "e.user_id")} AS t,
+          coalesce(x.host_safe, false) AS f_safe, CASE e.event_id % 10 WHEN 7 THEN j.safe WHEN 6 THEN coalesce(x.host_safe, false)
+            WHEN 9 THEN coalesce(w.host_safe, false) ELSE coalesce(y.host_safe, false) END AS t_safe
+          FROM events e JOIN judged j ON j.frontier_id = e.event_id LEFT JOIN dns_hosts x ON x.host = concat('h', e.event_id % 97, '.example.net')
+          LEFT JOIN dns_hosts y ON y.host = concat('h', (e.event_id + 1) % 97, '.example.net') LEFT JOIN dns_hosts w ON w.host = concat('h', (e.event_id - 1) % 97, '.example.net')),
+        walk AS (SELECT f AS start, t AS place, 1 AS n, CASE WHEN NOT f_safe THEN 0 WHEN NOT t_safe THEN 1 END AS unsafe_at FROM edges
+          UNION ALL SELECT start, t, n + 1, coalesce(unsafe_at, CASE WHEN NOT t_safe THEN n + 1 END) FROM walk JOIN edges ON f = place WHERE n < 14),
+        far AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY start ORDER BY n DESC) = 1)
+        SELECT start AS url, CASE WHEN n < 14 THEN place END AS final_url, CASE WHEN n < 14 THEN n END AS n_hops, n = 14 AS loops,
+          n < 14 AND unsafe_at IS NULL AS safe, unsafe_at AS first_unsafe_hop FROM far""",
     "host_ips": f"""WITH {HOSTS} SELECT frontier_id, host, literal, CASE WHEN literal THEN 1 ELSE coalesce(answers, 0) END AS n_ips,
         CASE WHEN literal THEN host ELSE lowest END AS lowest_ip
         FROM (SELECT *, regexp_matches(host, '^[0-9.]+$') OR contains(host, ':') AS literal FROM judged) WHERE scheme IN ('http', 'https') AND host IS NOT NULL""",

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitegauge.functions.ip import BLOCKED_NETWORKS, in_networks, ip_bytes
-from sitegauge.functions.text import let, strip
+from sitegauge.functions.ip import BLOCKED_NETWORKS, ip_bytes
+from sitegauge.functions.text import strip
 from sitegauge.functions.urls import authority_malformed, hostname, netloc, scheme
 from sitegauge.operators.joins import left_join_lookup
+from sitegauge.operators.networks import flag_networks
 
 # --- fixed values: names that never leave the local network ---------------------
 DENIED_HOSTS = (
@@ -22,6 +23,9 @@ DENIED_HOSTS = (
 )
 DENIED_SUFFIXES = (".internal", ".local", ".localhost", ".intranet", ".corp", ".home", ".lan")
 
+# Networks as constants, or as a table (`cidr`).
+Networks = tuple[str, ...] | DataFrame
+
 # One answer for every refusal: it must not tell which rule matched.
 REFUSAL = "Only public web pages can be scored; give a public URL."
 
@@ -52,9 +56,10 @@ def url_parts(frontier: DataFrame) -> DataFrame:
     )
 
 
-def local_verdicts(frontier: DataFrame, networks: tuple[str, ...] = BLOCKED_NETWORKS) -> DataFrame:
+def local_verdicts(frontier: DataFrame, networks: Networks = BLOCKED_NETWORKS) -> DataFrame:
     """Everything a URL itself tells: `decided` is NULL where only DNS can say."""
     parts = url_parts(frontier).withColumn("address", ip_bytes(F.col("host")))
+    parts = flag_networks(parts, "address", networks, "address_blocked")
     refused = (
         ~F.col("scheme").isin("http", "https")
         | F.col("host").isNull()
@@ -63,23 +68,21 @@ def local_verdicts(frontier: DataFrame, networks: tuple[str, ...] = BLOCKED_NETW
     )
     decided = (
         F.when(F.coalesce(refused, F.lit(True)), False)
-        .when(F.col("address").isNotNull(), ~in_networks(F.col("address"), networks))
+        .when(F.col("address").isNotNull(), ~F.col("address_blocked"))
     )
-    return parts.withColumn("decided", decided)
+    return parts.withColumn("decided", decided).drop("address_blocked")
 
 
-def host_verdicts(dns: DataFrame, networks: tuple[str, ...] = BLOCKED_NETWORKS) -> DataFrame:
+def host_verdicts(dns: DataFrame, networks: Networks = BLOCKED_NETWORKS) -> DataFrame:
     """A host is safe when every one of its answers is a public address."""
-    address = ip_bytes(F.col("ip"))
-    bad = let(address, lambda a: F.coalesce(in_networks(a, networks), F.lit(True)))
-    return dns.groupBy(normal_host(F.col("host")).alias("host")).agg(
-        F.count("*").alias("answers"), (~F.bool_or(bad)).alias("host_safe")
+    answers = dns.select(normal_host(F.col("host")).alias("host"), ip_bytes(F.col("ip")).alias("address"))
+    judged = flag_networks(answers, "address", networks, "blocked")
+    return judged.groupBy("host").agg(
+        F.count("*").alias("answers"), (~F.bool_or(F.coalesce("blocked", F.lit(True)))).alias("host_safe")
     )
 
 
-def url_verdicts(
-    frontier: DataFrame, dns: DataFrame, row_id: str, networks: tuple[str, ...] = BLOCKED_NETWORKS
-) -> DataFrame:
+def url_verdicts(frontier: DataFrame, dns: DataFrame, row_id: str, networks: Networks = BLOCKED_NETWORKS) -> DataFrame:
     """`frontier` plus `safe` and `reason`. Only undecided hosts meet the DNS table."""
     local = local_verdicts(frontier, networks).withColumn(
         "dns_host", F.when(F.col("decided").isNull(), F.col("host"))

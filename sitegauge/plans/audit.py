@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 
 from sitegauge.functions import jsonld
 from sitegauge.functions.dom import parse_html
+from sitegauge.functions.ip import BLOCKED_NETWORKS
 from sitegauge.functions.text import SPACE, WORD_END, any_word_of, built_once, let, word_count, words_from
 from sitegauge.functions.urls import authority, authority_malformed, netloc, origin, scheme
 from sitegauge.operators import authors, elements as el, scoring
-from sitegauge.operators.joins import left_join_lookup
+from sitegauge.operators.joins import is_small, left_join_lookup, stored_lookup
+from sitegauge.operators.redirects import redirect_chains
 from sitegauge.operators.signals import REGISTRY, all_signals
-from sitegauge.operators.safety import REFUSAL, url_verdicts
+from sitegauge.operators.safety import REFUSAL, Networks, host_verdicts, local_verdicts
 from sitegauge.operators.sitefiles import NO_EVIDENCE, site_verdicts
 from sitegauge.schema import BUCKET_CAPS, SIGNAL
 from sitegauge.sources.pages import fetch_note, header, page_source
@@ -291,19 +293,62 @@ def audit_facts(facts: DataFrame, fetched_at: str | None = None) -> DataFrame:
     )
 
 
-def refuse_unsafe(facts: DataFrame, pages: DataFrame, dns: DataFrame) -> DataFrame:
-    """Facts in which a page with an unsafe address, typed or final, is refused like a failed fetch.
+class Guard:
+    """Which pages may be scored: those whose typed and final address, and every hop between, are public.
 
-    Addresses are judged from their two columns alone; the verdict meets the facts
-    after all page text is gone.
+    What an address itself tells is judged in the page's row. Hosts only DNS can judge,
+    and redirect chains, are looked up in verdict tables that are computed once: in front of the
+    parser while they are small enough to travel with the tasks, else on the
+    facts, when all page text is gone. So a refused page is not parsed, and no page is shuffled.
     """
-    hops = page_source(pages).select("page_id", F.explode(F.array("url", "final_url")).alias("url"))
-    safe = url_verdicts(hops, dns, "page_id").groupBy("page_id").agg(F.bool_and("safe").alias("_safe"))
-    judged = facts.join(safe, "page_id", "left")
-    kept = F.coalesce(F.col("_safe"), F.lit(False))
-    return judged.withColumn("fetch_note", F.when(kept, F.col("fetch_note")).otherwise(REFUSAL)).withColumn(
-        "page_title", F.when(kept, F.col("page_title"))
-    ).drop("_safe")
+
+    def __init__(self, dns: DataFrame, networks: Networks = BLOCKED_NETWORKS, redirects: DataFrame | None = None):
+        self.networks = networks
+        self.hosts = stored_lookup(host_verdicts(dns, networks).select(F.col("host").alias("guard_host"), "host_safe"))
+        self.chains = None
+        if redirects is not None:
+            chains = redirect_chains(redirects, dns, networks).select(F.col("url").alias("guard_url"), F.col("safe").alias("chain_safe"))
+            self.chains = stored_lookup(chains)
+        self.hosts_small = is_small(self.hosts, "guard_host")
+        self.chains_small = self.chains is None or is_small(self.chains, "guard_url")
+
+    def _judged(self, rows: DataFrame, hosts: bool, chains: bool) -> tuple[DataFrame, Column]:
+        """`rows`, and whether each is refused by its addresses and by the tables asked."""
+        columns, given = rows.columns, rows
+        refused = F.lit(False)
+        for name in ("url", "final_url"):
+            verdict = f"guard_{name}_safe"
+            own = local_verdicts(given.withColumn("guard_typed", F.col("url")).withColumn("url", F.col(name)), self.networks)
+            own = own.withColumn("url", F.col("guard_typed"))
+            undecided = F.when(F.col("decided").isNull(), F.col("host"))
+            if hosts:
+                keyed = own.withColumn("guard_host", undecided)
+                own = left_join_lookup(keyed, self.hosts, "guard_host", "page_id", is_stored=True)
+                safe = F.coalesce("decided", "host_safe", F.lit(False))
+            else:
+                safe = F.coalesce("decided", F.lit(True))
+            given = own.select(*given.columns, safe.alias(verdict))
+            refused = refused | ~F.col(verdict)
+        if chains and self.chains is not None:
+            given = left_join_lookup(given.withColumn("guard_url", F.col("url")), self.chains, "guard_url", "page_id", is_stored=True)
+            refused = refused | ~F.coalesce("chain_safe", F.lit(True))
+        return given.select(*columns, refused.alias("guard_refused")), F.col("guard_refused")
+
+    def pages(self, pages: DataFrame) -> DataFrame:
+        """Pages in which a refused one is a failed fetch without html."""
+        judged, refused = self._judged(page_source(pages), self.hosts_small, self.chains_small)
+        return judged.withColumns(
+            {"html": F.when(~refused, F.col("html")), "fetch_error": F.when(refused, F.lit(REFUSAL)).otherwise(F.col("fetch_error"))}
+        ).drop("guard_refused")
+
+    def facts(self, facts: DataFrame) -> DataFrame:
+        """Facts, judged by the tables that were too large to be asked before."""
+        if self.hosts_small and self.chains_small:
+            return facts
+        judged, refused = self._judged(facts, not self.hosts_small, not self.chains_small)
+        return judged.withColumns(
+            {"fetch_note": F.when(refused, F.lit(REFUSAL)).otherwise(F.col("fetch_note")), "page_title": F.when(~refused, F.col("page_title"))}
+        ).drop("guard_refused")
 
 
 def audit_pages(
@@ -311,6 +356,8 @@ def audit_pages(
     site_files: DataFrame | None = None,
     *,
     dns: DataFrame | None = None,
+    networks: Networks = BLOCKED_NETWORKS,
+    redirects: DataFrame | None = None,
     fetched_at: str | None = None,
     claim_years: tuple[int, int] = CLAIM_YEARS,
     title_years: tuple[int, int] = TITLE_YEARS,
@@ -318,10 +365,13 @@ def audit_pages(
     """Audit a crawl table: one report row per page.
 
     With `dns` (`host, ip`) a page whose typed or final address is not safely public
-    is refused, not scored. `fetched_at` defaults to the time of this call, in UTC.
+    is refused, not scored; with `redirects` (`from_url, to_url`) also one whose chain of
+    redirects has an unsafe address anywhere or never ends. `networks` are those that
+    are not public, constants or a table (`cidr`). `fetched_at` defaults to the time of
+    this call, in UTC.
     """
-    facts = page_facts(pages, site_files, claim_years, title_years)
-    if dns is not None:
-        facts = refuse_unsafe(facts, pages, dns)
+    guard = Guard(dns, networks, redirects) if dns is not None else None
+    facts = page_facts(guard.pages(pages) if guard else pages, site_files, claim_years, title_years)
+    facts = guard.facts(facts) if guard else facts
     now = datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     return audit_facts(facts, fetched_at or now)

@@ -11,8 +11,9 @@ from sitegauge.functions import jsonld
 from sitegauge.functions.ip import in_networks, ip_bytes
 from sitegauge.functions.text import word_count
 from sitegauge.functions.urls import hostname, netloc, normalize_url, origin
-from sitegauge.operators import authors, elements as el, ratelimit as rl, safety, sitefiles
+from sitegauge.operators import authors, elements as el, ratelimit as rl, redirects, safety, sitefiles
 from sitegauge.operators.joins import left_join_lookup
+from sitegauge.operators.networks import flag_networks
 from sitegauge.plans import audit as plan, reports
 from sitegauge.schema import BUCKET_CAPS
 from sitegauge.sources import derived
@@ -91,6 +92,17 @@ def audit_guarded(spark, folder):
     return audited.select("page_id", "score", "grade", F.array_join("notes", " ").alias("notes"))
 
 
+@query
+def audit_guarded_hops(spark, folder):
+    """Audit of a crawl in which some pages were reached over redirects that are not public, or that never end."""
+    raw = table(spark, folder, "pages", "page_id")
+    pages = derived.decorated_pages(raw).withColumn("url", F.expr(derived.HOP_URL))
+    audited = plan.audit_pages(
+        pages, derived.site_files(raw), dns=derived.site_dns(raw), redirects=derived.page_redirects(raw), fetched_at=FETCHED_AT
+    )
+    return audited.select("page_id", "score", "grade", F.array_join("notes", " ").alias("notes"))
+
+
 # --- sources and labels -----------------------------------------------------------
 
 
@@ -466,6 +478,20 @@ def ip_blocked(spark, folder):
     )
 
 
+@query
+def ip_blocked_by_table(spark, folder):
+    """Addresses against networks that come as a table: the constant ones and some thousand others that overlap."""
+    rows = events(spark, folder).select("event_id", F.expr(derived.quad(derived.ADDRESS)).alias("ip"))
+    judged = flag_networks(rows.withColumn("address", ip_bytes(F.col("ip"))), "address", derived.networks(events(spark, folder)), "blocked")
+    return judged.drop("address")
+
+
+@query
+def redirect_chains(spark, folder):
+    """Chains followed from single redirects, and whether they stay public."""
+    return redirects.redirect_chains(derived.redirects(events(spark, folder)), dns(spark, folder))
+
+
 @query
 def host_ips(spark, folder):
     """Addresses to judge per URL: a literal host is its own only address, else its DNS answers.

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitegauge.functions.ip import BLOCKED_NETWORKS
 from sitegauge.sources.pages import as_instant
 
 # --- pages ------------------------------------------------------------------------
@@ -89,6 +90,9 @@ FINAL_URL = f"""CASE page_id % 13 WHEN 5 THEN {_SCHEME_PART} || upper({_HOST_PAR
 # Typed addresses of a crawl that needs a guard, and the answers of the sites' name servers.
 GUARDED_URL = f"""CASE page_id % 17 WHEN 3 THEN 'http://10.1.2.' || CAST(page_id % 250 AS INT) || '/' WHEN 6 THEN 'ftp://files.example/x'
     WHEN 11 THEN {_SCHEME_PART} || 'printer.lan/' ELSE url END"""
+# The same, each typed in its own way, and where they redirect: over a private address, over the site itself, or in a circle.
+HOP_URL = f"({GUARDED_URL}) || '?p=' || CAST(page_id AS VARCHAR(20))"
+MIDDLE_URL = f"""CASE page_id % 6 WHEN 1 THEN 'http://10.0.0.7/in/' ELSE {_SCHEME_PART} || {_HOST_PART} || '/login/' END || CAST(page_id AS VARCHAR(20))"""
 HOST_IP = "CASE WHEN host_no % 4 = 1 THEN '192.168.7.' || CAST(host_no % 250 AS INT) ELSE '198.41.0.' || CAST(host_no % 250 AS INT) END"
 LAST_MODIFIED = "CASE WHEN page_id % 3 = 1 THEN 'Tue, 04 Mar 2025 10:00:00 GMT' END"
 # Fetch status of the crawl: one page in three failed in one way or another.
@@ -255,6 +259,16 @@ def frontier(events: DataFrame) -> DataFrame:
     return events.select(F.col("event_id").alias("frontier_id"), F.expr(FRONTIER_URL).alias("url"))
 
 
+def page_redirects(pages: DataFrame) -> DataFrame:
+    """One page in two redirects twice on its way from the typed address."""
+    rows = pages.where("page_id % 2 = 1").select(
+        F.expr(HOP_URL).alias("typed"), F.expr(MIDDLE_URL).alias("middle"),
+        F.expr(f"CASE page_id % 6 WHEN 5 THEN {HOP_URL} ELSE {FINAL_URL} END").alias("last"),
+    )
+    return rows.select("typed", "middle", F.explode(F.array(F.struct(F.col("typed").alias("from_url"), F.col("middle").alias("to_url")),
+        F.struct(F.col("middle").alias("from_url"), F.col("last").alias("to_url")))).alias("e")).select("e.*")
+
+
 def site_dns(pages: DataFrame) -> DataFrame:
     """One answer per host of the pages."""
     hosts = pages.groupBy(F.expr(_HOST_PART).alias("host")).agg(F.min("page_id").alias("host_no"))
@@ -269,6 +283,34 @@ def dns(events: DataFrame) -> DataFrame:
     return answers.select(F.expr(_HOST).alias("host"), F.expr(DNS_IP).alias("ip"))
 
 
+# Single redirects: chains of up to seven, some that end at any address of the frontier, and circles of two.
+def _stop(number: str) -> str:
+    return f"'https://h' || CAST(({number}) % 97 AS INT) || '.example.net/r/' || CAST({number} AS VARCHAR(20))"
+
+
+REDIRECT_FROM = _stop("event_id")
+REDIRECT_TO = f"""CASE WHEN event_id % 10 = 6 THEN 'https://h' || CAST(event_id % 97 AS INT) || '.example.net/end'
+    WHEN event_id % 10 = 7 THEN {FRONTIER_URL} WHEN event_id % 10 = 9 THEN {_stop("event_id - 1")} ELSE {_stop("event_id + 1")} END"""
+
+
+def redirects(events: DataFrame) -> DataFrame:
+    return events.select(F.expr(REDIRECT_FROM).alias("from_url"), F.expr(REDIRECT_TO).alias("to_url"))
+
+
+# Networks beside the constant ones: one in ten events names one, many inside others.
+NETWORK_ADDRESS = "event_id % 1000003 * 40503 * 65537 % 4294967296"
+NETWORK_BITS = "CAST(9 + event_id % 24 AS INT)"
+
+
+def networks(events: DataFrame) -> DataFrame:
+    """Networks that are not public, as a table: the constant ones and those the events name."""
+    named = events.where("event_id % 10 = 0").select(
+        F.expr(f"{quad(NETWORK_ADDRESS)} || '/' || CAST({NETWORK_BITS} AS VARCHAR(2))").alias("cidr")
+    )
+    constant = events.sparkSession.createDataFrame([(n,) for n in BLOCKED_NETWORKS], "cidr string")
+    return named.unionByName(constant)
+
+
 # Redirect chains: five events in a row form one fetch.
 FETCH_ID = "CAST((event_id - event_id % 5) / 5 AS BIGINT)"
 HOP_NO = "CAST(event_id % 5 AS INT)"

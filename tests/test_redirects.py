@@ -1,0 +1,97 @@
+"""Redirect chains followed from single redirects, and the audit that asks for them."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+
+from sitegauge.operators import joins
+from sitegauge.operators.redirects import redirect_chains
+from sitegauge.plans import audit as plan
+from sitegauge.operators.safety import REFUSAL
+
+EDGES = "from_url string, to_url string"
+OPEN, SHUT = "https://open.test", "https://shut.test"
+
+
+@pytest.fixture(scope="module")
+def dns(spark):
+    return spark.createDataFrame([("open.test", "198.41.0.4"), ("shut.test", "10.0.0.9"), ("other.test", "199.7.83.42")], "host string, ip string")
+
+
+def chains(spark, dns, edges):
+    rows = redirect_chains(spark.createDataFrame(edges, EDGES), dns).collect()
+    return {r.url: (r.final_url, r.n_hops, r.loops, r.safe, r.first_unsafe_hop) for r in rows}
+
+
+def by_hand(edges):
+    """Walk every chain step by step."""
+    follow, all_targets = {}, {}
+    for a, b in edges:
+        if a is not None and b is not None:
+            all_targets.setdefault(a, set()).add(b)
+    follow = {a: min(b) for a, b in all_targets.items()}
+    safe = lambda url: url.startswith((OPEN, "https://other.test"))
+    out = {}
+    for start in follow:
+        at, n, unsafe, seen = start, 0, None, set()
+        while True:
+            here = 0 if not safe(at) else (1 if at in follow and not all(map(safe, all_targets[at])) else None)
+            if here is not None:
+                unsafe = n + here if unsafe is None else min(unsafe, n + here)
+            if at not in follow or at in seen:
+                break
+            seen.add(at)
+            at, n = follow[at], n + 1
+        loops = at in follow
+        out[start] = (None if loops else at, None if loops else n, loops, not loops and unsafe is None, unsafe)
+    return out
+
+
+def test_chains(spark, dns):
+    edges = [
+        (f"{OPEN}/a", f"{OPEN}/b"), (f"{OPEN}/b", f"{SHUT}/c"), (f"{SHUT}/c", f"{OPEN}/d"),  # an unsafe middle
+        (f"{OPEN}/l1", f"{OPEN}/l2"), (f"{OPEN}/l2", f"{OPEN}/l3"), (f"{OPEN}/l3", f"{OPEN}/l2"),  # into a circle
+        (f"{OPEN}/self", f"{OPEN}/self"), (f"{OPEN}/e", "https://other.test/end"), (f"{OPEN}/e", "https://other.test/end"),
+        (f"{OPEN}/two", f"{OPEN}/e"), (f"{OPEN}/two", f"{SHUT}/x"),  # either may be followed
+        (f"{SHUT}/s", f"{OPEN}/z"), (f"{OPEN}/f", "ftp://open.test/x"), (None, OPEN), (OPEN, None),
+    ]
+    assert chains(spark, dns, edges) == by_hand(edges)
+    assert chains(spark, dns, []) == {}
+
+
+def test_long_chains_and_many_that_join(spark, dns):
+    rnd = random.Random(4)
+    line = [f"{OPEN}/n{i}" for i in range(1_001)]
+    edges = list(zip(line, line[1:]))
+    edges += [(f"{OPEN}/in{i}", line[rnd.randrange(1_000)]) for i in range(50)]
+    ring = [f"{OPEN}/r{i}" for i in range(37)]
+    edges += list(zip(ring, ring[1:] + ring[:1])) + [(f"{OPEN}/to{i}", ring[i]) for i in range(5)]
+    assert chains(spark, dns, edges) == by_hand(edges)
+
+
+@pytest.mark.parametrize("rows", [joins.BROADCAST_ROWS, 0])
+def test_the_audit_refuses_what_the_way_leads_over(spark, dns, rows, monkeypatch):
+    """With small verdict tables before the parser, with large ones on the facts: the same pages are refused."""
+    monkeypatch.setattr(plan, "is_small", lambda df, key: joins.is_small(df, key, rows))
+    html = "<title>t</title><p>words of a page that can be read</p>"
+    typed = {
+        1: (f"{OPEN}/1", f"{OPEN}/1"), 2: (f"{OPEN}/2", f"{OPEN}/end"), 3: (f"{OPEN}/3", f"{OPEN}/end"), 4: ("http://10.0.0.1/", "http://10.0.0.1/"),
+        5: (f"{OPEN}/5", f"{SHUT}/"), 6: ("https://unknown.test/", "https://unknown.test/"), 7: (f"{SHUT}/", f"{OPEN}/"), 8: ("https://other.test/", f"{OPEN}/"),
+    }
+    edges = [(f"{OPEN}/2", f"{OPEN}/m"), (f"{OPEN}/m", f"{OPEN}/end"), (f"{OPEN}/3", f"{SHUT}/m"), (f"{SHUT}/m", f"{OPEN}/end")]
+    pages = spark.createDataFrame([(i, u, f, html) for i, (u, f) in typed.items()], "page_id bigint, url string, final_url string, html string")
+    audited = plan.audit_pages(pages, dns=dns, redirects=spark.createDataFrame(edges, EDGES), fetched_at="now")
+    got = {r.page_id: (r.score > 0, r.notes, r.page_title) for r in audited.collect()}
+    fine = {1, 2, 8}
+    assert got == {i: (i in fine, [] if i in fine else [REFUSAL], "t" if i in fine else None) for i in typed}
+
+
+def test_small_tables_move_no_page_and_refused_html_is_not_parsed(spark, dns):
+    pages = spark.createDataFrame([(1, f"{OPEN}/1", "<p>x")], "page_id bigint, url string, html string")
+    guarded = plan.Guard(dns).pages(pages)
+    text = plan.audit_pages(pages, dns=dns, fetched_at="now")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in text and "BroadcastExchange" in text
+    assert guarded.where("html IS NULL").count() == 0
+    assert plan.Guard(dns).pages(pages.selectExpr("page_id", "'http://127.0.0.1/' AS url", "html")).first()["html"] is None
