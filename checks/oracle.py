@@ -166,7 +166,7 @@ verdicts AS (
       WHEN llms_type IS NOT NULL AND lower(llms_type) NOT LIKE 'text/%' THEN 'bad_type'
       WHEN probe_status IS NULL OR probe_type IS NULL OR (probe_status // 100 = 2 AND probe_body IS NULL) THEN 'unverified'
       WHEN probe_status IN (404, 410) THEN 'pass_absence'
-      WHEN probe_status // 100 = 3 THEN CASE WHEN llms_hops > 0 THEN 'redirect_ambiguous' ELSE 'pass_direct' END
+      WHEN probe_status // 100 = 3 THEN CASE WHEN llms_hops IS NULL THEN 'unverified' WHEN llms_hops > 0 THEN 'redirect_ambiguous' ELSE 'pass_direct' END
       WHEN probe_status >= 400 THEN 'waf'
       WHEN probe_status // 100 = 2 THEN CASE WHEN probe_type LIKE '%text/html%' OR {sniff('probe_body')} THEN 'pass_html_shell' ELSE 'catch_all' END
       ELSE 'unexpected' END AS verdict,
@@ -176,6 +176,19 @@ verdicts AS (
   FROM present)
 """
 
+# The same after a second crawl: a file it got no answer for stays the first one's.
+_KEPT = ", ".join(
+    f"CASE WHEN b.{k}_status IS NULL THEN a.{k}_{c} ELSE b.{k}_{c} END AS {k}_{c}" for k in d.SITE_FILE_KINDS for c in ("status", "type", "body", "hops")
+)
+_LATER = SITES.replace(
+    "site_rows AS (SELECT *,", "first_rows AS (SELECT *,"
+).replace(
+    "present AS (SELECT * FROM site_rows", f"""next_sites AS (SELECT origin, site_no + 1 AS site_no FROM sites),
+next_rows AS (SELECT *, {', '.join(site_file(k) for k in d.SITE_FILE_KINDS)} FROM next_sites),
+site_rows AS (SELECT a.origin, a.n_pages, {_KEPT} FROM first_rows a JOIN next_rows b USING (origin)),
+present AS (SELECT * FROM site_rows"""
+)
+
 HTTP_LINKS = (
     "list_transform(list_filter(hrefs, lambda h: starts_with(h, 'http')),"
     " lambda h: lower(regexp_extract(h, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)))"
@@ -303,7 +316,7 @@ ORACLES |= {
     # HTML extraction
     "attribute_match": f"""WITH {BASE} SELECT page_id, {count('<link rel="canonical"')} AS n_canonical, {count('<meta name="viewport"')} AS n_viewport,
         {count('<meta property="og:')} AS n_open_graph, {count('role="heading" aria-level="2"')} AS n_role_h2 FROM c""",
-    "plausible_name": f"SELECT doc_id, {plausible('left(text, 24)')} AS plausible FROM documents",
+    "plausible_name": f"SELECT doc_id, {plausible('text')} AS plausible FROM documents",
     "page_elements": r"""SELECT page_id, CAST(i - 1 AS INT) AS element_no, regexp_extract(t, '^<([a-z0-9]+)', 1) AS tag,
         CASE WHEN t LIKE '% href=%' THEN replace(regexp_extract(t, ' href="([^"]*)"', 1), '&amp;', '&') END AS href,
         CASE WHEN t LIKE '% class=%' THEN regexp_extract(t, ' class="([^"]*)"', 1) END AS class
@@ -346,6 +359,12 @@ ORACLES |= {
     "author_source": f"WITH {FACTS} SELECT page_id, author AS source FROM f",
     # site files
     "llms_verdict": f"WITH {SITES} SELECT origin, verdict FROM verdicts",
+    "site_file_asof": f"""WITH page_rows AS (SELECT page_id, {d.CRAWLED_AT} AS crawled, {ORIGIN_OF.format('(' + d.FINAL_URL + ')')} AS origin FROM pages),
+        one AS (WITH {SITES} SELECT origin, verdict, robots_status = 200 AS found, array_to_string(blocked, ', ') AS blocked FROM verdicts),
+        two AS (WITH {_LATER} SELECT origin, verdict, robots_status = 200 AS found, array_to_string(blocked, ', ') AS blocked FROM verdicts),
+        held AS (SELECT page_id, verdict, found, blocked FROM page_rows JOIN one USING (origin) WHERE crawled >= '2025-01-10' AND crawled < '2025-02-10'
+          UNION ALL SELECT page_id, verdict, found, blocked FROM page_rows JOIN two USING (origin) WHERE crawled >= '2025-02-10')
+        SELECT page_id, verdict AS llms_verdict, CASE WHEN found THEN true END AS robots_found, blocked FROM page_rows LEFT JOIN held USING (page_id)""",
     "looks_like_html": f"""WITH {SITES} SELECT * FROM (
         {' UNION ALL '.join(f"SELECT concat('{k} ', {d.SERVED_ORIGIN}) AS item, CASE WHEN {k}_body IS NOT NULL THEN {sniff(f'{k}_body')} END AS is_html FROM site_rows WHERE {k}_status IS NOT NULL" for k in d.SITE_FILE_KINDS)}
         UNION ALL SELECT concat('doc ', doc_id), {sniff('text')} FROM documents)""",

@@ -10,9 +10,25 @@ def _is_object(value: Column) -> Column:
     return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
 
 
+# A whole string, or a bare word that lenient readers take for a number.
+_STRING_OR_WORD = r'(?s)("[^"\\]*+(?:\\.[^"\\]*+)*+")|-?Infinity|NaN'
+_MARK = "\x01"
+
+
+def lenient(text: Column) -> Column:
+    """JSON text in which a bare NaN, Infinity or -Infinity is a number beyond all others: there, and not zero.
+
+    Strings are stepped over whole, so such a word inside one stays. The mark put behind each
+    match occurs in no valid JSON; a text that holds it is left alone.
+    """
+    marked = F.regexp_replace(text, _STRING_OR_WORD, "$1" + _MARK)
+    plain = F.replace(F.replace(marked, F.lit('"' + _MARK), F.lit('"')), F.lit(_MARK), F.lit("1e999"))
+    return F.when(text.rlike("NaN|Infinity") & ~text.contains(_MARK), plain).otherwise(text)
+
+
 def documents(script_texts: Column) -> Column:
     """Top-level objects of each script: an object itself, or an array's object members."""
-    parsed = F.transform(script_texts, lambda s: F.try_parse_json(s))
+    parsed = F.transform(script_texts, lambda s: F.try_parse_json(lenient(s)))
     lists = F.transform(
         parsed,
         lambda v: F.coalesce(

@@ -21,11 +21,14 @@ BYLINE_ANYWHERE = rf"{WORD_START}{_BY}({FULL_NAME}){_NOT_PROSE}"
 AUTHOR_MARK = r"(?i)byline|author(?!ity)"
 BYLINE_CHARS = 120
 BYLINE_TAGS = ("p", "div", "span", "address", "header", "li", "small", "cite", "figcaption", "td")
+# --- fixed values: words of a page's interface, never a name ---
 INTERFACE_WORDS = (
-    "read more learn home page pages next previous prev back all view views share shares related post posts "
-    "comment comments reply sign log login menu search subscribe newsletter follow contact about privacy terms "
-    "cookie cookies skip toggle close open show hide the and our team staff editor editors admin"
-).split()
+    "read", "more", "learn", "home", "page", "pages", "next", "previous", "prev", "back", "all", "view",
+    "views", "share", "shares", "related", "post", "posts", "comment", "comments", "reply", "sign", "log",
+    "login", "menu", "search", "subscribe", "newsletter", "follow", "contact", "about", "privacy", "terms",
+    "cookie", "cookies", "skip", "toggle", "close", "open", "show", "hide", "the", "and", "our", "team",
+    "staff", "editor", "editors", "admin",
+)
 
 
 def plausible_name(name: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sitegauge.functions.text import built_once
@@ -55,7 +56,8 @@ def probe_verdict(hops: Column, probe_status: Column, markup: Column) -> Column:
         .when(probe_status.isin(404, 410), "pass_absence")
         .when(
             probe_status.between(300, 399),
-            F.when(F.coalesce(hops, F.lit(0)) > 0, "redirect_ambiguous").otherwise("pass_direct"),
+            # Unless it is known that the file itself came without a redirect, this proves nothing.
+            F.when(hops.isNull(), "unverified").when(hops > 0, "redirect_ambiguous").otherwise("pass_direct"),
         )
         .when(probe_status >= 400, "waf")
         .when(
@@ -91,7 +93,7 @@ def blocked_bots(body: Column, bots: tuple[str, ...] = AI_CRAWLERS) -> Column:
 
 @built_once
 def _evidence_columns() -> list[Column]:
-    """What each crawled file proves, judged in place: a few small values per file."""
+    """What each crawled file proves, judged in place: a few small values per file. A file no answer came for proves nothing."""
     kind, status = F.col("kind"), F.col("status")
     ctype, body = F.col("content_type"), F.col("body")
     return [
@@ -106,26 +108,78 @@ def _evidence_columns() -> list[Column]:
             (kind == "probe") & status.isNotNull(),
             F.struct(status.alias("status"), probe_markup(status, ctype, body).alias("markup")),
         ).alias("p"),
-        F.when((kind == "robots") & (status == 200), F.struct(blocked_bots(body).alias("blocked"))).alias("r"),
+        F.when(
+            (kind == "robots") & status.isNotNull(),
+            F.struct(
+                F.when(status == 200, True).alias("found"),
+                F.when(status == 200, blocked_bots(body)).otherwise(F.array().cast("array<string>")).alias("blocked"),
+            ),
+        ).alias("r"),
     ]
 
 
-def site_verdicts(site_files: DataFrame) -> DataFrame:
-    """One small row per origin: llms verdict, probe status and shut-out crawlers.
+def _file_rank() -> Column:
+    """Which of several files of one site, kind and time counts: that listed under the canonical origin, then the least
+    other spelling of it, then one without a redirect, then by content. Larger counts."""
+    canonical = site_origin(F.col("origin"))
+    spelled = F.translate(F.hex("origin"), "0123456789ABCDEF", "FEDCBA9876543210")  # the least text is the largest
+    content = F.xxhash64("status", "content_type", "body")
+    return F.struct(
+        (F.col("origin") == canonical).alias("canonical"), spelled.alias("spelled"),
+        (-F.coalesce("redirect_hops", F.lit(1 << 30))).alias("direct"), content.alias("content"),
+    )
 
-    Files are judged where they are read; only the outcome is shuffled to bring
-    an origin's files together, never a body.
-    """
-    evidence = site_files.select(site_origin(F.col("origin")).alias("origin"), *_evidence_columns())
-    sites = evidence.groupBy("origin").agg(*[F.max(c).alias(c) for c in ("l", "p", "r")])
+
+def _judged() -> list[Column]:
     gate = F.nullif(F.coalesce(F.col("l.gate"), F.lit("absent")), F.lit("candidate"))
-    return sites.select(
-        "origin",
+    return [
         F.coalesce(gate, probe_verdict(F.col("l.hops"), F.col("p.status"), F.col("p.markup"))).alias("llms_verdict"),
         F.col("p.status").alias("probe_status"),
-        F.when(F.col("r").isNotNull(), True).alias("robots_found"),
+        F.col("r.found").alias("robots_found"),
         F.coalesce("r.blocked", F.array().cast("array<string>")).alias("blocked_bots"),
-    )
+    ]
+
+
+def _evidence(site_files: DataFrame, at: Column) -> DataFrame:
+    """One row per origin and time: of each kind the file that counts. Files are judged where they are read; no body is shuffled."""
+    rows = site_files.select(site_origin(F.col("origin")).alias("origin"), at.alias("at"), _file_rank().alias("rank"), *_evidence_columns())
+    first = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("rank"))).alias(c) for c in ("l", "p", "r")]
+    return rows.groupBy("origin", "at").agg(*first)
+
+
+def site_versions(site_files: DataFrame) -> DataFrame:
+    """`origin, versions`: what held of each origin from when on, oldest first (`since` and the columns of `NO_EVIDENCE`).
+
+    Files of different times follow one another: at any time the newest file of each
+    kind holds, and a fetch that got no answer changes nothing. `crawled_at` NULL, or
+    no such column, is before all times. Only versions that differ from the one before are kept,
+    so a site's row grows with its changes, not with its crawls.
+    """
+    known = F.col("crawled_at").cast("timestamp") if "crawled_at" in site_files.columns else F.lit(None).cast("timestamp")
+    evidence = _evidence(site_files, F.coalesce(F.unix_micros(known), F.lit(-(1 << 62))))
+    past = W.partitionBy("origin").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+    held = evidence.select("origin", "at", *[F.last(c, ignorenulls=True).over(past).alias(c) for c in ("l", "p", "r")])
+    judged = held.select("origin", "at", F.struct(*_judged()).alias("v"))
+    before = F.lag("v").over(W.partitionBy("origin").orderBy("at"))
+    changed = judged.withColumn("before", before).where(~F.col("before").eqNullSafe(F.col("v")))
+    version = F.struct(F.col("at").alias("since"), "v")
+    return changed.groupBy("origin").agg(F.sort_array(F.collect_list(version)).alias("versions"))
+
+
+def evidence_at(versions: Column, crawled_at: Column) -> list[Column]:
+    """The columns of `NO_EVIDENCE` as they held at a time; the newest where the time is NULL, none before the first."""
+    micros = F.unix_micros(crawled_at)
+    held = F.filter(versions, lambda v: micros.isNull() | (v["since"] <= micros))
+    newest = F.try_element_at(held, F.lit(-1))["v"]
+    return [newest[c].cast(t).alias(c) for c, t in NO_EVIDENCE.items()]
+
+
+def site_verdicts(site_files: DataFrame) -> DataFrame:
+    """One small row per origin, of its newest files: llms verdict, probe status and shut-out crawlers."""
+    if "crawled_at" in site_files.columns:
+        sites = site_versions(site_files)
+        return sites.select("origin", *evidence_at(F.col("versions"), F.lit(None).cast("timestamp")))
+    return _evidence(site_files, F.lit(0)).select("origin", *_judged())
 
 
 NO_EVIDENCE = {
@@ -137,8 +191,9 @@ NO_EVIDENCE = {
 
 
 def pivot_site_files(site_files: DataFrame) -> DataFrame:
-    """Status of each file kind per origin."""
+    """Status of each file kind per origin, of the file that counts."""
     kinds = ("robots", "llms", "probe")
-    return site_files.groupBy(site_origin(F.col("origin")).alias("origin")).agg(
-        *[F.max(F.when(F.col("kind") == k, F.col("status"))).alias(f"{k}_status") for k in kinds]
+    rows = site_files.select(site_origin(F.col("origin")).alias("origin"), "kind", "status", _file_rank().alias("rank"))
+    return rows.groupBy("origin").agg(
+        *[F.max_by("status", F.when((F.col("kind") == k) & F.col("status").isNotNull(), F.col("rank"))).alias(f"{k}_status") for k in kinds]
     )

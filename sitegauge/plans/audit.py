@@ -22,7 +22,7 @@ from sitegauge.operators.joins import is_small, left_join_lookup, stored_lookup
 from sitegauge.operators.redirects import redirect_chains
 from sitegauge.operators.signals import REGISTRY, all_signals
 from sitegauge.operators.safety import REFUSAL, Networks, host_verdicts, local_verdicts
-from sitegauge.operators.sitefiles import NO_EVIDENCE, site_verdicts
+from sitegauge.operators.sitefiles import NO_EVIDENCE, evidence_at, site_verdicts, site_versions
 from sitegauge.schema import BUCKET_CAPS, SIGNAL
 from sitegauge.sources.pages import fetch_note, header, page_source
 
@@ -101,7 +101,7 @@ def _narrowed_columns() -> list[Column]:
 
 def page_arrays(parsed: DataFrame) -> DataFrame:
     """The page's working arrays: full and pruned elements, texts, scripts, regions, links."""
-    views = parsed.select("page_id", "url", "final_url", "headers", "fetch_note", *_view_columns())
+    views = parsed.select("page_id", "url", "final_url", "headers", "fetch_note", "crawled_at", *_view_columns())
     return views.select("*", *_derived_columns()).select("*", *_narrowed_columns())
 
 
@@ -136,7 +136,9 @@ def scalar_facts(
 ) -> DataFrame:
     """Reduce each page to the scalars the signal rules read; no text or array of elements survives."""
     worked = arrays.select("*", *_text_columns())
-    return worked.select("page_id", "url", "final_url", "fetch_note", "page_title", *_fact_columns(claim_years, title_years))
+    return worked.select(
+        "page_id", "url", "final_url", "fetch_note", "crawled_at", "page_title", *_fact_columns(claim_years, title_years)
+    )
 
 
 @built_once
@@ -220,7 +222,10 @@ def _fact_columns(claim_years: tuple[int, int], title_years: tuple[int, int]) ->
 
 
 def attach_site_evidence(facts: DataFrame, site_files: DataFrame | None, pages: DataFrame | None = None) -> DataFrame:
-    """Add per-site verdicts by origin; without site files every page lacks evidence."""
+    """Add per-site verdicts by origin; without site files every page lacks evidence.
+
+    If the files say when they were crawled, a page is judged by those that held when it was.
+    """
     if site_files is None:
         return facts.select("*", *[F.lit(None).cast(t).alias(c) for c, t in NO_EVIDENCE.items()])
     counts = None
@@ -228,7 +233,10 @@ def attach_site_evidence(facts: DataFrame, site_files: DataFrame | None, pages:
         # Pages per site from the URL column alone: no page is parsed for it.
         source = page_source(pages)
         counts = source.groupBy(origin(F.col("final_url")).alias("origin")).agg(F.count("*").alias("n"))
-    return left_join_lookup(facts, site_verdicts(site_files), "origin", "page_id", key_counts=counts)
+    if "crawled_at" not in site_files.columns:
+        return left_join_lookup(facts, site_verdicts(site_files), "origin", "page_id", key_counts=counts)
+    joined = left_join_lookup(facts, site_versions(site_files), "origin", "page_id", key_counts=counts)
+    return joined.select(*facts.columns, *evidence_at(F.col("versions"), F.col("crawled_at")))
 
 
 def page_facts(

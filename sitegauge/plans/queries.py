@@ -131,6 +131,16 @@ def site_file_join(spark, folder):
     return left_join_lookup(keyed, statuses, "origin", "page_id")
 
 
+@query
+def site_file_asof(spark, folder):
+    """Evidence as it held when each page was crawled, from two crawls of the site files."""
+    raw = table(spark, folder, "pages")
+    at = F.to_timestamp(F.concat(F.expr(derived.CRAWLED_AT), F.lit("+00:00")))
+    keyed = raw.select("page_id", origin(F.expr(derived.FINAL_URL)).alias("origin"), at.alias("crawled_at"))
+    judged = plan.attach_site_evidence(keyed, derived.crawled_site_files(raw))
+    return judged.select("page_id", "llms_verdict", "robots_found", F.array_join("blocked_bots", ", ").alias("blocked"))
+
+
 @query
 def fetch_status_note(spark, folder):
     crawled = page_source(derived.crawled_pages(table(spark, folder, "pages")))
@@ -265,9 +275,8 @@ def attribute_match(spark, folder):
 
 @query
 def plausible_name(spark, folder):
-    """The name test over the first words of plain documents."""
-    start = F.substring("text", 1, 24)
-    return table(spark, folder, "documents").select("doc_id", authors.plausible_name(start).alias("plausible"))
+    """The name test over plain documents, whole."""
+    return table(spark, folder, "documents").select("doc_id", authors.plausible_name(F.col("text")).alias("plausible"))
 
 
 @query
@@ -287,8 +296,12 @@ def page_links(spark, folder):
 
 @query
 def js_rendered_flag(spark, folder):
+    return rendered_in_browser(arrays(spark, folder))
+
+
+def rendered_in_browser(arrays: DataFrame) -> DataFrame:
     """Page that seems to be built in the browser: many scripts, little text."""
-    return arrays(spark, folder).select(
+    return arrays.select(
         "page_id",
         el.count_tagged(F.col("elements"), "script").alias("n_scripts"),
         el.count_tagged(F.col("live"), "p").alias("n_paragraphs"),

@@ -66,9 +66,11 @@ PAGE = T.StructType(
         T.StructField("fetch_error", T.StringType()),
         T.StructField("headers", T.MapType(T.StringType(), T.StringType())),
         T.StructField("redirect_hops", T.IntegerType()),
+        T.StructField("crawled_at", T.TimestampType()),
     ]
 )
 
+# A table of site files may have `crawled_at`, too.
 SITE_FILE = T.StructType(
     [
         T.StructField("origin", T.StringType()),

@@ -17,6 +17,7 @@ DEFAULTS = {
     "fetch_error": lambda: F.lit(None).cast("string"),
     "headers": lambda: F.create_map().cast("map<string,string>"),
     "redirect_hops": lambda: F.lit(0),
+    "crawled_at": lambda: F.lit(None).cast("timestamp"),
 }
 
 

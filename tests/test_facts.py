@@ -53,6 +53,13 @@ CASES = {
     "other script type": ('<script type="text/json">{"@type":"X"}</script>', "schema_types", []),
     "script in the footer still counts": ('<footer><script type="application/ld+json">{"@type":"X"}</script></footer>', "schema_types", ["X"]),
     "duplicate keys keep the last": ('<script type="application/ld+json">{"@type":"X","@type":"Y"}</script>', "schema_types", ["Y"]),
+    "bare NaN is a number": ('<script type="application/ld+json">{"@type":"X","v":NaN,"w":[-Infinity, Infinity]}</script>', "schema_types", ["X"]),
+    "NaN inside strings stays": (r'<script type="application/ld+json">{"@type":["NaN","a \"Infinity\" b"],"v":NaN}</script>', "schema_types", ["NaN", 'a "Infinity" b']),
+    "NaN is no type": ('<script type="application/ld+json">{"@type":NaN}</script>', "schema_types", []),
+    "a NaN author is there": ('<script type="application/ld+json">{"@type":"X","author":NaN}</script>', "author_source", "jsonld"),
+    "a broken document with NaN": ('<script type="application/ld+json">{"@type":"X","v":xNaN}</script>', "schema_types", []),
+    "an open string with NaN": ('<script type="application/ld+json">{"@type":"X","v":"NaN}</script>', "schema_types", []),
+    "a long string beside NaN": (f'<script type="application/ld+json">{{"@type":"X","v":NaN,"t":"{"word " * 20_000}"}}</script>', "schema_types", ["X"]),
     "date modified": ('<script type="application/ld+json">[{"dateModified":""},{"dateModified":"2025-01-02"},{"dateModified":"2026"}]</script>', "date_modified", "2025-01-02"),
     "dated": ("<p>As of  March it holds.</p>", "dated_claim", True),
     "dated by year across nodes": ("<p>since</p><p>2025</p>", "dated_claim", True),
@@ -82,3 +89,18 @@ def test_fact(rows, name):
 def test_headers_are_case_insensitive(facts_of):
     row = facts_of({"x": "<p>a</p>"}, headers={"LAST-Modified": "Tue"})["x"]
     assert row.last_modified == "Tue"
+
+
+def test_client_rendered_pages(spark, tmp_path):
+    """Three scripts or more, under three paragraphs and under 200 words: only then is a page built in the browser."""
+    def page(scripts, paragraphs, words):
+        return "<script></script>" * scripts + "<p>x</p>" * paragraphs + f"<div>{'w ' * (words - paragraphs)}</div>"
+
+    cases = {(s, p, w): s >= 3 and p < 3 and w < 200 for s in (2, 3, 9) for p in (0, 2, 3) for w in (5, 199, 200)}
+    rows = [(i, f"https://a.test/{i}", page(*case)) for i, case in enumerate(cases)]
+    from sitegauge.plans import queries
+
+    plain = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    arrays = queries.plan.page_arrays(queries.plan.parsed_pages(plain))
+    got = {r.page_id: r.js_rendered for r in queries.rendered_in_browser(arrays).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values()) and True in got.values()

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitegauge.functions.urls import origin
-from sitegauge.operators.sitefiles import blocked_bots, looks_like_html, site_verdicts
+from sitegauge.operators.sitefiles import blocked_bots, looks_like_html, pivot_site_files, site_verdicts, site_versions
+from sitegauge.plans.audit import attach_site_evidence
 from sitegauge.schema import AI_CRAWLERS, SITE_FILE
 
 NOTES = "# Ferry times\n\n- winter: hourly until dusk\n- summer: every half hour\n"
@@ -24,7 +25,7 @@ def site(llms, probe, hops=0):
 LLMS = [
     *((site((200, PLAIN, NOTES), (s, PLAIN, "")), "pass_absence") for s in (404, 410)),
     *((site((200, PLAIN, NOTES), (s, HTML, "")), "waf") for s in (400, 402, 405, 409, 411, 451, 500, 504, 599, 600)),
-    *((site((200, PLAIN, NOTES), (s, HTML, ""), h), v) for s in (300, 308, 399) for h, v in ((0, "pass_direct"), (None, "pass_direct"), (3, "redirect_ambiguous"))),
+    *((site((200, PLAIN, NOTES), (s, HTML, ""), h), v) for s in (300, 308, 399) for h, v in ((0, "pass_direct"), (None, "unverified"), (3, "redirect_ambiguous"))),
     *((site((200, PLAIN, NOTES), (s, PLAIN, "")), "unexpected") for s in (100, 199)),
     *((site((200, PLAIN, NOTES), (s, t, b)), v) for s in (200, 204, 299) for t, b, v in (
         (HTML, "", "pass_html_shell"), ("TEXT/HTML", "plain", "pass_html_shell"), (PLAIN, "\n\t<p>", "pass_html_shell"), (PLAIN, "fine", "catch_all"), ("", "", "catch_all"),
@@ -119,3 +120,45 @@ def test_one_row_per_site(spark):
     # A robots.txt that was not served shuts nobody out.
     assert (got["https://a"].blocked_bots, got["https://a"].llms_verdict) == ([], "pass_absence")
     assert (got["https://b"].blocked_bots, got["https://b"].llms_verdict) == (["GPTBot"], "absent")
+
+
+def test_of_several_files_one_rule_picks(spark):
+    """Listed under the canonical origin, else the least spelling: whatever the files say, and in whatever order they come."""
+    shut, open_ = group("GPTBot", FENCE), group("GPTBot", "Allow: /\n")
+    rows = [
+        ("https://A.test", "robots", 200, PLAIN, shut, 0), ("https://a.test", "robots", 200, PLAIN, open_, 0), ("https://a.test:443", "robots", 200, PLAIN, shut, 0),
+        ("https://B.test", "robots", 200, PLAIN, shut, 0), ("https://b.test:443", "robots", 200, PLAIN, open_, 0),
+        ("https://a.test", "llms", 200, PLAIN, NOTES, 0), ("HTTPS://a.test", "llms", 404, PLAIN, "", 0), ("https://a.test", "probe", 404, PLAIN, "", 0),
+    ]
+    for order in (rows, rows[::-1]):
+        frame = spark.createDataFrame(order, SITE_FILE)
+        got = {r.origin: (r.blocked_bots, r.llms_verdict) for r in site_verdicts(frame).collect()}
+        assert got == {"https://a.test": ([], "pass_absence"), "https://b.test": (["GPTBot"], "absent")}
+        assert {r.origin: r.llms_status for r in pivot_site_files(frame).collect()} == {"https://a.test": 200, "https://b.test": None}
+
+
+def test_pages_meet_the_files_of_their_time(spark):
+    shut, open_ = group("GPTBot", FENCE), group("GPTBot", "Allow: /\n")
+    files = [
+        ("https://a.test", "robots", 200, PLAIN, shut, 0, "2025-01-10"), ("https://a.test", "robots", 200, PLAIN, open_, 0, "2025-02-10"),
+        ("https://a.test", "robots", None, None, None, 0, "2025-03-10"),  # no answer: what held goes on
+        ("https://a.test", "robots", 404, PLAIN, shut, 0, "2025-04-10"),  # gone: nobody is shut out
+        ("https://a.test", "llms", 200, PLAIN, NOTES, 0, "2025-01-10"), ("https://a.test", "probe", 404, PLAIN, "", 0, "2025-02-10"),
+        ("https://b.test", "robots", 200, PLAIN, shut, 0, None),
+    ]
+    schema = "origin string, kind string, status int, content_type string, body string, redirect_hops int, crawled_at string"
+    frame = spark.createDataFrame(files, schema).withColumn("crawled_at", F.to_timestamp("crawled_at"))
+    pages = {
+        ("https://a.test", "2025-01-09"): (None, None, None), ("https://a.test", "2025-01-10"): (["GPTBot"], True, "unverified"),
+        ("https://a.test", "2025-02-09"): (["GPTBot"], True, "unverified"), ("https://a.test", "2025-02-10"): ([], True, "pass_absence"),
+        ("https://a.test", "2025-03-11"): ([], True, "pass_absence"), ("https://a.test", "2025-05-01"): ([], None, "pass_absence"),
+        ("https://a.test", None): ([], None, "pass_absence"), ("https://b.test", "2000-01-01"): (["GPTBot"], True, "absent"),
+        ("https://c.test", "2025-02-10"): (None, None, None),
+    }
+    keyed = spark.createDataFrame([(i, o, t) for i, (o, t) in enumerate(pages)], "page_id bigint, origin string, crawled_at string")
+    rows = attach_site_evidence(keyed.withColumn("crawled_at", F.to_timestamp("crawled_at")), frame).collect()
+    got = {r.page_id: (r.blocked_bots, r.robots_found, r.llms_verdict) for r in rows}
+    assert [got[i] for i in range(len(pages))] == list(pages.values())
+    # Versions are changes: the fetch without an answer is none.
+    assert {r.origin: len(r.versions) for r in site_versions(frame).collect()} == {"https://a.test": 3, "https://b.test": 1}
+    assert {r.origin: r.blocked_bots for r in site_verdicts(frame).collect()} == {"https://a.test": [], "https://b.test": ["GPTBot"]}
