@@ -404,6 +404,13 @@ ORACLES |= {
         SELECT page_id, name, weight, row_number() OVER (PARTITION BY page_id ORDER BY weight DESC, no) AS r FROM s WHERE NOT passed) WHERE r <= 8""",
     "whats_working": f"""WITH {LONG} SELECT page_id, CAST(r AS INT) AS rank, name FROM (
         SELECT page_id, name, row_number() OVER (PARTITION BY page_id ORDER BY no) AS r FROM s WHERE passed) WHERE r <= 6""",
+    "site_rollup": f"""WITH {LONG}, placed AS (SELECT page_id, score AS s, CASE WHEN status = 200 THEN score END AS score, CASE WHEN status = 200 THEN {GRADE} ELSE '—' END AS grade FROM ({CRAWLED})),
+        sited AS (SELECT placed.*, regexp_replace(lower(regexp_extract({d.FINAL_URL.replace('page_id', 'pages.page_id')}, '^[a-z]+://([^/]*)', 1)), ':[0-9]+$', '') AS site
+          FROM placed JOIN pages USING (page_id))
+        SELECT site, grade, count(*) AS n_pages, count(score) AS n_fetched, sum(score)::BIGINT AS score_sum, min(score)::BIGINT AS lowest, max(score)::BIGINT AS highest,
+          quantile_disc(score, 0.1)::BIGINT AS q10, quantile_disc(score, 0.5)::BIGINT AS q50, quantile_disc(score, 0.9)::BIGINT AS q90
+        FROM sited GROUP BY GROUPING SETS ((site, grade), (site), ())""",
+    "audit_incremental": f"WITH {LONG} SELECT page_id, score, CASE WHEN page_id % 3 <> 0 AND page_id % 5 <> 0 THEN 1 ELSE 2 END AS parsed_in FROM scores",
     "score_gate": f"WITH {LONG} SELECT page_id, CASE WHEN score >= 50 THEN 0 ELSE 1 END AS gate FROM ({CRAWLED})",
     "score_band": f"WITH {LONG} SELECT page_id, CASE WHEN score >= 70 THEN 'good' WHEN score >= 50 THEN 'warn' ELSE 'danger' END AS tone FROM scores",
     "score_report": f"""WITH {LONG},

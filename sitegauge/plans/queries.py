@@ -14,7 +14,7 @@ from sitegauge.functions.urls import hostname, netloc, normalize_url, origin
 from sitegauge.operators import authors, elements as el, ratelimit as rl, redirects, safety, sitefiles
 from sitegauge.operators.joins import left_join_lookup
 from sitegauge.operators.networks import flag_networks
-from sitegauge.plans import audit as plan, reports
+from sitegauge.plans import audit as plan, incremental, reports, rollup
 from sitegauge.schema import BUCKET_CAPS
 from sitegauge.sources import derived
 from sitegauge.sources.pages import fetch_note, page_source, read_table, spread
@@ -634,6 +634,24 @@ def score_report(spark, folder):
     )
 
 
+@query
+def site_rollup(spark, folder):
+    """Pages and scores per site, per site and grade, and over all, with quantiles from sketches."""
+    rows = rollup.site_rollup(crawl_audit(spark, folder))
+    quantiles = [rollup.quantile(F.col("sketch"), F.col("n_fetched"), q).alias(f"q{round(100 * q)}") for q in rollup.QUANTILES]
+    return rows.select("site", "grade", "n_pages", "n_fetched", "score_sum", "lowest", "highest", *quantiles)
+
+
+@query
+def audit_incremental(spark, folder):
+    """A second audit after a first one that saw two pages in three, some of them with other text: only the rest is parsed."""
+    raw, store = table(spark, folder, "pages", "page_id"), run_folder(spark, "incremental")
+    full, files = derived.decorated_pages(raw), derived.site_files(raw)
+    earlier = full.where("page_id % 3 <> 0").withColumn("html", F.expr("CASE WHEN page_id % 5 = 0 THEN concat(html, ' and more') ELSE html END"))
+    incremental.incremental_audit(earlier, files, store, fetched_at=FETCHED_AT)
+    return incremental.incremental_audit(full, files, store, fetched_at=FETCHED_AT).select("page_id", "score", "parsed_in")
+
+
 # --- rate limits --------------------------------------------------------------------------------
 
 
