@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +29,15 @@ LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456
 # Change below which messages have settled, double sweeps after which they are damped and after which a
 # text that still swings is left as it is, and the marginal probability a span needs.
 SETTLED, FREE_SWEEPS, SWEEPS, CERTAIN = 1e-4, 10, 200, 0.9
+# --- fixed values: country codes of two digits; those that begin with 1 or 7 have one, all others three ---
+TWO_DIGIT_CODES = frozenset(
+    ("20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53",
+     "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98")
+)
+# Digits a number needs to be known again, those at which it surely is, and groups of digits that may be one number.
+KNOWN_DIGITS, SURE_DIGITS, GROUPS = 7, 10, 5
+# The least chance that a repetition of a token is of a kind, whatever the counts say of its looks: patterns miss some.
+MISSED = 0.01
 # Code of a label: 0 none, then KINDS.
 N_LABELS = 1 + len(KINDS)
 
@@ -115,16 +125,43 @@ def marked_tokens(text: str) -> Iterator[tuple[int, int, int, int]]:
         yield start, end, a, b
 
 
+def number_keys(kind: int, digits: str) -> set[str]:
+    """Under which digits a covered number may stand again: whole, and a phone number less its country code; no leading zeros."""
+    whole = digits.lstrip("0")
+    code = 1 if whole[:1] in ("1", "7") else 2 if whole[:2] in TWO_DIGIT_CODES else 3
+    keys = {whole, whole[code:].lstrip("0")} if KINDS[kind] == "phone" else {whole}
+    return {k for k in keys if len(k) >= KNOWN_DIGITS}
+
+
+def joined_numbers(text: str, tokens: list[tuple[int, int, int, int]], known: set[str], free: Callable[[int, int], bool]) -> list[tuple[int, int, int, int]]:
+    """The tokens, groups of digits that together are a known number made one token; `free` tells what no pattern covers."""
+    out, i = [], 0
+    while i < len(tokens):
+        digits, end, last = "", tokens[i][0] - 1, i
+        for j in range(i, min(i + GROUPS, len(tokens))):
+            start, stop, a, b = tokens[j]
+            if start != end + 1 or any(c.isalpha() or c == "@" for c in text[a:b]) or not free(a, b):
+                break
+            digits, end = digits + only_digits(text[a:b]), stop
+            if j > i and digits.lstrip("0") in known:
+                last = j
+        out.append((tokens[i][0], tokens[last][1], tokens[i][2], tokens[last][3]))
+        i = last + 1
+    return out
+
+
 @dataclass
 class Graph:
     """Tokens of some texts that hold a digit or an at sign, and the edges of the field.
 
     Other tokens have no features and are no one's personal data, so they cut the
-    chain. `chain` joins neighbouring tokens; `skip` joins each token with seven digits
-    or more to the next one in its text that ends in the same seven, and each with an at sign or three
-    dots to the next equal one (case ignored). Of such repetitions, each that no pattern covers is
-    also joined to a covered one: the last before it, else the first. So what is found in a text is one edge away from all
-    its repetitions, however many there are.
+    chain. `chain` joins neighbouring tokens; `skip` joins each token to the next in its text that is the same:
+    the same digits but for leading zeros (seven or more, no letters), a phone number with or without its country
+    code, or the same text (case ignored) if it has letters beside such digits, an at sign or three dots.
+    Digit groups that together are a number found in the text are one token. Of such repetitions, each that no
+    pattern covers is also joined to a covered one: the last before it, else the first. So what is found in a text is one
+    edge away from all its repetitions, however many there are. `weight` of a skip edge falls below 1 for
+    numbers under ten digits.
     """
 
     row: list[int]
@@ -133,51 +170,76 @@ class Graph:
     features: list[str]
     chain: np.ndarray
     skip: np.ndarray
+    weight: np.ndarray
 
 
 def graph_of(texts: list[str], bases: list[dict[str, list[tuple[int, int]]]]) -> Graph:
-    row, span, label, features, chain, skip = [], [], [], [], [], []
+    row, span, label, features, chain, skip = [], [], [], [], [], {}
     for i, (text, base) in enumerate(zip(texts, bases)):
         known = sorted((a, b, k + 1) for k, kind in enumerate(KINDS) for a, b in base[kind])
+        keys_of = {
+            (a, b, k): number_keys(k - 1, only_digits(text[a:b])) for a, b, k in known if KINDS[k - 1] in ("card", "phone")
+        }
+        tokens = [t for t in marked_tokens(text) if t[2] < t[3]]
+        if keys_of:
+            starts, reach = [k[0] for k in known], np.maximum.accumulate([k[1] for k in known]).tolist()
+
+            def free(a: int, b: int) -> bool:
+                before = bisect_left(starts, b) - 1
+                return before < 0 or reach[before] <= a
+
+            tokens = joined_numbers(text, tokens, set().union(*keys_of.values()), free)
         # A token carries the label of the span that covers its start or that starts in it, the first kind if several.
-        at, before_end, seen, covered, waiting = 0, -2, {}, {}, {}
-        for start, end, a, b in marked_tokens(text):
-            if a >= b:
-                continue
+        at, before_end, seen, covered, waiting, told = 0, -2, {}, {}, {}, set()
+        for start, end, a, b in tokens:
             word = text[a:b]
             while at < len(known) and known[at][1] <= a:
                 at += 1
-            near, mark = at, 0
+            near, mark, own = at, 0, None
             while not mark and near < len(known) and known[near][0] < b:
-                mark = known[near][2] if known[near][1] > a else 0
+                if known[near][1] > a:
+                    mark, own = known[near][2], known[near]
                 near += 1
             node = len(row)
             digits = only_digits(word)
+            letters = any(c.isalpha() for c in word)
             joined = start == before_end + 1
             features.append(
                 f"{_bucket(len(digits))}.{min(word.count('.'), 4)}.{min(word.count('-'), 4)}.{'@' in word:d}{word[0] == '+':d}"
-                f"{word[0] == '(':d}{any(c.isalpha() for c in word):d}{joined:d}{13 <= len(digits) <= 19 and luhn(digits):d}"
+                f"{word[0] == '(':d}{letters:d}{joined:d}{13 <= len(digits) <= 19 and luhn(digits):d}"
             )
             if joined:
                 chain.append((node - 1, node))
-            key = "#" + digits[-7:] if len(digits) >= 7 and "@" not in word else word.lower() if "@" in word or word.count(".") >= 3 else ""
-            if key:
-                if key in seen:
-                    skip.append((seen[key], node))
+            if own in keys_of:
+                # The first token of a number stands for all of it.
+                keys = set() if own in told else keys_of[own]
+                told.add(own)
+            elif "@" in word or word.count(".") >= 3 or (letters and len(digits) >= KNOWN_DIGITS):
+                keys = {word.lower()}
+            else:
+                plain = digits.lstrip("0")
+                keys = {plain} if len(plain) >= KNOWN_DIGITS and not letters else set()
+            for key in sorted(keys):
+                weight = min(1.0, len(key) / SURE_DIGITS) if key.isdigit() else 1.0
+                edges = [seen[key]] if key in seen else []
                 seen[key] = node
                 if mark:
-                    skip += [(early, node) for early in waiting.pop(key, ())]
+                    edges += waiting.pop(key, [])
                     covered[key] = node
                 elif key in covered:
-                    skip.append((covered[key], node))
+                    edges.append(covered[key])
                 else:
                     waiting.setdefault(key, []).append(node)
+                for early in edges:
+                    skip[early, node] = max(weight, skip.get((early, node), 0.0))
             row.append(i)
             span.append((a, b))
             label.append(mark)
             before_end = end
     pairs = lambda edges: np.array(sorted(set(edges)), np.int64).reshape(-1, 2)
-    return Graph(row, span, np.array(label, np.int64), features, pairs(chain), pairs(skip))
+    skips = pairs(skip)
+    weight = np.array([skip[x, y] for x, y in skips.tolist()])
+    return Graph(row, span, np.array(label, np.int64), features, pairs(chain), skips, weight)
 
 
 @dataclass
@@ -200,13 +262,21 @@ class Field:
         n = len(graph.row)
         score = np.array([self.unary.get(f, self.unknown) for f in graph.features]).reshape(n, N_LABELS)
         known = graph.label > 0
-        for edges, table in ((graph.chain, self.chain), (graph.skip, self.skip)):
+        # Counts take what no pattern covers for none; of a repetition of something found that is just what is not known.
+        for here, there in (graph.skip.T, graph.skip[:, ::-1].T):
+            again = known[here] & ~known[there]
+            here, there = graph.label[here[again]], there[again]
+            score[there, here] = np.maximum(score[there, here], np.log(MISSED))
+        strength = [np.ones(len(graph.chain)), graph.weight]
+        for edges, table, weight in ((graph.chain, self.chain, strength[0]), (graph.skip, self.skip, strength[1])):
             for here, there, pair in ((edges[:, 0], edges[:, 1], table), (edges[:, 1], edges[:, 0], table.T)):
                 told = known[here] & ~known[there]
-                np.add.at(score, there[told], pair[graph.label[here[told]]])
+                np.add.at(score, there[told], pair[graph.label[here[told]]] * weight[told, None])
         score[known] = -30.0
         score[known, graph.label[known]] = 0.0
-        free = [edges[~known[edges].any(axis=1)] for edges in (graph.chain, graph.skip)]
+        open_ = [~known[edges].any(axis=1) for edges in (graph.chain, graph.skip)]
+        free = [edges[which] for edges, which in zip((graph.chain, graph.skip), open_)]
+        weight = np.concatenate([w[which] for w, which in zip(strength, open_)] * 2)[:, None, None]
         edges = np.concatenate(free)
         if not len(edges):
             return _softmax(score)
@@ -229,7 +299,7 @@ class Field:
         for sweep in range(SWEEPS):
             moved = np.zeros(graph.row[-1] + 1)
             for live in np.split(order, np.flatnonzero(np.diff(turn[order])) + 1):
-                outgoing = (score[source[live]] - message[back[live]])[:, :, None] + tables[kind[live]]
+                outgoing = (score[source[live]] - message[back[live]])[:, :, None] + tables[kind[live]] * weight[live]
                 top = outgoing.max(axis=1, keepdims=True)
                 new = (top + np.log(np.exp(outgoing - top).sum(axis=1, keepdims=True)))[:, 0]
                 new -= new.max(axis=1, keepdims=True)
@@ -344,7 +414,8 @@ def find_pii(docs: DataFrame, field: Field | None = None) -> DataFrame:
     The patterns find e-mail and IP addresses, card and phone numbers in whole texts.
     A skip-chain conditional random field then labels the tokens with a digit or an
     at sign that no pattern covers: neighbours share potentials, and so do distant
-    tokens that are the same address or end in the same seven digits. Loopy message passing
+    tokens that are the same address or the same whole number, a phone number with or without its country code
+    and trunk zero, in one token or in groups. Numbers that only end alike share nothing. Loopy message passing
     carries the label of a found number to its bare repetitions at any distance, and a token whose
     marginal reaches 0.9 becomes a span too (`base` false).
 
