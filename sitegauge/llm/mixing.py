@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitegauge.llm.common import WORD, stored, table
@@ -12,8 +12,10 @@ from sitegauge.operators.joins import left_join_lookup
 BUCKET_ROWS = 4_096
 CYCLE = (1, 2, 3)
 REPEATS = 3
-# Passes over the documents around the end of a budget.
-FILL_ROUNDS = 4
+# Classes of weights by which the spread of a source's keys is told.
+WEIGHT_CLASSES = 40
+# Rounds the SQL form fills budgets in; here they go on until nothing fits.
+SQL_ROUNDS = 16
 
 
 def sized(docs: DataFrame, text: str = "text", seed: int = 7) -> DataFrame:
@@ -59,19 +61,41 @@ def targets(sizes: DataFrame, cycle: tuple[int, ...] = CYCLE, repeats: int = REP
     ).drop("_cap", "_level")
 
 
+def bucket_of(bucket_rows: int) -> Column:
+    """Number of a row's bucket of keys: by the share of its source's keys below its own.
+
+    Each class of weights (`_mix`: rows and mean weight) is an exponential of its own, so
+    buckets are about equal however weights are mixed, and rise with the key.
+    """
+    above = F.aggregate("_mix", F.lit(0.0), lambda sum_, x: sum_ + x["n"] * F.exp(-x["w"] * F.col("_key")))
+    n = F.ceil(F.col("_rows") / F.lit(bucket_rows))
+    return F.least(n - 1, F.floor(n * (1 - above / F.col("_rows"))))
+
+
+def key_classes(light: DataFrame) -> DataFrame:
+    """Per source its words, rows, and rows by class of weight."""
+    classes = light.groupBy("_source", F.floor(F.col("_weight") * WEIGHT_CLASSES).alias("_class")).agg(
+        F.first("source").alias("source"), F.sum("size").alias("size"), F.count("*").alias("n"), F.avg("_weight").alias("w")
+    )
+    return classes.groupBy("_source").agg(
+        F.first("source").alias("source"), F.sum("size").alias("source_size"), F.sum("n").alias("_rows"),
+        F.collect_list(F.struct("n", "w")).alias("_mix"),
+    )
+
+
 def mix(docs: DataFrame, *, repeats: int = REPEATS, bucket_rows: int = BUCKET_ROWS, seed: int = 7) -> DataFrame:
     """One row per document: `doc_id, source, size, source_size, target, taken`.
 
     A source first gives as many whole epochs as its target holds. What is left is
     a weighted sample without replacement: documents in the order of their keys as
-    long as their sizes add up to no more. A long document may end that early; then
-    documents after it (of the same bucket of keys) that still fit are added in the same
-    order, four times over. `taken` counts repeats.
+    long as their sizes add up to no more. A long document may end that early; then, of the
+    documents not taken yet, those that still fit are added in the same order, round after round, until none
+    fits: what a source lacks is less than its smallest document left. `taken` counts repeats.
 
-    Scale: one narrow pass over the text. A source of any size is cut into buckets
-    of its keys; whole buckets below the budget are in and those above are out, so
-    only the one bucket in which the budget ends is sorted. Sources and buckets are
-    tiny aggregates.
+    Scale: one narrow pass over the text. A source of any size is cut into about equal
+    buckets of its keys; in a round, whole buckets up to the one in which the budget ends are in, and only
+    that one is sorted. A round is remembered as two numbers per source, what was left and the
+    key that no longer fitted, so documents carry no state and are judged in their row at the end.
 
     Null text has size 0; the null source is a source of its own, last in order;
     equal rows are documents of their own; an empty table gives no rows; a source
@@ -81,47 +105,56 @@ def mix(docs: DataFrame, *, repeats: int = REPEATS, bucket_rows: int = BUCKET_RO
         sized(docs, seed=seed).select(
             "doc_id", "source", "size", "_weight", "_key",
             F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("_source"),
+            # Tells rows of equal keys apart, once and for all as it is written.
+            F.monotonically_increasing_id().alias("_row"),
         ),
         "mix-sizes",
     )
-    per_source = light.groupBy("_source").agg(
-        F.first("source").alias("source"), F.sum("size").alias("source_size"),
-        F.count("*").alias("_rows"), F.avg("_weight").alias("_mean"),
-    )
+    per_source = key_classes(light)
+    no_cuts = F.array().cast("array<struct<left:double,key:double,row:bigint>>")
     plan = targets(per_source, repeats=repeats).withColumn(
         "_epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     )
-    plan = stored(plan.withColumn("_budget", F.col("target") - F.col("_epochs") * F.col("source_size")), "mix-plan")
-    lookup = plan.drop("source", "share")
-    # Any rising function of the key makes valid buckets; this one makes them about equal.
-    n = F.ceil(F.col("_rows") / F.lit(bucket_rows))
-    bucket = F.least(n - 1, F.floor(n * (1 - F.exp(-F.col("_key") * F.col("_mean")))))
-    rows = left_join_lookup(light, lookup, "_source", "_key").withColumn("_bucket", bucket)
-    upto = Window.partitionBy("_source").orderBy("_bucket")
-    filled = rows.groupBy("_source", "_bucket").agg(
-        F.sum("size").alias("_words"), F.first("_budget").alias("_budget")
-    ).withColumn("_upto", F.sum("_words").over(upto))
-    edge = filled.where(F.col("_upto") >= F.col("_budget")).groupBy("_source").agg(
-        F.min(F.struct("_bucket", (F.col("_upto") - F.col("_words")).alias("_before"))).alias("_edge")
+    plan = plan.withColumn("_left", F.col("target") - F.col("_epochs") * F.col("source_size")).withColumn("_cuts", no_cuts)
+    plan = stored(plan.drop("source", "share"), "mix-plan")
+    bucket = bucket_of(bucket_rows)
+    taken = F.exists(
+        "_cuts",
+        lambda c: (F.col("size") <= c["left"])
+        & (c["key"].isNull() | (F.col("_key") < c["key"]) | ((F.col("_key") == c["key"]) & (F.col("_row") < c["row"]))),
     )
-    edge = stored(edge.select("_source", F.col("_edge._bucket").alias("_at"), F.col("_edge._before").alias("_before")), "mix-edge")
-    placed = left_join_lookup(rows, edge, "_source", "_key")
-    inside = F.col("_bucket") < F.col("_at")
-    ends = F.col("_bucket") == F.col("_at")
-    group = Window.partitionBy("_source")
-    order = group.orderBy("_key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    sorted_part = placed.where(ends).withColumn("_in", F.lit(False)).withColumn("_left", F.col("_budget") - F.col("_before"))
-    for _ in range(FILL_ROUNDS):
-        fits = ~F.col("_in") & (F.col("size") <= F.col("_left"))
-        sorted_part = sorted_part.withColumn("_running", F.sum(F.when(fits, F.col("size")).otherwise(0)).over(order))
-        sorted_part = sorted_part.withColumn("_in", F.col("_in") | (fits & (F.col("_running") <= F.col("_left"))))
-        taken = F.sum(F.when(F.col("_in"), F.col("size")).otherwise(0)).over(group)
-        sorted_part = sorted_part.withColumn("_left", F.col("_budget") - F.col("_before") - taken)
-    sorted_part = sorted_part.drop("_running", "_left")
-    whole_part = placed.where(~ends | F.col("_at").isNull()).withColumn("_in", F.coalesce(inside, F.lit(True)))
-    return whole_part.unionByName(sorted_part).select(
+    rows = light.drop("source", "_weight")
+    while True:
+        placed = left_join_lookup(rows, plan, "_source", "_key", is_stored=True)
+        free = placed.where((F.col("size") > 0) & (F.col("size") <= F.col("_left")) & ~taken).withColumn("_bucket", bucket)
+        upto = Window.partitionBy("_source").orderBy("_bucket")
+        filled = free.groupBy("_source", "_bucket").agg(F.sum("size").alias("_words"), F.first("_left").alias("_left"))
+        filled = stored(filled.withColumn("_upto", F.sum("_words").over(upto)), "mix-filled")
+        if filled.isEmpty():
+            break
+        over = F.when(F.col("_upto") > F.col("_left"), F.struct("_bucket", (F.col("_upto") - F.col("_words")).alias("_before")))
+        ends = filled.groupBy("_source").agg(F.min(over).alias("_edge"), F.max("_upto").alias("_all"))
+        ends = stored(ends.select("_source", F.col("_edge._bucket").alias("_at"), F.col("_edge._before").alias("_before"), "_all"), "mix-ends")
+        last = left_join_lookup(free, ends, "_source", "_key", is_stored=True).where(F.col("_bucket") == F.col("_at"))
+        order = Window.partitionBy("_source").orderBy("_key", "_row").rowsBetween(Window.unboundedPreceding, 0)
+        running = last.withColumn("_running", F.col("_before") + F.sum("size").over(order))
+        cut = running.groupBy("_source").agg(
+            F.min(F.when(F.col("_running") > F.col("_left"), F.struct("_key", "_row"))).alias("_cut"),
+            F.max(F.when(F.col("_running") <= F.col("_left"), F.col("_running"))).alias("_got"),
+        )
+        step = ends.join(cut, "_source", "left")
+        used = F.when(F.col("_at").isNull(), F.col("_all")).otherwise(F.coalesce("_got", "_before"))
+        round_ = F.struct(F.col("_left").alias("left"), F.col("_cut._key").alias("key"), F.col("_cut._row").alias("row"))
+        plan = plan.join(step, "_source", "left").select(
+            *[c for c in plan.columns if c not in ("_left", "_cuts")],
+            (F.col("_left") - F.coalesce(used, F.lit(0))).alias("_left"),
+            F.when(F.col("_all").isNotNull(), F.array_append("_cuts", round_)).otherwise(F.col("_cuts")).alias("_cuts"),
+        )
+        plan = stored(plan, "mix-plan")
+    judged = left_join_lookup(light, plan.drop("_mix"), "_source", "_key")
+    return judged.select(
         "doc_id", "source", "size", "source_size", "target",
-        (F.col("size") * (F.col("_epochs") + F.col("_in").cast("int"))).cast("long").alias("taken"),
+        (F.col("size") * (F.col("_epochs") + F.coalesce(taken, F.lit(False)).cast("int"))).cast("long").alias("taken"),
     )
 
 
@@ -159,8 +192,8 @@ WITH d AS (
   FROM k JOIN f ON k.source IS NOT DISTINCT FROM f.source
 ), w0 AS (
   SELECT *, target - epochs * source_size AS budget, FALSE AS taken, target - epochs * source_size AS rest FROM p
-){"".join(_fill_sql(i) for i in range(FILL_ROUNDS))}
-SELECT doc_id, size, source_size, target, (size * (epochs + taken::INT))::BIGINT AS taken FROM w{FILL_ROUNDS}"""
+){"".join(_fill_sql(i) for i in range(SQL_ROUNDS))}
+SELECT doc_id, size, source_size, target, (size * (epochs + taken::INT))::BIGINT AS taken FROM w{SQL_ROUNDS}"""
 
 
 def _fill_sql(i: int) -> str:

@@ -6,6 +6,7 @@ import random
 from collections import defaultdict
 from pathlib import Path
 
+import duckdb
 import pytest
 
 import __spark_entry__ as entry
@@ -24,7 +25,7 @@ def test_query_equals_its_sql(spark, key):
 
 def test_names_of_queries():
     assert set(QUERIES) <= set(entry.queries())
-    assert {k.split("_")[0] for k in QUERIES} == {*(f"op{n}" for n in range(1, 11)), "pipeline"}
+    assert {k.split("_")[0] for k in QUERIES} == {*(f"op{n}" for n in range(1, 14)), "pipeline"}
 
 
 @pytest.mark.parametrize("key", ["op9_mixing", "op10_preferences"])
@@ -80,6 +81,39 @@ def test_whole_epochs_come_first(spark):
     assert sum(r.taken for r in got if r.source == "a") == 200
 
 
+def long_and_short(n: int) -> list[tuple]:
+    """One document in ten is a hundred times as long as the others, one in five is full of marks; a third is of one source."""
+    rnd = random.Random(n)
+    rows = []
+    for i in range(n):
+        text = " ".join(f"w{rnd.randrange(999)}" for _ in range(2_000 if i % 10 == 0 else rnd.randrange(10, 30)))
+        rows.append((i, text.replace(" ", " ##") if i % 5 == 1 else text, "hot" if i % 3 == 0 else f"s{i % 7}"))
+    return [*rows, (n, None, "hot"), (n + 1, "", "s1"), (1, rows[1][1], "s1")]
+
+
+@pytest.mark.parametrize("bucket_rows", [4, 100, 10**9])
+def test_budgets_are_filled_whatever_the_buckets(spark, tmp_path, bucket_rows):
+    """Equal to the SQL form, and no document left would still fit."""
+    docs = documents(spark, long_and_short(600))
+    docs.write.parquet(f"{tmp_path}/documents")
+    got = mixing.mix(docs, bucket_rows=bucket_rows).collect()
+    rows = duckdb.sql(mixing.mix_sql(f"SELECT * FROM '{tmp_path}/documents/*.parquet'")).fetchall()
+    assert sorted((r.doc_id, r.size, r.source_size, r.taken) for r in got) == sorted((r[0], r[1], r[2], r[4]) for r in rows)
+    for source in {r.source for r in got}:
+        own = [r for r in got if r.source == source]
+        lacking, epochs = own[0].target - sum(r.taken for r in own), int(own[0].target // own[0].source_size)
+        left = [r.size for r in own if 0 < r.size and r.taken == r.size * epochs]
+        assert lacking >= 0 and (not left or lacking < min(left))
+
+
+def test_buckets_are_even_for_mixed_weights(spark):
+    rows = spark.range(20_000).selectExpr("CASE WHEN id % 5 = 0 THEN 0.05 WHEN id % 5 = 1 THEN 0.3 ELSE 1.0 END AS _weight", "id")
+    rows = rows.selectExpr("_weight", "-ln((pmod(xxhash64(id), 1000003) + 0.5) / 1000003) / _weight AS _key", "'a' AS source", "'sa' AS _source", "1L AS size")
+    placed = rows.join(mixing.key_classes(rows).drop("source"), "_source").select(mixing.bucket_of(200).alias("b"))
+    sizes = [r["count"] for r in placed.groupBy("b").count().collect()]
+    assert len(sizes) == 100 and max(sizes) < 2 * 200
+
+
 def test_better_documents_come_first(spark):
     rows = [(i, prose(10, i) if i % 2 else " ".join(w + "###" for w in prose(10, i).split()), "b") for i in range(2_000)]
     rows += [(10_000 + i, prose(10, i), "a") for i in range(200)]
