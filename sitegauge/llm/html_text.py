@@ -16,6 +16,8 @@ from sitegauge.llm.common import sliced, table, with_columns
 
 # Elements whose text nobody reads, up to their end tag.
 HIDDEN = frozenset("script style noscript template svg math iframe object select textarea button title head".split())
+# Of these, those that end at the next block where their end tag is missing.
+SOFT = frozenset("svg math iframe object select button title".split())
 # Elements that hold blocks, and those that start or end one. Others are part of a line.
 HOLDERS = frozenset(
     "div section article main nav header footer aside form ul ol dl table tbody thead tfoot tr figure blockquote details "
@@ -37,8 +39,16 @@ MAIN_WORDS = frozenset("article main content post entry story articlebody".split
 # Words of a class that name the head of an article rather than of the site, next to one of MAIN_WORDS.
 MILD_WORDS = frozenset("header side bottom notice".split())
 
+# Words that say nothing beside one of these: a name made of both only still is a side name.
+PLAIN_WORDS = frozenset(
+    "box container wrapper wrap block section list area inner outer item items bar left right top main post posts button buttons "
+    "panel row slot unit group text title links link icons buttons policy form field".split()
+)
+
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
-TAG_END = re.compile(r"""(?:[^>"']|"[^"]*+"|'[^']*+')*+>""")
+# A quotation mark opens a value only right after an equals sign.
+TAG_END = re.compile(r"""(?:[^>"'=]|=\s*+"[^"]*+"|=\s*+'[^']*+'|[="'])*+>""")
+BOUNDARY = re.compile(rf"</?(?:{'|'.join(sorted(BREAKS))})(?=[\s/>])", re.I)
 NAMING = re.compile(r"""(?:^|\s)(class|id|role|data-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORDS = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -54,11 +64,22 @@ class Block:
     zone: int  # 1 inside an article, -1 inside what surrounds one, 0 neither
     heading: bool
     item: bool
+    para: bool
+    hint: bool  # inside an article, under a name that has a side word among others
     label: str = ""
 
 
-def zone_of(tag: str, attributes: str, zone: int) -> tuple[int, str]:
-    """Zone inside an element, given the one around it, and its `data-label` (of samples)."""
+def _side(word: str) -> bool:
+    return word in SIDE_WORDS or word.startswith(SIDE_STARTS)
+
+
+def zone_of(tag: str, attributes: str, zone: int) -> tuple[int, bool, str]:
+    """Zone inside an element, given the one around it, whether its name only hints at a side, and its `data-label` (of samples).
+
+    Outside an article one side word is enough. Inside, a name must be made of such
+    words: an id, or one name of a class, with other words in it (`search-algorithms`,
+    as anchors are made of headings) is a hint, which the tree weighs.
+    """
     names, label = [], ""
     if "=" in attributes:
         for key, *values in NAMING.findall(attributes):
@@ -66,29 +87,32 @@ def zone_of(tag: str, attributes: str, zone: int) -> tuple[int, str]:
             if key.lower() == "data-label":
                 label = value
             else:
-                names += WORDS.findall(CAMEL.sub(" ", value).lower())
+                names += [WORDS.findall(CAMEL.sub(" ", name).lower()) for name in value.split()]
     if tag in ("html", "body"):
-        return zone, label
-    words = set(names)
-    side = {w for w in words if w in SIDE_WORDS or w.startswith(SIDE_STARTS)}
+        return zone, False, label
+    words = {w for name in names for w in name}
+    side = {w for w in words if _side(w)}
     main = words & MAIN_WORDS
     if main and side <= MILD_WORDS:
         side = set()
-    if tag in SIDE_TAGS or side or (tag == "header" and zone < 1):
-        return -1, label
+    if tag in SIDE_TAGS or (tag == "header" and zone < 1):
+        return -1, False, label
+    if side and (zone < 1 or any(any(map(_side, name)) and all(_side(w) or w in PLAIN_WORDS for w in name) for name in names)):
+        return -1, False, label
     if tag in MAIN_TAGS or (main and zone == 0):
-        return 1, label
-    return zone, label
+        return 1, False, label
+    return zone, bool(side), label
 
 
 @dataclass
 class _Scan:
     blocks: list[Block] = field(default_factory=list)
     parts: list[tuple[str, bool]] = field(default_factory=list)
-    stack: list[tuple[str, int, str]] = field(default_factory=list)
+    stack: list[tuple[str, int, bool, str]] = field(default_factory=list)
     open: dict[str, int] = field(default_factory=dict)
     zone: int = 0
-    own: int | None = None
+    hint: bool = False
+    own: tuple[int, bool] | None = None
     label: str = ""
     tag: str = ""
     linked: bool = False
@@ -99,20 +123,21 @@ class _Scan:
         if text:
             linked = sum(len(t.split()) for t, in_link in parts if in_link)
             words = text.count(" ") + 1
-            zone = self.zone if self.own is None else self.own
-            self.blocks.append(Block(text, words, min(linked, words), zone, self.tag in HEADINGS, self.tag in ("li", "dt", "dd"), self.label))
-        self.own, self.tag, self.label = None, "", self.stack[-1][2] if self.stack else ""
+            zone, hint = (self.zone, self.hint) if self.own is None else self.own
+            self.blocks.append(Block(text, words, min(linked, words), zone, self.tag in HEADINGS, self.tag in ("li", "dt", "dd"), self.tag == "p", hint, self.label))
+        self.own, self.tag, self.label = None, "", self.stack[-1][3] if self.stack else ""
 
     def start(self, tag: str, attributes: str) -> None:
         if tag in BREAKS:
             self.flush()
-            zone, label = zone_of(tag, attributes, self.zone)
+            zone, hint, label = zone_of(tag, attributes, self.zone)
+            hint = zone == 1 and (hint or self.hint)
             if tag in HOLDERS:
-                self.stack.append((tag, self.zone, label or self.label))
+                self.stack.append((tag, self.zone, self.hint, label or self.label))
                 self.open[tag] = self.open.get(tag, 0) + 1
-                self.zone, self.label = zone, label or self.label
+                self.zone, self.hint, self.label = zone, hint, label or self.label
             else:
-                self.own, self.tag, self.label = zone, tag, label or self.label
+                self.own, self.tag, self.label = (zone, hint), tag, label or self.label
         elif tag == "a":
             self.linked = True
         elif tag == "br":
@@ -126,17 +151,18 @@ class _Scan:
             # An end tag without its start closes nothing; the count keeps that cheap.
             if self.open.get(tag):
                 while True:
-                    name, self.zone, _ = self.stack.pop()
+                    name, self.zone, self.hint, _ = self.stack.pop()
                     self.open[name] -= 1
                     if name == tag:
                         break
-                self.label = self.stack[-1][2] if self.stack else ""
+                self.label = self.stack[-1][3] if self.stack else ""
 
 
 def text_blocks(page: str) -> list[Block]:
     """The blocks of a page in order; one pass, linear in its length, whatever is left unclosed."""
     scan, at, n = _Scan(), 0, len(page)
     closers: dict[str, re.Pattern] = {}
+    unclosed: set[str] = set()
     while at < n:
         tag_at = page.find("<", at)
         if tag_at < 0:
@@ -173,23 +199,31 @@ def text_blocks(page: str) -> list[Block]:
             if page[stop - 2] != "/":
                 if tag not in closers:
                     # A page without body tag after its head still goes on after the last thing in it.
-                    closers[tag] = re.compile(r"</head\s*>|(?=<body[\s>])" if tag == "head" else rf"</{tag}\s*>", re.I)
-                close = closers[tag].search(page, stop)
-                at = close.end() if close else n
+                    # Another start of a soft element shows that the end tag of this one is missing.
+                    again = rf"|<{tag}(?=[\s>])" if tag in SOFT and tag not in ("svg", "math", "object") else ""
+                    closers[tag] = re.compile(r"</head\s*>|(?=<body[\s>])" if tag == "head" else rf"</{tag}\s*>{again}", re.I)
+                close = None if tag in unclosed else closers[tag].search(page, stop)
+                if close is None:
+                    unclosed.add(tag)
+                if tag in SOFT and (close is None or page[close.start() + 1] != "/"):
+                    close = BOUNDARY.search(page, stop)
+                    at = close.start() if close else n
+                else:
+                    at = close.end() if close else n
         else:
             scan.start(tag, page[name.end() : stop - 1])
     scan.flush()
     return scan.blocks
 
 
-FEATURES = ("words", "link_density", "words_before", "density_before", "words_after", "density_after", "zone", "heading", "item")
+FEATURES = ("words", "link_density", "words_before", "density_before", "words_after", "density_after", "zone", "heading", "item", "para", "hint")
 
 
 def block_features(blocks: list[Block]) -> np.ndarray:
-    """A row per block: word count and link density of it and its neighbours, zone, heading, list item."""
+    """A row per block: word count and link density of it and its neighbours, zone, heading, list item, paragraph, hint."""
     words = np.array([0, *(b.words for b in blocks), 0], float)
     density = np.array([0, *(b.linked for b in blocks), 0]) / np.maximum(words, 1)
-    own = np.array([(b.zone, b.heading, b.item) for b in blocks], float).reshape(-1, 3)
+    own = np.array([(b.zone, b.heading, b.item, b.para, b.hint) for b in blocks], float).reshape(-1, 5)
     return np.column_stack([words[1:-1], density[1:-1], words[:-2], density[:-2], words[2:], density[2:], own])
 
 
@@ -212,7 +246,7 @@ class Tree:
         return np.array(self.share)[node] >= 0.5
 
 
-def grow_tree(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2) -> Tree:
+def grow_tree(x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 1) -> Tree:
     """CART with the Gini impurity; the first of equally good splits wins."""
     tree = Tree([], [], [], [])
 
@@ -271,24 +305,44 @@ OUTLINES = (
     """body div 1 1 0;body div 4 0 0;body div 1 1 0;body p 31 0 1;body p 4 0 1;body p 64 0 1;body div 2 2 0;body div 7 0 0;body div 1 1 0""",
     """article h1 4 0 1;article li 1 0 1;article li 3 3 1;article p 2 0 1;article p 1 1 1;article p 3 0 1;article li 5 5 1;
     div.post h2 1 0 1;div.post li 1 0 1;div.post li 2 2 1;footer p 3 0 0;footer div 2 2 0""",
+    # Sections of an article whose names have a side word among others, and side matter inside one under such names.
+    """nav li 2 2 0;article h1 6 0 1;article p 40 1 1;article/section#search-algorithms h2 3 0 1;article/section#search-algorithms p 55 2 1;
+    article/section#search-algorithms p 4 0 1;article/div#form-and-function p 30 0 1;article/div#form-and-function li 3 0 1;
+    article/div.acme-share-strip li 1 1 0;article/div.acme-share-strip li 2 2 0;article p 12 0 1;article/div.acme-related-cards li 6 6 0;
+    article/div.acme-related-cards li 7 7 0;footer p 20 1 0""",
+    """article h1 3 0 1;article h2#legal-basis 2 0 1;article p 2 0 1;article p 70 3 1;article/div.elementor-widget-holder p 25 0 1;
+    article/div.elementor-widget-holder p 1 0 1;article/div.elementor-widget-holder p 44 4 1;article/div.acme-promo-line p 4 4 0;footer div 3 0 0""",
+    # Pages without telling names and links: only long blocks, and what stands next to them, tell.
+    """body div 3 0 0;body div 4 0 0;body div 2 0 0;body h1 6 0 1;body p 60 0 1;body p 41 0 1;body p 35 1 1;body div 2 0 0;body div 5 0 0;body div 3 0 0""",
+    """body p 1 0 0;body p 2 0 0;body p 3 0 0;body h1 7 0 1;body div 48 0 1;body div 33 0 1;body h2 4 0 1;body div 75 2 1;body div 4 0 0;body p 1 0 0;body p 3 0 0""",
+    """body div 2 0 0;body p 4 0 0;body div 5 0 0;body h1 5 0 1;body p 90 0 1;body li 24 0 1;body li 31 0 1;body div 52 0 1;body div 3 0 0;body p 2 0 0;body div 6 0 0""",
+    """body div 2 2 0;body p 40 0 1;body p 5 0 1;body p 52 0 1;body p 6 0 1;body div 1 1 0;body div 1 1 0""",
+    """body div 1 1 0;body p 55 2 1;body p 4 0 1;body div 3 3 0;body p 30 0 1;body p 7 0 1;body div 2 2 0""",
     """div.notice p 45 0 0;article h1 1 0 1;article p 3 0 1;article p 4 0 1;article p 1 0 1;aside p 12 0 0;footer p 2 0 0""",
 )
 
 
 def outline_page(outline: str) -> str:
-    """A page of filler words from an outline; blocks carry their label as an attribute."""
-    page, holder = [], ""
+    """A page of filler words from an outline; blocks carry their label as an attribute.
+
+    Where a block stands is an element, or several inside one another (`article/div.x`); its own element may have an id.
+    """
+    def opened(element: str, more: str = "") -> str:
+        tag, mark, name = re.match(r"(\w+)([.#]?)([\w-]*)", element).groups()
+        key = {".": "class", "#": "id"}.get(mark)
+        return f"<{tag} {key}='{name}'{more}>" if key else f"<{tag}{more}>"
+
+    tag_of = lambda element: re.match(r"\w+", element).group()
+    page, path = [], []
     for line in outline.split(";"):
-        where, tag, words, linked, label = line.split()
-        if where != holder:
-            name = re.match(r"\w+", holder)
-            page.append(f"</{name.group()}>" if name and holder != "body" else "")
-            name = re.match(r"(\w+)(?:([.#])(\w+))?", where)
-            key = {".": "class", "#": "id"}.get(name[2])
-            page.append("" if where == "body" else f"<{name[1]} {key}='{name[3]}'>" if key else f"<{name[1]}>")
-            holder = where
+        where, element, words, linked, label = line.split()
+        wanted = [e for e in where.split("/") if e != "body"]
+        same = next((i for i, (x, y) in enumerate(zip(path, wanted)) if x != y), min(len(path), len(wanted)))
+        page += [f"</{tag_of(e)}>" for e in reversed(path[same:])] + [opened(e) for e in wanted[same:]]
+        path = wanted
         links = f"<a href='/'>{' '.join(['there'] * int(linked))}</a> " if int(linked) else ""
-        page.append(f"<{tag} data-label='{label}'>{links}{' '.join(['word'] * (int(words) - int(linked)))}</{tag}>")
+        more = f" data-label='{label}'"
+        page.append(f"{opened(element, more)}{links}{' '.join(['word'] * (int(words) - int(linked)))}</{tag_of(element)}>")
     return "<body>" + "".join(page)
 
 
@@ -313,8 +367,8 @@ def extract_text(pages: DataFrame, tree: Tree | None = None) -> DataFrame:
     A page is read once from left to right into flat blocks: text between block
     boundaries, character references decoded, white space folded to one blank. A
     block's features are the word count and link density of itself and its two
-    neighbours, and whether the innermost telling element around it belongs to an
-    article or to what surrounds one. A decision tree, grown on a small labelled
+    neighbours, whether the innermost telling element around it belongs to an
+    article or to what surrounds one, and whether a name inside an article hints at the latter. A decision tree, grown on a small labelled
     table of blocks, keeps or drops it; kept blocks are joined by line feeds.
 
     Scale: one narrow pass, linear in the page's length; a tree of some tens of

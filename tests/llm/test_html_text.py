@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import random
+import re
 import time
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from sitegauge.llm import html_text as ht
@@ -70,3 +72,67 @@ def test_broken_pages_take_linear_time(tree):
         ht.main_text(shape * 40_000, tree)
         ht.main_text("<div><section>" * 20_000 + shape * 20_000, tree)
     assert time.time() - start < 60
+
+
+def test_word_counts_decide(tree):
+    """Without names and links, and with hints, it is the words of a block and its neighbours that tell."""
+    used = {ht.FEATURES[f] for f in tree.feature if f >= 0}
+    assert used & {"words", "words_before", "words_after"} and "zone" in used
+    page = "<body><div>One</div><div>Two words</div><h1>The one heading here</h1><p>" + "word " * 50 + "</p><p>" + "more " * 40 + "</p><div>Here it ends</div><div>Last</div><div>So so</div>"
+    assert ht.main_text(page, tree).split("\n") == ["The one heading here", ("word " * 50).strip(), ("more " * 40).strip()]
+
+
+PROBES = {
+    "an anchor made of a heading": ("<h2 id='legal-basis'>Legal basis</h2><p>Five words of some text.</p>", ["Legal basis", "Five words of some text."]),
+    "a section named by its heading": ("<section id='search-algorithms'><h2>Search</h2><p>How it is done.</p><ul><li>one</li></ul></section>", ["Search", "How it is done.", "one"]),
+    "a part named by its heading": ("<div id='form-and-function'><p>Form follows.</p></div>", ["Form follows."]),
+    "a class of a page builder": ("<div class='elementor-widget-container'><p>All text is in here.</p></div>", ["All text is in here."]),
+    "an apostrophe in a bare value": ("<p title=it's>First text.</p><p>It's the second.</p>", ["First text.", "It's the second."]),
+    "a button left open": ("<p>Before.</p><button>Play<p>After the button.</p><p>And on.</p>", ["Before.", "After the button.", "And on."]),
+    "two buttons left open": ("<button>Play<p>One text.</p><button>Stop</button><p>Two texts.</p>", ["One text.", "Two texts."]),
+    "a button that holds blocks": ("<p>Text.</p><button><div>Play</div> now</button><p>More.</p>", ["Text.", "More."]),
+    **{f"{tag} left open": (f"<p>Before.</p><{tag}>gone <b>too</b><p>After it.</p>", ["Before.", "After it."]) for tag in ("select", "svg", "object", "title", "iframe", "math")},
+    "a script left open": ("<p>Before.</p><script>x<p>all of it", ["Before."]),
+    "reader comments": ("<p>Text.</p><section id='comments'><p>I have read it all and liked it.</p></section>", ["Text."]),
+    "side matter inside": ("<p>Text.</p><div class='related-posts'><p>Some other things to read here</p></div><div class='cookie-notice'><p>We keep crumbs.</p></div>", ["Text."]),
+    "linked side matter under other names": ("<p>Text of the article.</p><div class='acme-share-row'><ul><li><a>Here</a></li><li><a>There</a></li></ul></div>", ["Text of the article."]),
+}
+
+
+@pytest.mark.parametrize("name", PROBES)
+def test_inside_an_article(tree, name):
+    body, wanted = PROBES[name]
+    page = f"<nav><a href='/'>Home</a></nav><article><h1>A title</h1>{body}</article><footer>the end of it</footer>"
+    if "script" in name:
+        page = page.replace("</article><footer>the end of it</footer>", "")
+    assert ht.main_text(page, tree).split("\n") == ["A title", *wanted]
+
+
+def test_articles_with_side_words_in_their_names_come_back_whole(tree):
+    rnd = random.Random(4)
+    words = sorted(ht.SIDE_WORDS)
+    for _ in range(300):
+        parts, wanted = [], []
+        for _ in range(rnd.randrange(1, 8)):
+            name = "-".join(rnd.sample([rnd.choice(words), rnd.choice(["theory", "history", "of", "science", "results"]), "x"], 3))
+            texts = [" ".join(rnd.choice(["w", "ünï", "B&B"]) for _ in range(rnd.randrange(1, 50))) for _ in range(rnd.randrange(1, 5))]
+            tag = rnd.choice(["section", "div"])
+            parts.append(f"<{tag} {rnd.choice(['id', 'class'])}='{name}'>" + "".join(f"<p>{ht.entities.escape(t)}</p>" for t in texts) + f"</{tag}>")
+            wanted += texts
+        assert ht.main_text(f"<article>{''.join(parts)}</article>", tree) == "\n".join(wanted)
+
+
+def test_open_elements_take_linear_time(tree):
+    start = time.time()
+    for shape in ("<button>", "<select><p>", "<svg>", "<p title=it's>", "<button><p>x", "<object>x<div>", "<a b=\"", "<a b='c\">"):
+        ht.main_text(shape * 40_000, tree)
+    assert time.time() - start < 40
+
+
+def test_given_pages_equal_a_rule(tree):
+    """The generated pages hold one article each, without anything beside it inside: its blocks, by plain expressions."""
+    for page in pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist():
+        article = re.sub(r"(?is)<script.*?</script>|<!--.*?-->", "", re.search(r"(?s)<article>(.*)</article>", page).group(1))
+        parts = re.split(r"</?(?:p|h1|h2|li|ul|div)[^>]*>", article.replace("<br>", " "))
+        blocks = (" ".join(ht.entities.unescape(re.sub(r"<[^>]*>", "", part)).split()) for part in parts)
+        assert ht.main_text(page, tree) == "\n".join(b for b in blocks if b)
