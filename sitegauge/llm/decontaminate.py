@@ -187,9 +187,16 @@ class Items:
             word, slack, doc = self.words[item[a]], int(reach[a]), int(owner[a])
             low = max(int(start[a]) - slack, int(begin[doc]))
             high = min(int(start[b - 1]) + len(word) + slack, int(begin[doc] + count[doc]))
-            edits, x, y = locate(word, code[low:high])
-            if edits <= slack:
-                leaks.append((doc, self.ids[item[a]], low + x - int(begin[doc]), low + y - int(begin[doc]), edits))
+            # Places may stand next to each other: what is left on both sides of one is looked through, too.
+            open_ = [(low, high)]
+            while open_:
+                low, high = open_.pop()
+                if high - low < len(word) - slack:
+                    continue
+                edits, x, y = locate(word, code[low:high])
+                if edits <= slack:
+                    leaks.append((doc, self.ids[item[a]], low + x - int(begin[doc]), low + y - int(begin[doc]), edits))
+                    open_ += [(low, low + x), (low + y, high)]
         return sorted(set(leaks), key=lambda k: (k[0], str(k[1]), k[2]))
 
 

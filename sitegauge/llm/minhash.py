@@ -338,14 +338,15 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     rows = ids.groupBy("root", "doc_id", "tid").agg(F.count("*").alias("n"))
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tid", "n")).alias("k"))
     keepers = stored(first.select(F.col("k.doc_id").alias("_kept_id"), F.col("k.tid").alias("_kept_tid"), F.col("k.n").alias("_copies")), "keepers")
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.select("*", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_row_tid"))
-    match = keyed["doc_id"].eqNullSafe(F.col("_kept_id")) & (F.col("_row_tid") == F.col("_kept_tid"))
-    once = keyed.join(keepers.where("_copies = 1"), match, "left_semi").select(*own)
+    # A row travels as one value, so none of its columns can clash with those used here.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_in")
+    keyed = docs.select(row, F.col("doc_id").alias("_row_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_row_tid"))
+    match = F.col("_row_id").eqNullSafe(F.col("_kept_id")) & (F.col("_row_tid") == F.col("_kept_tid"))
+    once = keyed.join(keepers.where("_copies = 1"), match, "left_semi").select("_in.*")
     several = keepers.where("_copies > 1")
     if several.isEmpty():
         return once
-    return once.unionByName(keyed.join(several, match, "left_semi").dropDuplicates(["doc_id", "_row_tid"]).select(*own))
+    return once.unionByName(keyed.join(several, match, "left_semi").dropDuplicates(["_row_id", "_row_tid"]).select("_in.*"))
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

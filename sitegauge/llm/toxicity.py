@@ -195,14 +195,18 @@ def fit_chain(rows, cols, dense: np.ndarray, labels: np.ndarray, fold: np.ndarra
 def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], max_labelled: int = MAX_LABELLED) -> Chain:
     """Fits the chain on at most `max_labelled` labelled rows, those with the least hashes of their id.
 
+    Of labels that contradict each other the largest counts (toxic, if any says so); of several
+    texts under one id the least by code point is read, so reruns agree.
+
     Document frequencies of the features are Spark aggregates over that sample; the
     driver receives the `MAX_FEATURES` most telling features and the (row, feature)
     pairs of the sample, both bounded by the parameters.
     """
     spark = docs.sparkSession
-    complete = labels.select("doc_id", *categories).dropna().dropDuplicates(["doc_id"])
+    complete = labels.select("doc_id", *categories).dropna().groupBy("doc_id").agg(*(F.max(c).alias(c) for c in categories))
     chosen = complete.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    several = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    sample = several.groupBy("doc_id", *categories).agg(F.min("text").alias("text"))
     names = list(categories)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -90,7 +90,8 @@ def judge_urls(
     results = ["host", "path", "rule", "verdict", "listed", "possible"]
     base = urls.drop(*results)
     own = [F.col(f"`{c}`") for c in base.columns]
-    parts = base.select(*own, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    # A row travels as one value, so none of its columns can clash with those used here.
+    parts = base.select(F.struct(*own).alias("_in"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     judged = parts.select(
         "*", canonical(F.col("host"), F.col("path")).alias("_url"), matching_rule(F.col("host"), F.col("path"), rules).alias("_rule")
     )
@@ -113,7 +114,7 @@ def judge_urls(
     checked = probed.where("possible").join(exact, "_url", "left").withColumn("listed", F.col("_found").isNotNull())
     both = sure.unionByName(checked.drop("_found"))
     return both.select(
-        *own, "host", "path", F.col("_rule.rule").alias("rule"),
+        "_in.*", "host", "path", F.col("_rule.rule").alias("rule"),
         F.coalesce("_rule.verdict", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"),
         "listed", "possible",
     )

@@ -65,3 +65,13 @@ def test_all_places_in_a_text_and_blocks_of_items(spark, monkeypatch):
     blocks = list(dc.item_blocks(bench, block=1))
     assert len(blocks) == 3 and sorted(i for b in blocks for i in b.ids) == [7, 8, 9]
     assert sorted(r.doc_id for r in dc.without_leaks(docs, bench).collect()) == [2, 4]
+
+
+def test_places_next_to_each_other():
+    """An item that stands several times in a row gives a row for each time."""
+    for n in (1, 2, 5, 25):
+        item = " ".join(words(n, 70 + n, 9_000))
+        found = dc.Items.of([7], [item]).find(pa.array([" ".join([item] * 3), f"before {item} {item} after", f"{item} x {item}"]))
+        assert [(row, a, b) for row, _, a, b, _ in found] == [
+            *((0, n * i, n * i + n) for i in range(3)), (1, 1, n + 1), (1, n + 1, 2 * n + 1), (2, 0, n), (2, n + 1, 2 * n + 1)
+        ]

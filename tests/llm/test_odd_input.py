@@ -100,3 +100,28 @@ def test_odd_conversations(spark):
         (1, "chosen", 2), (1, "prompt", 0), (1, "prompt", 1), (1, "rejected", 2), (3, "chosen", 0), (4, "rejected", 0)
     ]
     assert preferences.format_preferences(frame([]), frame([])).count() == 0
+
+
+def test_internal_names_do_not_clash(spark):
+    """Columns named like those the operators use inside stay as they are."""
+    names = ["_url", "_rule", "_block", "_m0", "_w0", "_found", "_in", "_row_tid", "_row_id", "_kept_id", "_copies"]
+    own = [f"'own' AS `{n}`" for n in names]
+    urls = spark.createDataFrame([(1, "http://listed.test/a.html"), (2, "http://free.test/")], "page_id bigint, url string").selectExpr("*", *own)
+    listed = spark.createDataFrame([("http://m.listed.test/a",)], "url string")
+    found = {r.page_id: r for r in urlfilter.judge_urls(urls, listed).collect()}
+    assert (found[1].verdict, found[2].verdict) == ("block", "allow") and all(r[n] == "own" for r in found.values() for n in names)
+    docs = documents(spark, [(1, prose(40, 1)), (2, prose(40, 1)), (3, prose(40, 2)), (3, prose(40, 2))]).selectExpr("*", *own)
+    kept = minhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
+def test_contradictory_labels(spark):
+    """Rows in any order give the same model: the largest label and the least text count."""
+    docs = [(i, ("foul " if i % 3 == 0 else "") + prose(20, i)) for i in range(60)] + [(1, "another text")]
+    marks = [(i, 1, int(i % 3 == 0)) for i in range(60)] + [(3, 0, 0), (4, 1, 1)]
+    scores = []
+    for order in (1, -1):
+        frame = spark.createDataFrame(marks[::order], LABELS).repartition(3)
+        rows = toxicity.judge_toxicity(documents(spark, docs[::order]).repartition(4), frame).collect()
+        scores.append(sorted((r.doc_id, round(r.p_toxic, 9)) for r in rows))
+    assert scores[0] == scores[1]
