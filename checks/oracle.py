@@ -410,6 +410,7 @@ ORACLES |= {
         SELECT site, grade, count(*) AS n_pages, count(score) AS n_fetched, sum(score)::BIGINT AS score_sum, min(score)::BIGINT AS lowest, max(score)::BIGINT AS highest,
           quantile_disc(score, 0.1)::BIGINT AS q10, quantile_disc(score, 0.5)::BIGINT AS q50, quantile_disc(score, 0.9)::BIGINT AS q90
         FROM sited GROUP BY GROUPING SETS ((site, grade), (site), ())""",
+    "audit_stream": f"WITH {LONG} SELECT page_id, score FROM scores",
     "audit_incremental": f"WITH {LONG} SELECT page_id, score, CASE WHEN page_id % 3 <> 0 AND page_id % 5 <> 0 THEN 1 ELSE 2 END AS parsed_in FROM scores",
     "score_gate": f"WITH {LONG} SELECT page_id, CASE WHEN score >= 50 THEN 0 ELSE 1 END AS gate FROM ({CRAWLED})",
     "score_band": f"WITH {LONG} SELECT page_id, CASE WHEN score >= 70 THEN 'good' WHEN score >= 50 THEN 'warn' ELSE 'danger' END AS tone FROM scores",

@@ -93,15 +93,18 @@ def blocked_bots(body: Column, bots: tuple[str, ...] = AI_CRAWLERS) -> Column:
 
 @built_once
 def _evidence_columns() -> list[Column]:
-    """What each crawled file proves, judged in place: a few small values per file. A file no answer came for proves nothing."""
-    kind, status = F.col("kind"), F.col("status")
-    ctype, body = F.col("content_type"), F.col("body")
+    """What each crawled file proves, judged in place: a few small values per file."""
+    return _proof(*[F.col(c) for c in ("kind", "status", "content_type", "body", "redirect_hops")])
+
+
+def _proof(kind: Column, status: Column, ctype: Column, body: Column, hops: Column) -> list[Column]:
+    """What a file proves, as one of three kinds. A file no answer came for proves nothing."""
     return [
         F.when(
             kind == "llms",
             F.struct(
                 F.coalesce(llms_gate(status, ctype, body), F.lit("candidate")).alias("gate"),
-                F.col("redirect_hops").alias("hops"),
+                hops.alias("hops"),
             ),
         ).alias("l"),
         F.when(
@@ -130,16 +133,29 @@ def _file_rank() -> Column:
     )
 
 
-def _judged() -> list[Column]:
-    gate = F.nullif(F.coalesce(F.col("l.gate"), F.lit("absent")), F.lit("candidate"))
+def _judged(llms: Column | None = None, probe: Column | None = None, robots: Column | None = None) -> list[Column]:
+    """The columns of `NO_EVIDENCE` from what the three files prove."""
+    llms, probe, robots = (F.col(name) if c is None else c for c, name in ((llms, "l"), (probe, "p"), (robots, "r")))
+    gate = F.nullif(F.coalesce(llms["gate"], F.lit("absent")), F.lit("candidate"))
     return [
-        F.coalesce(gate, probe_verdict(F.col("l.hops"), F.col("p.status"), F.col("p.markup"))).alias("llms_verdict"),
-        F.col("p.status").alias("probe_status"),
-        F.col("r.found").alias("robots_found"),
-        F.coalesce("r.blocked", F.array().cast("array<string>")).alias("blocked_bots"),
+        F.coalesce(gate, probe_verdict(llms["hops"], probe["status"], probe["markup"])).alias("llms_verdict"),
+        probe["status"].alias("probe_status"),
+        robots["found"].alias("robots_found"),
+        F.coalesce(robots["blocked"], F.array().cast("array<string>")).alias("blocked_bots"),
     ]
 
 
+def crawl_evidence(files: Column) -> list[Column]:
+    """The columns of `NO_EVIDENCE` from the files of one crawl of a site, in its row; of files of one kind the first counts."""
+    fields = ("kind", "status", "content_type", "body", "redirect_hops")
+
+    def proof(kind: str, which: int) -> Column:
+        file = F.try_element_at(F.filter(files, lambda f: f["kind"] == kind), F.lit(1))
+        return _proof(*[file[c] for c in fields])[which]
+
+    return _judged(proof("llms", 0), proof("probe", 1), proof("robots", 2))
+
+
 def _evidence(site_files: DataFrame, at: Column) -> DataFrame:
     """One row per origin and time: of each kind the file that counts. Files are judged where they are read; no body is shuffled."""
     rows = site_files.select(site_origin(F.col("origin")).alias("origin"), at.alias("at"), _file_rank().alias("rank"), *_evidence_columns())

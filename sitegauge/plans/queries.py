@@ -19,7 +19,7 @@ from sitegauge.schema import BUCKET_CAPS
 from sitegauge.sources import derived
 from sitegauge.sources.pages import fetch_note, page_source, read_table, spread
 from sitegauge.sources.sinks import write_reports
-from sitegauge.streaming import limits
+from sitegauge.streaming import audit as live_audit, limits
 from sitegauge.streaming.folders import run_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -777,6 +777,27 @@ def late_split_stream(spark, folder):
     return counted.unionByName(late).groupBy("client_ip", "window_start").agg(F.sum("n").alias("n"), F.sum("n_late").alias("n_late"))
 
 
+@query
+def audit_stream(spark, folder):
+    """Pages and site crawls as two streams, in three deliveries: odd pages, even pages, and the rows that close a replay."""
+    raw, source, out = table(spark, folder, "pages"), run_folder(spark, "crawl"), run_folder(spark, "audit-stream")
+    at = F.to_timestamp(F.concat(F.expr(derived.CRAWLED_AT), F.lit("+00:00")))
+    typed = derived.decorated_pages(raw).withColumn("crawled_at", at)
+    pages = typed.select("page_id", "url", "final_url", "html", "headers", "crawled_at")
+    file = F.struct("kind", "status", "content_type", "body", "redirect_hops")
+    early = F.to_timestamp(F.lit("2024-12-01 00:00:00+00:00")).alias("crawled_at")
+    crawls = derived.site_files(raw).groupBy("origin").agg(F.collect_list(file).alias("files")).select("origin", early, "files")
+    last_page, last_crawl = live_audit.closing_rows(spark, "2030-01-01 00:00:00+00:00")
+    last_page = last_page.select("page_id", "url", F.col("url").alias("final_url"), "html", F.lit(None).cast(pages.schema["headers"].dataType).alias("headers"), "crawled_at")
+    deliveries = ((pages.where("page_id % 2 = 1"), crawls), (pages.where("page_id % 2 = 0"), crawls.limit(0)), (last_page, last_crawl))
+    for page_rows, crawl_rows in deliveries:
+        page_rows.write.mode("append").parquet(f"{source}/pages")
+        crawl_rows.write.mode("append").parquet(f"{source}/crawls")
+        streams = (spark.readStream.schema(rows.schema).parquet(f"{source}/{name}") for name, rows in (("pages", pages), ("crawls", crawls)))
+        live_audit.start_audit(*streams, out, window="400 days", lateness="400 days").awaitTermination()
+    return live_audit.read_audit(spark, out, FETCHED_AT).select("page_id", "score")
+
+
 @query
 def minute_counts_stream(spark, folder):
     out = run_folder(spark, "minute-counts")
