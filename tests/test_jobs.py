@@ -107,3 +107,26 @@ def test_unsafe_addresses_are_refused_not_scored(spark):
     assert {k: v == refused for k, v in got.items()} == {1: False, 2: True, 3: True, 4: True, 5: True, 6: True, 7: False}
     assert all(v == refused or (v[1] == "t" and v[0] != "—") for v in got.values())
     assert all(r.grade != "—" for r in audit_pages(pages).collect())
+
+
+def test_the_guard_from_the_shell(spark, tmp_path):
+    """Tables of answers, redirects and networks given as paths."""
+    html = "<title>t</title><p>words that can be read</p>"
+    frames = {
+        "pages": ([(1, "https://a.test/1", html), (2, "https://a.test/2", html), (3, "https://b.test/", html)], "page_id bigint, url string, html string"),
+        "dns": ([("a.test", "198.41.0.4"), ("b.test", "199.7.83.42")], "host string, ip string"),
+        "redirects": ([("https://a.test/2", "http://b.test/x"), ("http://b.test/x", "https://a.test/2b")], "from_url string, to_url string"),
+        "networks": ([("199.0.0.0/8",)], "cidr string"),
+    }
+    for name, (rows, schema) in frames.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    path = lambda name: f"{tmp_path}/{name}.parquet"
+
+    def refused(*more):
+        out = str(tmp_path / f"out{len(more)}")
+        run([path("pages"), out, "--dns", path("dns"), *more])
+        return {r.page_id for r in spark.read.parquet(out).where(F.array_contains("notes", REFUSAL)).collect()}
+
+    assert refused() == set()
+    assert refused("--networks", path("networks")) == {3}
+    assert refused("--networks", path("networks"), "--redirects", path("redirects")) == {2, 3}
