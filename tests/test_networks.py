@@ -6,7 +6,6 @@ import ipaddress
 import random
 
 import pytest
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from sitegauge.functions.ip import BLOCKED_NETWORKS, ip_bytes
@@ -96,5 +95,6 @@ def test_no_networks_block_nothing(spark):
 
 @pytest.mark.parametrize("text", ["10.0.0.0/33", "nonsense", "10.0.0/8", "::/129", "1.2.3.4/", None, ""])
 def test_a_text_that_is_no_network_ends_the_job(spark, text):
-    with pytest.raises(PySparkException):
+    # Two stages may fail at once, which is another kind of error with the same words.
+    with pytest.raises(Exception, match="not a network"):
         disjoint_networks(networks(spark, ["10.0.0.0/8", text])).collect()
