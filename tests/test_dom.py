@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from html.parser import HTMLParser
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -172,3 +173,17 @@ def test_time_grows_with_the_page(shape):
 
     seconds(2_500)
     assert seconds(20_000) < 20 * max(min(seconds(2_500) for _ in range(3)), 0.01)
+
+
+def test_a_large_arrow_batch_is_parsed_in_slices(spark):
+    """Whatever an Arrow batch holds, a task works on a bounded run of pages; no row is lost, doubled or moved."""
+    pages = [None, "", "<p>short</p>", "<p>" + "x" * (dom.SLICE_BYTES + 1), None, *[f"<p>page {i} " + "word " * 40_000 for i in range(30)], None]
+    array = pa.array(["cut off", *pages])[1:]
+    parts = list(dom._slices(array))
+    assert [p for part in parts for p in part.to_pylist()] == pages
+    assert all(len(part) == 1 or sum(len(p or "") for p in part.to_pylist()) <= dom.SLICE_BYTES for part in parts)
+    assert len(parts) >= 8 and not list(dom._slices(pa.array([], pa.string())))
+    frame = spark.createDataFrame(list(enumerate(pages)), "i int, html string").coalesce(1)
+    got = {r.i: (r.n, r.t) for r in frame.withColumn("dom", parse_html("html")).select("i", F.size("dom.elements").alias("n"), F.substring(F.get("dom.texts", F.lit(0))["text"], 1, 7).alias("t")).collect()}
+    assert {i for i, (n, _) in got.items() if n is None or n < 0} == {i for i, p in enumerate(pages) if p is None}
+    assert [got[5 + i][1].strip() for i in range(30)] == [f"page {i}" for i in range(30)]
