@@ -298,3 +298,18 @@ def test_streams_read_a_folder_of_files(spark, tmp_path):
     assert live == whole and len(live) == events.count()
     counts = {(r.client_ip, r.window_start): r.n for r in QUERIES["minute_counts_stream"](spark, str(tmp_path)).collect()}
     assert counts == {(r.client_ip, r.window_start): r.n for r in QUERIES["minute_counts_stream"](spark, "/root/testdata/sf0.001").collect()}
+
+
+def test_state_is_keyed_by_shares_of_clients(spark, tmp_path):
+    """Many clients of a day or a minute share a key: what the engine does per key does not grow with the clients."""
+    rows = [(i, START, {"x-forwarded-for": f"10.1.{i // 250}.{i % 250}"}) for i in range(1_000)]
+    source, out = str(tmp_path / "in"), run_folder(spark, "t")
+    query = limits.start_rate_limit(deliver(spark, rows, source), out, 1, 1)
+    query.awaitTermination()
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= limits.MOST_SHARES
+    assert limits.read_decisions(spark, out).where("allowed AND minute_count = 1 AND day_count = 1").count() == 1_000
+    query = limits.start_bounded_counts(deliver(spark, rows, source), f"{out}-counts")
+    query.awaitTermination()
+    assert query.recentProgress[0]["stateOperators"][0]["numRowsTotal"] <= 2 * limits.SHARES_A_MINUTE
+    counted = {(r.client_ip, r.n) for r in limits.read_counts(spark, f"{out}-counts").collect()}
+    assert counted == {(head["x-forwarded-for"], 2) for _, _, head in rows}
