@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from sitegauge.operators import joins
+from sitegauge.operators import joins, redirects
 from sitegauge.operators.redirects import redirect_chains
 from sitegauge.plans import audit as plan
 from sitegauge.operators.safety import REFUSAL
@@ -71,6 +71,19 @@ def test_long_chains_and_many_that_join(spark, dns):
     assert chains(spark, dns, edges) == by_hand(edges)
 
 
+def test_loops_cost_no_more_rounds_than_chains_and_unsafe_places_need(spark, dns, monkeypatch):
+    """Rounds follow the longest chain, not the number of redirects; a ring is followed until its unsafe addresses are known."""
+    stored = []
+    monkeypatch.setattr(redirects, "stored_lookup", lambda df: stored.append(1) or joins.stored_lookup(df))
+    pairs = [(f"{OPEN}/p{i}", f"{OPEN}/p{i ^ 1}") for i in range(600)]
+    edges = [*pairs, (f"{OPEN}/a", f"{OPEN}/b"), (f"{OPEN}/b", f"{OPEN}/c"), (f"{OPEN}/c", f"{OPEN}/d")]
+    assert chains(spark, dns, edges) == by_hand(edges)
+    assert len(stored) <= 3 + 3  # two tables and the start, and rounds for one step, for two or three, and one that ends none
+    ring = [*(f"{OPEN}/r{i}" for i in range(90)), f"{SHUT}/r", *(f"{OPEN}/q{i}" for i in range(9))]
+    edges = [*pairs[:20], *zip(ring, ring[1:] + ring[:1])]
+    assert chains(spark, dns, edges) == by_hand(edges)
+
+
 @pytest.mark.parametrize("rows", [joins.BROADCAST_ROWS, 0])
 def test_the_audit_refuses_what_the_way_leads_over(spark, dns, rows, monkeypatch):
     """With small verdict tables before the parser, with large ones on the facts: the same pages are refused."""
